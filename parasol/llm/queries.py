@@ -9,8 +9,10 @@ from parasol.llm.common import documents
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.mixing import mix
 from parasol.llm.packing import pack
+from parasol.llm.quality import quality
 from parasol.llm.token_counts import token_counts
 from parasol.llm.token_output import read_shards, write_shards
+from parasol.llm.toxicity import toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Limits of a training sequence: tokens, segments, loss-bearing tokens.
@@ -33,11 +35,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("digest")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op10_token_counts)}
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
