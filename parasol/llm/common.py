@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parasol.session import cut
@@ -92,3 +94,46 @@ class Forest:
     def links(self) -> Iterable[tuple[int, int]]:
         """One pair (member, root) for each element that is not a root."""
         return ((x, r) for x in range(len(self.up)) if (r := self.root(x)) != x)
+
+
+def groups(batches, keys: list[str]):
+    """Yields one Arrow table per run of rows with equal ``keys`` (not null), which sorted input keeps together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            now = tuple(c[i] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tiles(members: DataFrame, key: str, size: str, member: str, most: int) -> DataFrame:
+    """Deals the members of each key to tiles of at most about 2 * ``most`` rows; adds ti, tj.
+
+    A key with more than ``most`` rows (column ``size``) is cut into blocks by a
+    hash, and each two blocks meet in one tile, so every pair of members still
+    meets. Smaller keys are one tile.
+    """
+    blocks = F.ceil(F.col(size) / most).cast("int")
+    own = F.pmod(F.xxhash64(member), blocks).cast("int")
+    cut_up = members.withColumn("__own", F.when(F.col(size) > most, own).otherwise(0))
+    other = F.explode(F.when(F.col(size) > most, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    dealt = cut_up.withColumn("__other", other)
+    return dealt.select(*members.columns, F.least("__own", "__other").alias("ti"), F.greatest("__own", "__other").alias("tj"))
+
+
+def together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Brings rows of equal ``keys`` together, in order, for ``groups``."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parasol.llm.common import documents
 from parasol.llm.exact_dedup import exact_dedup
+from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
 from parasol.llm.packing import pack
 from parasol.llm.quality import quality
@@ -43,11 +44,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
