@@ -119,10 +119,10 @@ def groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def tiles(members: DataFrame, key: str, size: str, member: str, most: int) -> DataFrame:
-    """Deals the members of each key to tiles of at most about 2 * ``most`` rows; adds ti, tj.
+def tiles(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
+    """Deals the members of each key to tiles of at most about 2 * ``most`` rows; adds ti, tj, block.
 
-    A key with more than ``most`` rows (column ``size``) is cut into blocks by a
+    ``members`` has one row per key and member. A key with more than ``most`` rows (column ``size``) is cut into blocks by a
     hash, and each two blocks meet in one tile, so every pair of members still
     meets. Smaller keys are one tile.
     """
@@ -131,7 +131,8 @@ def tiles(members: DataFrame, key: str, size: str, member: str, most: int) -> Da
     cut_up = members.withColumn("__own", F.when(F.col(size) > most, own).otherwise(0))
     other = F.explode(F.when(F.col(size) > most, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
     dealt = cut_up.withColumn("__other", other)
-    return dealt.select(*members.columns, F.least("__own", "__other").alias("ti"), F.greatest("__own", "__other").alias("tj"))
+    own_other = F.least("__own", "__other").alias("ti"), F.greatest("__own", "__other").alias("tj")
+    return dealt.select(*members.columns, *own_other, F.col("__own").alias("block"))
 
 
 def together(rows: DataFrame, keys: list[str]) -> DataFrame:

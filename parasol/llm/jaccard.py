@@ -190,7 +190,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     # Tiles: classes that agree in a band. Keys of one class are dropped before points are sent.
     banded = classes.select("cid", F.explode("bands").alias("key")).distinct()
     met = banded.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    placed = tiles(met, "key", "m", "cid", BLOCK).join(classes.select("cid", "counts"), "cid")
+    placed = tiles(met, "m", "cid", BLOCK).join(classes.select("cid", "counts"), "cid")
     tile = ["key", "ti", "tj"]
 
     def bound(batches):
@@ -224,7 +224,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
         yield from _edges(batches, tile2, forest)
 
-    links = components(together(tiles(found, "comp", "m", "cid", BLOCK), tile2).mapInArrow(verify, "a long, b long"))
+    links = components(together(tiles(found, "m", "cid", BLOCK), tile2).mapInArrow(verify, "a long, b long"))
     linked = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(links.withColumnRenamed("id", "cid"), "cid", "left")
     least = linked.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "comp", "left").select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parasol.llm.common import documents
+from parasol.llm.embedding_dedup import embedding_dedup
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
@@ -20,6 +21,10 @@ TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_LIMITS = {"max_tokens": 2048, "max_segments": 256, "max_loss": 2048}
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1, **SEQUENCE_LIMITS)
 
@@ -52,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
