@@ -10,6 +10,7 @@ from parasol.llm.embedding_dedup import embedding_dedup
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
+from parasol.llm.ngram_lm import ngram_scores
 from parasol.llm.packing import pack
 from parasol.llm.quality import quality
 from parasol.llm.token_counts import token_counts
@@ -25,6 +26,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1, **SEQUENCE_LIMITS)
 
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_lm, op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
