@@ -1,10 +1,85 @@
-"""Stages that turn raw documents into training sequences."""
+"""Stages that turn raw documents into training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs (doc_id, text,
+lang, source, n_chars) and returns a DataFrame; all but the last return the
+columns of docs. ``run`` writes each stage's result to the shared folder and
+reads it back for the next one, so a lost executor costs one stage at most.
+
+Null ids, texts and sources pass through as the operators say; an empty table
+gives empty results; other columns are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from parasol.llm.common import word_count
+from parasol.llm.exact_dedup import exact_dedup, keep_rows
+from parasol.llm.jaccard import jaccard_join
+from parasol.llm.mixing import mix
+from parasol.llm.packing import pack
+from parasol.llm.queries import SEQUENCE_LIMITS, TOKENIZER
+from parasol.llm.toxicity import THRESHOLD, toxicity
+from parasol.session import save_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity classifier rejects; it learns from the labels beside them.
+
+    An id that occurs with several texts goes if any of them is rejected.
+    """
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of equal texts, the row that the exact dedup operator keeps."""
+    return keep_rows(docs, exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of the Jaccard join, the one whose id names it.
+
+    Documents with a null id stay.
+    """
+    dropped = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats every document as often as the mix takes it; those that it takes zero times go."""
+    key = ["__id", "__source", "__size"]
+    plan = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    plan = save_table(plan.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "mix-plan")
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source")).withColumn("__size", word_count(F.col("text")))
+    match = [rows[k].eqNullSafe(plan[k]) for k in key]
+    joined = rows.join(plan, match).select(*docs.columns, *(plan[k] for k in key), "__copies", "__rows")
+    one = joined.where("__rows = 1").drop(*key)
+    # Rows alike in id, source and size share their copies, one more for the first of them.
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+    several = joined.where("__rows > 1")
+    if not plan.where("__rows > 1").isEmpty():
+        share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+        one = one.unionByName(several.withColumn("__copies", share.cast("long")).drop(*key))
+    times = one.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return times.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into training sequences; one row per piece."""
+    return pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, **SEQUENCE_LIMITS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
 #: A learned stage decides what goes, so SQL can't express the rows of ``run``.
 ORACLE_SQL = None
 
@@ -12,6 +87,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in order to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = save_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
