@@ -7,10 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parasol.plans import audits, scoring
+from parasol.plans import audits, scoring, spatial, texts
 from parasol.plans.dialect import oracle, run
 
-TEXTS: dict[str, str] = {**scoring.QUERIES, **audits.QUERIES}
+TEXTS: dict[str, str] = {**scoring.QUERIES, **audits.QUERIES, **texts.QUERIES}
 
 
 def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +18,6 @@ def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, text) for name, text in TEXTS.items()}
+QUERIES |= spatial.QUERIES
 ORACLE_SQL: dict[str, str] = {name: oracle(text) for name, text in TEXTS.items()}
+ORACLE_SQL |= {name: oracle(text) for name, text in spatial.ORACLE_TEXTS.items()}
