@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, which is the case in tests.
@@ -28,6 +27,7 @@ def build_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
 
