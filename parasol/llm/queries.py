@@ -66,6 +66,44 @@ QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_lm, op3_packin
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
+    "op1_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        good AS (
+            SELECT * FROM v
+            WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x <> 0)) > 0
+              AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        pairs AS (
+            SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+            WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93),
+        reach(a, b, id) AS (
+            SELECT a, b, id FROM pairs UNION SELECT reach.a, pairs.b, pairs.id FROM reach JOIN pairs ON pairs.a = reach.b),
+        least_id AS (SELECT a, min(id) AS id FROM reach GROUP BY a),
+        links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+        named AS (
+            SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, id) AS component_id
+            FROM v LEFT JOIN links ON links.a = v.r LEFT JOIN least_id ON least_id.a = v.r)
+        SELECT *, coalesce(vec_id = component_id, false) AS kept FROM named
+    """,
+    "op9_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d),
+        shingles AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+        sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+        shared AS (
+            SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+        pairs AS (
+            SELECT a, b, doc_id AS id FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b JOIN d ON d.r = b
+            WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach(a, b, id) AS (
+            SELECT a, b, id FROM pairs UNION SELECT reach.a, pairs.b, pairs.id FROM reach JOIN pairs ON pairs.a = reach.b),
+        least_id AS (SELECT a, min(id) AS id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, id) AS component_id
+        FROM d LEFT JOIN sizes ON sizes.r = d.r LEFT JOIN least_id ON least_id.a = d.r
+    """,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(length(text), 0) AS n,
