@@ -44,6 +44,28 @@ def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total
     return done.unionByName(rest)
 
 
+#: Bits of a key filter: 4 MB, whatever the input. When it fills up it lets more rows through, never fewer.
+FILTER_BITS = 1 << 25
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.col(key), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashed ``key`` (long): at most FILTER_BITS / 32768 rows (bucket, bits)."""
+    bits = keys.select(_bit(key).alias("b")).select(F.expr("bitmap_bucket_number(b)").alias("bucket"), F.expr("bitmap_bit_position(b)").alias("at"))
+    return bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
+
+
+def may_match(rows: DataFrame, filters: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` the filter has, and perhaps a few others; the filter is broadcast."""
+    placed = rows.withColumn("__b", _bit(key)).withColumn("bucket", F.expr("bitmap_bucket_number(__b)")).withColumn("__at", F.expr("bitmap_bit_position(__b)"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(__at % 8 as int)")
+    return placed.join(F.broadcast(filters), "bucket").where(F.call_function("getbit", byte, bit) == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, a != b): one row (id, comp), comp the smallest id.
 

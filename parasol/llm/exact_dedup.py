@@ -18,14 +18,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parasol.llm.common import attach
+from parasol.llm.common import attach, key_filter, may_match
 from parasol.session import save_table
 
-#: Bits of the filter: 4 MB, whatever the input. When it fills up it lets more texts through to verification.
-FILTER_BITS = 1 << 25
-_BUCKET = 32768  # bits that Spark's bitmap functions keep in one row
-
-
 def normalised(text: Column) -> Column:
     """The text without the six ASCII white-space characters; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
@@ -63,24 +58,6 @@ def merge(*indexes: DataFrame) -> DataFrame:
     return level.groupBy("digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
-def _bit(digest: str) -> Column:
-    return F.pmod(F.col(digest), F.lit(FILTER_BITS))
-
-
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """At most FILTER_BITS / 32768 rows (bucket, bits) that cover the digests of ``hits``."""
-    bits = hits.select(_bit("digest").alias("b")).select(F.expr("bitmap_bucket_number(b)").alias("bucket"), F.expr("bitmap_bit_position(b)").alias("at"))
-    return bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
-
-
-def may_hit(rows: DataFrame, filters: DataFrame) -> DataFrame:
-    """The rows whose digest the filter has, and perhaps a few others."""
-    placed = rows.withColumn("b", _bit("digest")).withColumn("bucket", F.expr("bitmap_bucket_number(b)")).withColumn("at", F.expr("bitmap_bit_position(b)"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.expr("cast(at % 8 as int)")
-    return placed.join(F.broadcast(filters), "bucket").where(F.call_function("getbit", byte, hit) == 1).select(*rows.columns)
-
-
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, digest.
 
@@ -97,8 +74,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64
     total = runs.count()
     index = save_table(compact(runs, ["digest"]), "dedup-index")
     hits = index.where("group_size > 1").select("digest", "group_size")
-    filters = save_table(hit_filter(hits), "dedup-filter")
-    suspects = may_hit(keyed(docs, digest, id_col, text_col).select("digest", "norm"), filters)
+    filters = save_table(key_filter(hits, "digest"), "dedup-filter")
+    suspects = may_match(keyed(docs, digest, id_col, text_col).select("digest", "norm"), filters, "digest")
     compared = suspects.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs"))
     mixed = save_table(compared.where("differs").select("digest"), "dedup-mixed")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parasol.llm.bpe import Cache
-from parasol.llm.common import Forest, attach, components, groups, tiles, together
+from parasol.llm.common import Forest, attach, components, groups, key_filter, may_match, tiles, together
 from parasol.session import save_table, small_batches
 
 #: Words of a shingle, and the links' least similarity as a fraction.
@@ -201,7 +201,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     # The texts of one document of each class of these components, verified within them.
     sized = save_table(maybe.withColumn("m", F.count("*").over(Window.partitionBy("comp"))).join(classes.select(F.col("cid").alias("id"), "own", "digest"), "id"), "jaccard-maybe")
     wanted = sized.select(F.col("id").alias("cid"), "comp", "m", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest")
-    found = texts.join(wanted, (texts["th"] == wanted["th"]) & texts["doc_id"].eqNullSafe(wanted["want"])).select("cid", "comp", "m", "text", "digest")
+    # Most texts are in no such component; a filter of fixed size drops them before they are sent.
+    likely = may_match(texts, save_table(key_filter(wanted, "th"), "jaccard-filter"), "th")
+    found = likely.join(wanted, (likely["th"] == wanted["th"]) & likely["doc_id"].eqNullSafe(wanted["want"])).select("cid", "comp", "m", "text", "digest")
     found = found.dropDuplicates(["cid"])  # repeated rows
     tile2 = ["comp", "ti", "tj"]
 
