@@ -14,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parasol.llm.common import word_count
+from parasol.llm.common import without, word_count
 from parasol.llm.exact_dedup import exact_dedup, keep_rows
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
@@ -24,14 +24,20 @@ from parasol.llm.toxicity import THRESHOLD, toxicity
 from parasol.session import save_table
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds ``__id``: doc_id, or for null ids a number of its own beyond any id. ``docs`` is a scan, so it is the same each time."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity classifier rejects; it learns from the labels beside them.
 
     An id that occurs with several texts goes if any of them is rejected.
     """
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    scored = toxicity(named.select(F.col("__id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = save_table(scored.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__id")).distinct(), "pipeline-toxic")
+    return without(named, rejected, "__id").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of the Jaccard join, the one whose id names it.
 
-    Documents with a null id stay.
+    Documents with a null id come last, so they stay only where no other does.
+    Rows that share an id count as one document.
     """
-    dropped = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    dropped = save_table(jaccard_join(named.select(F.col("__id").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "pipeline-near")
+    return without(named, dropped, "__id").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

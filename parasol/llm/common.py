@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parasol.session import cut
+from parasol.session import cut, save_table
 
 #: A key that holds more than one in HOT_SHARE of all rows counts as hot. At most HOT_SHARE keys can.
 HOT_SHARE = 1000
@@ -66,6 +66,22 @@ def may_match(rows: DataFrame, filters: DataFrame, key: str) -> DataFrame:
     return placed.join(F.broadcast(filters), "bucket").where(F.call_function("getbit", byte, bit) == 1).select(*rows.columns)
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` (long) is not among ``keys`` (one column of that name); rows without a key stay.
+
+    Rows that the filter of ``keys`` doesn't have go past the join, so about as
+    many rows are sent as there are matches.
+    """
+    filters = save_table(key_filter(keys, key), "anti-filter")
+    placed = rows.withColumn("__b", _bit(key)).withColumn("__bucket", F.expr("bitmap_bucket_number(__b)")).withColumn("__at", F.expr("bitmap_bit_position(__b)"))
+    marked = placed.join(F.broadcast(filters.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket", "left")
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.call_function("getbit", byte, F.expr("cast(__at % 8 as int)")) == 1, F.lit(False))
+    marked = marked.withColumn("__hit", hit).select(*rows.columns, "__hit")
+    likely = marked.where("__hit").drop("__hit").join(keys, key, "left_anti")
+    return marked.where("not __hit").drop("__hit").unionByName(likely.select(*rows.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, a != b): one row (id, comp), comp the smallest id.
 
