@@ -176,6 +176,27 @@ QUERIES = {
         tips as (select node_id from way_nodes w join bounds e on e.way_id = w.way_id and (w.pos = e.a or w.pos = e.b)),
         again as (select node_id from way_nodes group by way_id, node_id having count(*) >= 2)
         select node_id from uses union select node_id from tips union select node_id from again""",
+    # Ways cut at junctions; a junction ends one chain and begins the next; keys number parallel chains
+    "chain_split": f"""{with_views('way_nodes')},
+        ordered as (select way_id, node_id, row_number() over (partition by way_id order by pos, node_id) as rn, count(*) over (partition by way_id) as n from way_nodes),
+        shared as (select node_id from way_nodes group by node_id having count(distinct way_id) >= 2 union select node_id from way_nodes group by way_id, node_id having count(*) >= 2),
+        breaks as (select o.way_id, o.node_id, o.rn from ordered o left join shared s on s.node_id = o.node_id where s.node_id is not null or rn = 1 or rn = n),
+        chains as (select way_id, rn as a, node_id as u, lead(rn) over (partition by way_id order by rn) as b, lead(node_id) over (partition by way_id order by rn) as v from breaks)
+        select way_id, a, u, v, b - a + 1 as nodes, row_number() over (partition by least(cast(u as STRING), cast(v as STRING)), greatest(cast(u as STRING), cast(v as STRING)) order by way_id, a) - 1 as key from chains where b is not null""",
+    # The point half way along a line, by length
+    "halfway_point": f"""{with_views('way_nodes')},
+        pts as (select way_id, (node_id % 40) * 100e0 as x, (node_id DIV 40) * 80e0 as y, row_number() over (partition by way_id order by pos, node_id) as rn from way_nodes),
+        segs as (select way_id, rn, x, y, lead(x) over (partition by way_id order by rn) as x2, lead(y) over (partition by way_id order by rn) as y2 from pts),
+        lens as (select *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) as len from segs where x2 is not null),
+        run as (select *, sum(len) over (partition by way_id order by rn rows between unbounded preceding and current row) as upto, sum(len) over (partition by way_id) as total from lens),
+        mids as (select *, row_number() over (partition by way_id order by rn) as r from run where upto >= total / 2 and len > 0)
+        select way_id, round(x + (x2 - x) * (total / 2 - upto + len) / len, 6) as x, round(y + (y2 - y) * (total / 2 - upto + len) / len, 6) as y, round(total, 6) as total from mids where r = 1""",
+    # Ends inside edges: over the four pairs of ends, or along the edge they share
+    "partial_edge_routes": f"""{with_views('edges')},
+        snaps as (select edge_id, u, v, length_m, length_m * ((edge_id * 7) % 10) / 10e0 as a_from_u, length_m * ((edge_id * 3) % 10) / 10e0 as b_from_u from edges),
+        pairs as (select a.edge_id as ea, b.edge_id as eb, a.a_from_u, a.length_m - a.a_from_u as a_from_v, b.b_from_u, b.length_m - b.b_from_u as b_from_v, a.u as au, a.v as av, b.u as bu, b.v as bv from snaps a join snaps b on b.edge_id between a.edge_id and a.edge_id + 3),
+        ways as (select ea, eb, case when ea = eb then abs(a_from_u - b_from_u) end as direct, case when au = bu then a_from_u + b_from_u end as uu, case when au = bv then a_from_u + b_from_v end as uv, case when av = bu then a_from_v + b_from_u end as vu, case when av = bv then a_from_v + b_from_v end as vv from pairs)
+        select ea, eb, round(least(direct, uu, uv, vu, vv), 6) as metres, direct is not null and direct <= coalesce(least(uu, uv, vu, vv), direct) as is_direct from ways where coalesce(direct, uu, uv, vu, vv) is not null""",
     # N3, N14
     "edge_invariants": f"""{with_views('edges')}
         select name like 'Row%' as is_row, count(*) as n, count(case when length_m < sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 0.998e0 - 2 then 1 end) as shorter_than_chord, round(max(length_m), 6) as longest

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parasol.plans import audits, scoring, spatial, texts
 from parasol.plans.dialect import oracle, run
@@ -13,11 +13,39 @@ from parasol.plans.dialect import oracle, run
 TEXTS: dict[str, str] = {**scoring.QUERIES, **audits.QUERIES, **texts.QUERIES}
 
 
+#: Columns that the oracle would give as narrower integers than Spark's queries do.
+_WIDE = {
+    "request_validate": "status",
+    "query_normalise": "status",
+    "blend_weights": "corner",
+    "real_park_filter": "park_id",
+    "first_matching_box": "park_id",
+    "pip_parks": "first_park",
+    "borough_bucketing": "borough",
+    "confusion_shares": "policy",
+    "score_lookup": "key",
+    "edge_dedupe_best": "key",
+    "parallel_edge_key": "l_linenumber",
+    "running_length": "l_linenumber",
+    "longest_part": "part",
+}
+
+
+def _widened(frame: DataFrame) -> DataFrame:
+    """All integers as 64-bit, as the oracle has them."""
+    return frame.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in frame.dtypes))
+
+
 def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, text)
+    return _widened(run(spark, sf_dir, text))
+
+
+def _oracle(name: str, text: str) -> str:
+    wide, text = _WIDE.get(name), oracle(text)
+    return f"select * replace (cast({wide} as bigint) as {wide}) from ({text}) q" if wide else text
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, text) for name, text in TEXTS.items()}
 QUERIES |= spatial.QUERIES
-ORACLE_SQL: dict[str, str] = {name: oracle(text) for name, text in TEXTS.items()}
-ORACLE_SQL |= {name: oracle(text) for name, text in spatial.ORACLE_TEXTS.items()}
+ORACLE_SQL: dict[str, str] = {name: _oracle(name, text) for name, text in TEXTS.items()}
+ORACLE_SQL |= {name: _oracle(name, text) for name, text in spatial.ORACLE_TEXTS.items()}
