@@ -24,7 +24,7 @@ from parasol.llm.common import fold
 from parasol.llm.features import CACHE_ENTRIES, collect_features, labelled, logistic, sample_texts, score_texts
 
 #: Documents that the fit uses at most, those with the smallest hashes of their ids.
-POSITIVES, UNLABELLED = 3000, 10000
+POSITIVES, UNLABELLED = 1500, 4000
 BITS = 20
 #: Characters of the word beginnings that count as features, besides whole words.
 PREFIXES = (4, 5, 6, 7)
