@@ -147,11 +147,11 @@ def page(params, headers):
 def test_paged_source(spark):
     spark.dataSource.register(PagedSource)
     read = spark.read.format("paged").schema("id int, name string").option("endpoint", "tests.test_operators:page").option("rows", 25).option("pagesize", 10)
-    frame = read.option("order", "id").load()
-    assert sorted(r.id for r in frame.collect()) == list(range(25)) and frame.rdd.getNumPartitions() == 3
-    assert frame.where("id > 20").count() == 4
     with pytest.raises(Exception, match="unique order"):
         read.load().collect()
+    frame = read.option("order", "id").load()  # a reader keeps its options
+    assert sorted(r.id for r in frame.collect()) == list(range(25)) and frame.rdd.getNumPartitions() == 3
+    assert frame.where("id > 20").count() == 4
 
 
 def test_retries():
