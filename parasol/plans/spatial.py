@@ -40,13 +40,22 @@ def length_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("edge_id", "face_id", F.round("metres", 6).alias("metres"))
 
 
-def knn_snap(spark: SparkSession, d: str) -> DataFrame:
-    """The edge nearest to each tree, among edges within 200 m, and where on it."""
+def _snap(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     n = view(spark, d, "nodes").select("k", "x", "y")
-    e = view(spark, d, "edges").join(n.toDF("u", "ax", "ay"), "u").join(n.toDF("v", "bx", "by"), "v").where("edge_id % 5 = 0")
+    e = edges.join(n.toDF("u", "ax", "ay"), "u").join(n.toDF("v", "bx", "by"), "v")
     return spatial.nearest(_trees(spark, d), e, 200.0, "tree_id", "edge_id", "edge_id").select("tree_id", "edge_id", F.round("distance_m", 6).alias("distance_m"))
 
 
+def knn_snap(spark: SparkSession, d: str) -> DataFrame:
+    """The edge nearest to each tree, among every fifth edge within 200 m: the part that the oracle's cross join answers."""
+    return _snap(spark, d, view(spark, d, "edges").where("edge_id % 5 = 0"))
+
+
+def knn_snap_all(spark: SparkSession, d: str) -> DataFrame:
+    """The edge nearest to each tree, among all edges within 200 m."""
+    return _snap(spark, d, view(spark, d, "edges"))
+
+
 _EDGE_LINES = f"{with_views('edges', 'trees')}, lines as (select edge_id, a.x as ax, a.y as ay, b.x as bx, b.y as bby from edges join nodes a on a.k = u join nodes b on b.k = v where edge_id % 5 = 0), points as (select tree_id, x as px, y as py from trees)"
 
 
@@ -63,12 +72,16 @@ _REACH = f"""{with_views('edges')}, linked as (select u as a, v as b from edges
 _RECURSIVE = _REACH.replace("with ", "with recursive ", 1) + ", reach(a, b) as (select a, b from linked union select r.a, l.b from reach r join linked l on l.a = r.b), comp as (select a as k, least(a, min(b)) as component from reach group by a)"
 
 
-def snap_component_pair(spark: SparkSession, d: str) -> DataFrame:
-    """For start and end points: the component with the least sum of distances among those near both."""
+def _keys(nodes: DataFrame) -> int:
+    """The largest key of the nodes and one, by which requests are folded to nodes."""
+    return (nodes.agg(F.max("k")).first()[0] or 0) + 1
+
+
+def _snap_pair(spark: SparkSession, d: str, req: DataFrame) -> DataFrame:
+    """For start and end nodes (event_id, s, t), each moved a little: the component with the least sum of distances among those near both."""
     n = view(spark, d, "nodes").select("k", "x", "y")
     comp = components(spark, d)
     near = n.join(comp, "k").select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"), "component")
-    req = view(spark, d, "moments").where("event_id % 10 = 0").select("event_id", *(((F.col("event_id") * m) % 150).alias(k) for m, k in ((37, "s"), (53, "t"))))
     ends = [req.join(n, req[k] == n["k"]).select("event_id", (F.col("x") + 13).alias("px"), (F.col("y") + 29).alias("py")) for k in "st"]
     found = [spatial.within(p, near, 200.0).groupBy("event_id", "component").agg(F.min("d").alias(c)) for p, c in zip(ends, ("ds", "dt"), strict=True)]
     both = found[0].join(found[1], ["event_id", "component"])
@@ -76,6 +89,20 @@ def snap_component_pair(spark: SparkSession, d: str) -> DataFrame:
     return best.select("event_id", "b.component", F.round("b.sum", 6).alias("sum_m"))
 
 
+def _ends(requests: DataFrame, keys: int) -> DataFrame:
+    return requests.select("event_id", *(((F.col("event_id") * m) % keys).alias(k) for m, k in ((37, "s"), (53, "t"))))
+
+
+def snap_component_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Component pairs of every tenth request, between the first 150 nodes: the part that the oracle answers."""
+    return _snap_pair(spark, d, _ends(view(spark, d, "moments").where("event_id % 10 = 0"), 150))
+
+
+def snap_component_pair_all(spark: SparkSession, d: str) -> DataFrame:
+    """Component pairs of all requests, between any nodes."""
+    return _snap_pair(spark, d, _ends(view(spark, d, "moments"), _keys(view(spark, d, "nodes"))))
+
+
 def sssp_distance(spark: SparkSession, d: str) -> DataFrame:
     """Least lengths from three nodes, within 500 m."""
     e = view(spark, d, "edges").select("u", "v", F.col("length_m").alias("cost"))
@@ -105,15 +132,38 @@ _SIDE = f"""{with_views('trees')},
     from (select distinct face_id from v) f left join way on way.face_id = f.face_id"""
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    b = view(spark, d, "buildings").where("building_id < 400").select("x0", "y0", (F.col("x0") + 12).alias("x1"), (F.col("y0") + 12).alias("y1"), (F.col("building_id") % 40 * 1.0).alias("height"))
+#: The part of buildings and nodes that the oracle's joins answer.
+_SOME_BUILDINGS, _SOME_NODES = "building_id < 400", "k < 800"
+
+
+def _boxes(spark: SparkSession, d: str, which: str) -> DataFrame:
+    b = view(spark, d, "buildings").where(which).select("x0", "y0", (F.col("x0") + 12).alias("x1"), (F.col("y0") + 12).alias("y1"), (F.col("building_id") % 40 * 1.0).alias("height"))
     return b
 
 
-def raster_march_small(spark: SparkSession, d: str) -> DataFrame:
+def _probes(spark: SparkSession, d: str, which: str, deep: int) -> DataFrame:
+    """Points of the nodes, spread over 1,500 by ``deep`` metres."""
+    return view(spark, d, "nodes").where(which).select(F.col("k").alias("point_id"), ((F.col("k") * 37) % 1500 + 0.25).alias("px"), ((F.col("k") * 53) % deep + 0.25).alias("py"))
+
+
+def _depth(spark: SparkSession, d: str) -> int:
+    """Metres from the first row of buildings to behind the last; 260 for 400 buildings."""
+    return 30 * ((view(spark, d, "buildings").agg(F.max("building_id")).first()[0] or 0) // 50 + 1) + 20
+
+
+def _march(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """Shadow at 45 degrees from the south, on 3 m cells in hops of 1.5 m."""
-    points = view(spark, d, "nodes").where("k < 800").select(F.col("k").alias("point_id"), ((F.col("k") * 37) % 1500 + 0.25).alias("px"), ((F.col("k") * 53) % 260 + 0.25).alias("py"))
-    return spatial.march(points, spatial.rasterise(_boxes(spark, d), 3.0), 3.0, 1.5, 180.0, 1.0, 60.0)
+    return spatial.march(points, spatial.rasterise(boxes, 3.0), 3.0, 1.5, 180.0, 1.0, 60.0)
+
+
+def raster_march_small(spark: SparkSession, d: str) -> DataFrame:
+    """Shadow of the first 400 buildings on the first 800 nodes: the part that the oracle answers."""
+    return _march(_boxes(spark, d, _SOME_BUILDINGS), _probes(spark, d, _SOME_NODES, 260))
+
+
+def raster_march_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shadow of all buildings on all nodes."""
+    return _march(_boxes(spark, d, "true"), _probes(spark, d, "true", _depth(spark, d)))
 
 
 _MARCH = f"""{with_views('buildings', 'nodes')},
@@ -125,16 +175,25 @@ _MARCH = f"""{with_views('buildings', 'nodes')},
     select p.point_id, h.point_id is not null as shaded from pts p left join hit h on h.point_id = p.point_id"""
 
 
-def shaded_bytes(spark: SparkSession, d: str) -> DataFrame:
+def _bytes(marched: DataFrame) -> DataFrame:
     """Shaded samples per owner as a byte, half to even."""
-    s = raster_march_small(spark, d).groupBy((F.col("point_id") % 97).alias("owner")).agg(F.count("*").alias("n"), F.count_if("shaded").alias("shaded"))
+    s = marched.groupBy((F.col("point_id") % 97).alias("owner")).agg(F.count("*").alias("n"), F.count_if("shaded").alias("shaded"))
     return s.select("owner", "n", "shaded", F.rint(255.0 * F.col("shaded") / F.col("n")).cast("long").alias("value"))
 
 
-def shadow_sweep(spark: SparkSession, d: str) -> DataFrame:
+def shaded_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Shaded samples per owner over the points of raster_march_small."""
+    return _bytes(raster_march_small(spark, d))
+
+
+def shaded_bytes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shaded samples per owner over all points."""
+    return _bytes(raster_march_all(spark, d))
+
+
+def _sweep(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """Points in the shadow of a box moved along one direction: in the box, in the moved box, or between."""
-    b = _boxes(spark, d).where("height > 20").withColumn("building", F.monotonically_increasing_id())
-    points = view(spark, d, "nodes").select(F.col("k").alias("point_id"), ((F.col("k") * 37) % 1500 + 0.25).alias("px"), ((F.col("k") * 53) % 260 + 0.25).alias("py"))
+    b = boxes.where("height > 20").withColumn("building", F.monotonically_increasing_id())
     tall = b.withColumn("y1", F.col("y1") + F.col("height"))  # the sun due south at 45 degrees moves the box north by its height
     size = 40.0
     placed = points.withColumn("cx", g.cell(F.col("px"), size)).withColumn("cy", g.cell(F.col("py"), size))
@@ -143,6 +202,16 @@ def shadow_sweep(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(cells, ["cx", "cy"]).where(inside).groupBy("point_id").agg(F.count("*").alias("shadows"))
 
 
+def shadow_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Shadows of the first 400 buildings: the part that the oracle answers."""
+    return _sweep(_boxes(spark, d, _SOME_BUILDINGS), _probes(spark, d, "true", 260))
+
+
+def shadow_sweep_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shadows of all buildings on all nodes."""
+    return _sweep(_boxes(spark, d, "true"), _probes(spark, d, "true", _depth(spark, d)))
+
+
 _SWEEP = f"""{with_views('buildings', 'nodes')}, boxes as (select x0, y0, (building_id % 40) * 1e0 as height from buildings where building_id < 400 and building_id % 40 > 20),
     pts as (select k as point_id, (k * 37) % 1500 + 0.25e0 as px, (k * 53) % 260 + 0.25e0 as py from nodes)
     select point_id, count(*) as shadows from pts join boxes on px > x0 and px < x0 + 12 and py > y0 and py < y0 + 12 + height group by point_id"""
@@ -210,7 +279,7 @@ def geodesic_lengths(spark: SparkSession, d: str) -> DataFrame:
     return e.select("edge_id", F.round(g.vincenty(*(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))), 1).alias("length_m"), F.round(x, 3).alias("x_ft"), F.round(y, 3).alias("y_ft"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths)}
+QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths, knn_snap_all, snap_component_pair_all, raster_march_all, shaded_bytes_all, shadow_sweep_all)}
 
 ORACLE_TEXTS = {
     "nearest_with_runner_up": f"""{_POINTS}, pairs as (select tree_id, face_id, segment_id, {_D} as d from points cross join faces),
