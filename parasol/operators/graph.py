@@ -15,6 +15,10 @@ from parasol.session import cut
 BROADCAST_EDGES = 20_000_000
 #: Walking speed, and an edge's least length.
 WALK_M_S, LEAST_M = 1.4, 0.01
+#: Requests in one block, and rows of routes that are held before they are passed on.
+BLOCK, ROUTE_ROWS = 2000, 1000
+ROUTE_SCHEMA = "request long, weight double, length_m double, minutes double, tree_count long, shade_fraction double, park_canopy_share double, edges array<long>"
+ROUTE_COLUMNS = [c.split()[0] for c in ROUTE_SCHEMA.split(", ")]
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -59,31 +63,41 @@ class Csr:
 
     def path(self, cost: list[float], source: int, target: int) -> tuple[float, list[int]] | None:
         """Least cost and its edges; ties go to the smaller node, then the smaller edge."""
-        if source not in self.index or target not in self.index:
+        return Search(self, cost, source).path(target)
+
+
+class Search:
+    """Least costs from one source, settled only as far as the targets asked for so far."""
+
+    def __init__(self, graph: Csr, cost: list[float], source: int) -> None:
+        self.graph, self.cost, self.source = graph, cost, graph.index.get(source)
+        self.best, self.back, self.done = {self.source: 0.0}, {}, set()
+        self.queue = [] if self.source is None else [(0.0, self.source)]
+
+    def path(self, target: int) -> tuple[float, list[int]] | None:
+        """Least cost and its edges; ties go to the smaller node, then the smaller edge."""
+        g, cost, best, back, done, queue = self.graph, self.cost, self.best, self.back, self.done, self.queue
+        t = g.index.get(target)
+        if t is None:
             return None
-        s, t = self.index[source], self.index[target]
-        best, back, queue = {s: 0.0}, {}, [(0.0, s)]
-        done = set()
-        while queue:
+        while queue and t not in done:
             d, k = heapq.heappop(queue)
             if k in done:
                 continue
             done.add(k)
-            if k == t:
-                break
-            for i in range(self.start[k], self.start[k + 1]):
-                n, e = self.to[i], self.edge[i]
+            for i in range(g.start[k], g.start[k + 1]):
+                n, e = g.to[i], g.edge[i]
                 nd = d + cost[e]
                 if n not in done and nd < best.get(n, np.inf):
                     best[n], back[n] = nd, (k, e)
                     heapq.heappush(queue, (nd, n))
         if t not in done:
             return None
-        out = []
-        while t != s:
+        d, out = best[t], []
+        while t != self.source:
             t, e = back[t]
             out.append(e)
-        return best[self.index[target]], out[::-1]
+        return d, out[::-1]
 
 
 def route_batch(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...] = (0.0, 5.0, 15.0, 40.0)) -> DataFrame:
@@ -93,7 +107,8 @@ def route_batch(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...
     weight: length, minutes, tree count, shade and park shares and the edges of
     the path; null measures where there is no path. Shade never falls as the
     weight grows: such a route is replaced by the shadiest one so far. The
-    graph is broadcast if it has at most BROADCAST_EDGES edges.
+    graph is broadcast if it has at most BROADCAST_EDGES edges; requests then come
+    in blocks ordered by source, so that those of one source share its searches.
     """
     n = edges.count()
     if n > BROADCAST_EDGES:
@@ -105,28 +120,41 @@ def route_batch(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...
         t = shared.value
         graph, length = Csr(t), np.maximum(t.length_m.to_numpy(), LEAST_M)
         density = np.stack(t.densities.to_numpy())
+        trees, canopy, ids = t.tree_count.to_numpy(), t.park_canopy.to_numpy(), t.edge_id.to_numpy()
         costs: dict[tuple[int, float], list[float]] = {}
+        searches: dict[float, Search] = {}
+        now, rows = None, []
         for b in batches:
-            rows = []
             for r in b.itertuples():
+                if now != (r.src, r.moment):
+                    now, searches = (r.src, r.moment), {}
                 best = None
                 for w in sorted(weights):
                     key = (int(r.moment), w)
                     if key not in costs:
                         costs[key] = (length / (1 + w * density[:, key[0]])).tolist()
-                    found = graph.path(costs[key], int(r.src), int(r.dst))
+                    if w not in searches:
+                        searches[w] = Search(graph, costs[key], int(r.src))
+                    found = searches[w].path(int(r.dst))
                     if found is None:
                         rows.append((r.request, w, None, None, None, None, None, None))
                         continue
                     e = np.array(found[1], dtype=np.int64)
-                    total = float(length[e].sum())
-                    shade = float((length[e] * density[e, key[0]]).sum() / max(total, LEAST_M) / 0.033)
-                    park = float((length[e] * t.park_canopy.to_numpy()[e]).sum() / max(total, LEAST_M))
-                    row = (total, total / WALK_M_S / 60, int(t.tree_count.to_numpy()[e].sum()), shade, park, t.edge_id.to_numpy()[e].tolist())
+                    row = _measures(float(length[e].sum()), int(trees[e].sum()), float((length[e] * density[e, key[0]]).sum()), float((length[e] * canopy[e]).sum()), ids[e].tolist())
                     if best is None or row[3] >= best[3] - 1e-9:
                         best = row
                     rows.append((r.request, w, *best))
-            yield pd.DataFrame(rows, columns=["request", "weight", "length_m", "minutes", "tree_count", "shade_fraction", "park_canopy_share", "edges"])
+                if len(rows) >= ROUTE_ROWS:
+                    yield pd.DataFrame(rows, columns=ROUTE_COLUMNS)
+                    rows = []
+        yield pd.DataFrame(rows, columns=ROUTE_COLUMNS)
+
+    rows = requests.select("request", "src", "dst", "moment")
+    blocks = rows.repartitionByRange(-(-rows.count() // BLOCK) or 1, "src", "moment", "request").sortWithinPartitions("src", "moment")
+    return blocks.mapInPandas(run, ROUTE_SCHEMA)
+
 
-    schema = "request long, weight double, length_m double, minutes double, tree_count long, shade_fraction double, park_canopy_share double, edges array<long>"
-    return requests.select("request", "src", "dst", "moment").mapInPandas(run, schema)
+def _measures(length: float, trees: int, shade: float, park: float, edges: list[int]) -> tuple:
+    """A route's row from its sums; shade and park are weighted by length."""
+    per = max(length, LEAST_M)
+    return length, length / WALK_M_S / 60, trees, shade / per / 0.033, park / per, edges

@@ -250,7 +250,9 @@ def _route_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _route_requests(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "moments").where("event_id % 50 = 0").select(F.col("event_id").alias("request"), ((F.col("user_id") * 7) % 150).alias("src"), ((F.col("event_id") * 37) % 150).alias("dst"), (F.col("event_id") / 50 % 2).cast("int").alias("moment"))
+    """A request for every event, between any nodes."""
+    keys = _keys(view(spark, d, "nodes"))
+    return view(spark, d, "moments").select(F.col("event_id").alias("request"), ((F.col("user_id") * 7) % keys).alias("src"), ((F.col("event_id") * 37) % keys).alias("dst"), (F.col("event_id") / 50 % 2).cast("int").alias("moment"))
 
 
 def route_batch(spark: SparkSession, d: str) -> DataFrame:

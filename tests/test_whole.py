@@ -5,6 +5,7 @@ import pytest
 
 from parasol.plans import catalog
 from parasol.plans.adapters import view
+from parasol.plans.spatial import _route_requests
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +82,12 @@ def test_shadows_of_every_building_on_every_node(spark):
     got = {r.owner: (r.n, r.shaded, r.value) for r in catalog.QUERIES["shaded_bytes_all"](spark, SF).collect()}
     owned = {o: [v for k, v in shaded.items() if k % 97 == o] for o in range(97)}
     assert got == {o: (len(v), sum(v), round(255 * sum(v) / len(v))) for o, v in owned.items()}
+
+
+def test_routes_of_every_event(spark):
+    sf = "/root/testdata/sf0.001"
+    events = {r.event_id for r in view(spark, sf, "moments").select("event_id").collect()}
+    n = catalog.QUERIES["route_batch"](spark, sf).groupBy("request").count().collect()
+    assert {r.request for r in n} == events and {r["count"] for r in n} == {4}
+    ends = _route_requests(spark, SF).agg({"src": "max", "dst": "max"}).first()
+    assert min(ends) >= 150  # beyond the nodes of sf0.001
