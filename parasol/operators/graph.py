@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parasol.session import cut
 
-#: Edges that a broadcast graph may have; above, routes go by ``distances``.
+#: Edges that a broadcast graph may have; above, routes go by frames.
 BROADCAST_EDGES = 20_000_000
 #: Walking speed, and an edge's least length.
 WALK_M_S, LEAST_M = 1.4, 0.01
@@ -110,9 +110,8 @@ def route_batch(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...
     graph is broadcast if it has at most BROADCAST_EDGES edges; requests then come
     in blocks ordered by source, so that those of one source share its searches.
     """
-    n = edges.count()
-    if n > BROADCAST_EDGES:
-        raise ValueError(f"{n} edges are too many to broadcast; use distances()")
+    if edges.count() > BROADCAST_EDGES:
+        return _routes_by_frames(requests, edges, weights)
     table = edges.orderBy("edge_id").toPandas()
     shared = requests.sparkSession.sparkContext.broadcast(table)
 
@@ -158,3 +157,48 @@ def _measures(length: float, trees: int, shade: float, park: float, edges: list[
     """A route's row from its sums; shade and park are weighted by length."""
     per = max(length, LEAST_M)
     return length, length / WALK_M_S / 60, trees, shade / per / 0.033, park / per, edges
+
+
+def _routes_by_frames(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """The rows of route_batch with no edge on the driver: frontiers relaxed as frames, then paths walked back to their sources."""
+    key, edge_of = ["src", "moment", "weight"], edges.withColumn("length", F.greatest("length_m", F.lit(LEAST_M)))
+    ladder = F.explode(F.array(*(F.lit(float(w)) for w in sorted(weights)))).alias("weight")
+    asked = cut(requests.select("request", "src", "dst", "moment").withColumn("row", F.monotonically_increasing_id()))
+    wanted = cut(asked.select("src", "moment", "dst").distinct().select("src", "moment", "dst", ladder))
+    arcs = edge_of.select(F.col("u").alias("a"), F.col("v").alias("b"), "edge_id", "length", "densities")
+    arcs = cut(arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge_id", "length", "densities")))
+    onward = F.col("d") + F.col("length") / (1 + F.col("weight") * F.element_at("densities", F.col("moment") + 1))
+    known = arcs.select(F.col("a").alias("src")).distinct()
+    best = front = cut(wanted.select(key).distinct().join(known, "src").select(*key, F.col("src").alias("k"), F.lit(0.0).alias("d")))
+    while not front.isEmpty():
+        # Nothing beyond the farthest of a source's targets, once all are reached, is on a way to them.
+        bound = wanted.join(best.withColumnRenamed("k", "dst"), [*key, "dst"], "left").groupBy(key).agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("most"))
+        reached = front.join(arcs, front["k"] == arcs["a"]).select(*key, F.col("b").alias("k"), onward.alias("d")).groupBy(*key, "k").agg(F.min("d").alias("d"))
+        nearer = reached.join(bound, key).where("d <= most").join(best.withColumnRenamed("d", "old"), [*key, "k"], "left")
+        front = cut(nearer.where("old is null or d < old").select(*key, "k", "d"))
+        best = cut(best.unionByName(front).groupBy(*key, "k").agg(F.min("d").alias("d")))
+    # Ties as in Search: the predecessor that is settled first, then its smaller edge.
+    steps = best.join(arcs, best["k"] == arcs["a"]).select(*key, F.col("b").alias("k"), onward.alias("to"), F.struct("d", "a", "edge_id").alias("p"))
+    back = cut(steps.join(best, [*key, "k"]).where("to = d").groupBy(*key, "k").agg(F.min("p").alias("p")).select(*key, "k", "p.a", "p.edge_id"))
+    walks = cut(wanted.join(best.select(*key, F.col("k").alias("dst")), [*key, "dst"]).select(*key, "dst", F.col("dst").alias("k"), F.array().cast("array<long>").alias("edges")))
+    while not walks.where("k <> src").isEmpty():
+        longer = F.when(F.col("edge_id").isNull(), F.col("edges")).otherwise(F.concat(F.array("edge_id"), "edges"))
+        walks = cut(walks.join(back, [*key, "k"], "left").select(*key, "dst", F.coalesce("a", "k").alias("k"), longer.alias("edges")))
+    parts = walks.select(*key, "dst", F.explode("edges").alias("edge_id")).join(edge_of, "edge_id")
+    shade = F.col("length") * F.element_at("densities", F.col("moment") + 1)
+    sums = parts.groupBy(*key, "dst").agg(F.sum("length").alias("length"), F.sum("tree_count").alias("trees"), F.sum(shade).alias("shade"), F.sum(F.col("length") * F.col("park_canopy")).alias("park"))
+    routes = walks.join(sums, [*key, "dst"], "left").select(*key, "dst", "edges", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("length", "trees", "shade", "park")))
+
+    def clamp(group: pd.DataFrame) -> pd.DataFrame:
+        best, rows = None, []
+        for r in group.sort_values("weight").itertuples():
+            if r.edges is None:
+                rows.append((r.request, r.weight, None, None, None, None, None, None))
+                continue
+            row = _measures(r.length, int(r.trees), r.shade, r.park, list(r.edges))
+            if best is None or row[3] >= best[3] - 1e-9:
+                best = row
+            rows.append((r.request, r.weight, *best))
+        return pd.DataFrame(rows, columns=ROUTE_COLUMNS)
+
+    return asked.select("*", ladder).join(routes, [*key, "dst"], "left").groupBy("row").applyInPandas(clamp, ROUTE_SCHEMA)

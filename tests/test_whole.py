@@ -1,11 +1,15 @@
 """Queries over whole tables, against brute force in numpy: no row, key or id range is left out."""
 
+import random
+
 import numpy as np
 import pytest
 
+from parasol.operators import graph
 from parasol.plans import catalog
 from parasol.plans.adapters import view
 from parasol.plans.spatial import _route_requests
+from tests.test_operators import grid_edges
 
 SF = "/root/testdata/sf0.01"
 
@@ -91,3 +95,20 @@ def test_routes_of_every_event(spark):
     assert {r.request for r in n} == events and {r["count"] for r in n} == {4}
     ends = _route_requests(spark, SF).agg({"src": "max", "dst": "max"}).first()
     assert min(ends) >= 150  # beyond the nodes of sf0.001
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_large_graphs_route_by_frames(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    edges = [(e, u, v, c if seed else 10.0, rng.randint(0, 5), rng.random(), [rng.random() * 0.033 for _ in range(2)] if seed else [0.01, 0.02]) for e, u, v, c in [*grid_edges(4, seed), (900, 3, 3, 1.0), (901, 3, 4, 2.0), (902, 70, 71, 0.0)]]
+    edges = spark.createDataFrame(edges, "edge_id long, u long, v long, length_m double, tree_count long, park_canopy double, densities array<double>")
+    asked = [(i, rng.randrange(8), rng.randrange(16), i % 2) for i in range(40)] + [(40, 3, 3, 0), (41, 0, 70, 1), (42, 70, 71, 0), (43, 0, 99, 0), (44, 99, 0, 0), (45, 99, 99, 0), (45, 0, 15, 1)]
+    asked = spark.createDataFrame(asked, "request long, src long, dst long, moment int")
+
+    def rows():
+        out = graph.route_batch(asked, edges).collect()
+        return sorted(([r.request, r.weight, r.edges, *(None if v is None else round(v, 9) for v in r[2:7])] for r in out), key=repr)
+
+    want = rows()
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 10)
+    assert rows() == want and sum(r[2] is not None for r in want) > 100
