@@ -112,3 +112,11 @@ def test_large_graphs_route_by_frames(spark, monkeypatch, seed):
     want = rows()
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 10)
     assert rows() == want and sum(r[2] is not None for r in want) > 100
+
+
+@pytest.mark.parametrize("name", ["tree_fraction_all", "building_fraction_all", "edge_density_layers_all", "edge_cost_ladder_all"])
+def test_every_edge_meets_a_moment(spark, name):
+    edges = {r.edge_id for r in view(spark, SF, "edges").select("edge_id").collect()}
+    moments = {r.event_id for r in view(spark, SF, "valid_moments").select("event_id").collect()}
+    got = {(r.edge_id, r.event_id) for r in catalog.QUERIES[name](spark, SF).select("edge_id", "event_id").collect()}
+    assert {e for e, _ in got} == edges and {m for _, m in got} == moments
