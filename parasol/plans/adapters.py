@@ -132,6 +132,10 @@ VIEWS = {
         select l_orderkey % 400 as way_id, l_linenumber + 10 * (l_orderkey DIV 400 % 3) as pos, (l_partkey * 7 + l_linenumber) % 900 as node_id
         from @lineitem where l_orderkey < 1200""",
 }
+#: way_nodes over all orders, three a way, on the nodes' own keys; the view of that name has the orders below 1,200.
+ALL_WAY_NODES = """
+        select l_orderkey DIV 3 as way_id, l_linenumber + 10 * (l_orderkey % 3) as pos, (l_partkey * 7 + l_linenumber) % (select max(c_custkey) + 1 from @customer) as node_id
+        from @lineitem"""
 _NEEDS = {"tree_values": ["trees"], "edges": ["nodes"], "scored_edges": ["edges"], "requests": ["moments"], "valid_moments": ["requests"], "blends": ["valid_moments"]}
 
 
@@ -149,5 +153,12 @@ def with_views(*names: str) -> str:
     return "with " + ", ".join(f"{n} as ({VIEWS[n]})" for n in order)
 
 
+def without(text: str, part: str) -> str:
+    """A query's text without a filter, or with all way nodes."""
+    if part not in text:
+        raise ValueError(f"no {part!r} in the text")
+    return text.replace(part, ALL_WAY_NODES if part == VIEWS["way_nodes"] else "")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(spark, sf_dir, f"{with_views(name)} select * from {name}")

@@ -6,7 +6,7 @@ they sort within Spark's windows and spill.
 
 from __future__ import annotations
 
-from parasol.plans.adapters import with_views
+from parasol.plans.adapters import VIEWS, with_views, without
 
 _ITEMS = "items as (select l_returnflag as grp, l_extendedprice as v, l_quantity as w, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount as d from @lineitem)"
 _POINT_IN = "x > x0 and x < x1 and y > y0 and y < y1"
@@ -224,3 +224,6 @@ QUERIES = {
     "longest_part": """with parts as (select l_suppkey as face_id, l_linenumber as part, sum(l_quantity) as len from @lineitem group by 1, 2), ranked as (select *, row_number() over (partition by face_id order by len desc, part) as r, sum(len) over (partition by face_id) as total from parts)
         select face_id, part, round(len, 6) as len, round(total, 6) as total from ranked where r = 1""",
 }
+#: The same over all rows.
+QUERIES |= {f"{name}_all": without(QUERIES[name], VIEWS["way_nodes"]) for name in ("semi_anti_ways", "junctions", "chain_split", "halfway_point")}
+QUERIES |= {"parent_name_decision_all": without(QUERIES["parent_name_decision"], "a.edge_id % 3 = 0 and ")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parasol.plans.adapters import with_views
+from parasol.plans.adapters import with_views, without
 
 #: Answers of a geocoder, from the nations and customers of the tables.
 _FEATURES = """features as (select c_custkey as ord, c_custkey % 60 as req, case when c_custkey % 4 = 0 then 'Place ' || cast(c_custkey % 50 as STRING) else '' end as name,
@@ -68,3 +68,5 @@ QUERIES = {
     "night_branch": f"""{with_views('route_results')}, base as (select request, min(length_m) as len, request % 3 = 0 as night from route_results where weight = 0 group by request)
         select r.request, r.weight, case when b.night then b.len else r.length_m end as length_m, b.night from route_results r join base b on b.request = r.request where r.result_id % 3 = 0""",
 }
+#: The same over all rows.
+QUERIES |= {"coverage_test_all": without(QUERIES["coverage_test"], " where event_id % 7 = 0"), "night_branch_all": without(QUERIES["night_branch"], " where r.result_id % 3 = 0")}

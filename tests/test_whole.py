@@ -120,3 +120,16 @@ def test_every_edge_meets_a_moment(spark, name):
     moments = {r.event_id for r in view(spark, SF, "valid_moments").select("event_id").collect()}
     got = {(r.edge_id, r.event_id) for r in catalog.QUERIES[name](spark, SF).select("edge_id", "event_id").collect()}
     assert {e for e, _ in got} == edges and {m for _, m in got} == moments
+
+
+def test_ways_events_and_results_are_all_read(spark):
+    def run(name):
+        return catalog.QUERIES[name](spark, SF)
+
+    orders = {r.l_orderkey // 3 for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").collect()}
+    assert sum(r.n for r in run("semi_anti_ways_all").collect()) == len(orders) > 400
+    assert run("coverage_test_all").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    base = "select request from r where weight = 0"
+    view(spark, SF, "route_results").createOrReplaceTempView("r")
+    assert run("night_branch_all").count() == spark.sql(f"select count(*) from r where request in ({base})").first()[0]
+    assert {r.edge_id % 3 for r in run("parent_name_decision_all").select("edge_id").collect()} == {0, 1, 2}
