@@ -1,20 +1,28 @@
 """Session defaults and the shared folder that cuts lineage.
 
 Every table that is written part-way through a job goes to the folder named by
-``spark.checkpoint.dir``, because driver and executors share no other one.
+``spark.checkpoint.dir``, because driver and executors share no other one. The
+tables of a driver process lie in one folder there, which goes when it ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, which is the case in tests.
+#: Used only where the session names no folder and runs on one machine, which is the case in tests.
 FALLBACK_DIR = "file:/tmp/checkpoints"
 #: Rows in one Arrow batch; texts may be long, so the default of 10,000 is too many.
 ARROW_ROWS = 1000
 
+#: The written tables of this process, in the order of writing.
+_made: list[str] = []
+_RUN = uuid.uuid4().hex
+
 
 def build_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the engine expects."""
@@ -33,10 +41,12 @@ def build_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; sets a fallback where none is named."""
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a fallback, a cluster an error."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = FALLBACK_DIR
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -49,9 +59,40 @@ def save_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     The result survives lost executors and is never computed twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parasol/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(lambda: _at_exit(spark))
+    path = f"{shared_dir(spark)}/parasol/{_RUN}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may be gone before the process
+        _delete(spark, _made[0].rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that were written inside, but for those whose ``table_path`` is put into the list that it yields.
+
+    Frames that read the others must have been written out by then.
+    """
+    before, kept = len(_made), []
+    try:
+        yield kept
+    finally:
+        gone = [p for p in _made[before:] if p not in kept]
+        for path in gone:
+            _delete(spark, path)
+            _made.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,6 +101,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Deletes what ``save_table`` wrote for ``table``, which must not be read any more."""
+    path = table.table_path
+    if path in _made:
+        _delete(table.sparkSession, path)
+        _made.remove(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch where the session keeps Spark's default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
