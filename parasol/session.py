@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder and runs on one machine, which is the case in tests.
 FALLBACK_DIR = "file:/tmp/checkpoints"
-#: Rows in one Arrow batch; texts may be long, so the default of 10,000 is too many.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch; texts may be long, so Spark's defaults are too many.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 #: The written tables of this process, in the order of writing.
 _made: list[str] = []
@@ -110,7 +110,8 @@ def drop_table(table: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch where the session keeps Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch where the session keeps Spark's defaults."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
