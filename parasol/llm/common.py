@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parasol.session import cut, save_table
+from parasol.session import drop_table, save_table
 
 #: A key that holds more than one in HOT_SHARE of all rows counts as hot. At most HOT_SHARE keys can.
 HOT_SHARE = 1000
@@ -28,8 +28,8 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
-def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """Left-joins ``classes`` (one row a key, ``size``: its rows in ``rows``) to ``rows``.
+def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """Joins ``classes`` (one row a key, ``size``: its rows in ``rows``) to ``rows``, left or inner.
 
     Keys with over 1/HOT_SHARE of ``total`` rows number at most HOT_SHARE, so they are
     broadcast; no task of the shuffled join then holds more than that share for one key.
@@ -40,45 +40,64 @@ def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     added = [c for c in classes.columns if c not in key]
     done = marked.where(F.col("__hot")).drop("__hot")
-    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *added).join(cold, key, "left")
+    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *added).join(cold, key, how)
     return done.unionByName(rest)
 
 
-#: Bits of a key filter: 4 MB, whatever the input. When it fills up it lets more rows through, never fewer.
-FILTER_BITS = 1 << 25
+def meeting(rows: DataFrame, key: list[str], size: str) -> DataFrame:
+    """The rows whose ``key`` others have too, with the number of its rows as ``size``. ``rows`` is read twice.
+
+    Keys that occur once, mostly the larger part, are dropped by a filter before
+    rows are sent.
+    """
+    counts = save_table(rows.groupBy(*key).agg(F.count("*").alias(size)).where(F.col(size) > 1), "meeting-keys")
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    filters = key_filter(counts.select(F.xxhash64(*key).alias("__k")), "__k", n)
+    likely = may_match(rows.withColumn("__k", F.xxhash64(*key)), save_table(filters, "meeting-filter"), "__k", n).drop("__k")
+    return attach(likely, counts, key, size, total, "inner")
+
+
+#: Bits of a key filter: so many for each key, but never more than MOST_BITS (half a million words, which bounds
+#: the broadcast). A filter that fills up lets more rows through, never fewer.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 25
+
+
+def _bits(keys: int) -> int:
+    return min(max(1 << (KEY_BITS * max(keys, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _word(key: str, keys: int) -> Column:
+    """The place of a key's bit, without the last six bits."""
+    return F.shiftright(F.pmod(F.col(key), F.lit(_bits(keys))), 6)
 
 
-def _bit(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(FILTER_BITS))
+def key_filter(rows: DataFrame, key: str, keys: int) -> DataFrame:
+    """A sparse bitmap of the hashed ``key`` (long), sized for ``keys`` of them: rows (word, bits)."""
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
+    return rows.select(_word(key, keys).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashed ``key`` (long): at most FILTER_BITS / 32768 rows (bucket, bits)."""
-    bits = keys.select(_bit(key).alias("b")).select(F.expr("bitmap_bucket_number(b)").alias("bucket"), F.expr("bitmap_bit_position(b)").alias("at"))
-    return bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
+def _marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str) -> DataFrame:
+    placed = rows.withColumn("__word", _word(key, keys))
+    joined = placed.join(F.broadcast(filters.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", how)
+    return joined.withColumn("__hit", F.coalesce(F.expr(f"shiftright(__bits, cast({key} & 63 as int)) & 1") == 1, F.lit(False)))
 
 
-def may_match(rows: DataFrame, filters: DataFrame, key: str) -> DataFrame:
+def may_match(rows: DataFrame, filters: DataFrame, key: str, keys: int) -> DataFrame:
     """The rows whose ``key`` the filter has, and perhaps a few others; the filter is broadcast."""
-    placed = rows.withColumn("__b", _bit(key)).withColumn("bucket", F.expr("bitmap_bucket_number(__b)")).withColumn("__at", F.expr("bitmap_bit_position(__b)"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.expr("cast(__at % 8 as int)")
-    return placed.join(F.broadcast(filters), "bucket").where(F.call_function("getbit", byte, bit) == 1).select(*rows.columns)
+    return _marked(rows, filters, key, keys, "inner").where("__hit").select(*rows.columns)
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` (long) is not among ``keys`` (one column of that name); rows without a key stay.
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` (long) is not in ``gone`` (a written table of one column of that name); rows without a key stay.
 
-    Rows that the filter of ``keys`` doesn't have go past the join, so about as
+    Rows that the filter of ``gone`` doesn't have go past the join, so about as
     many rows are sent as there are matches.
     """
-    filters = save_table(key_filter(keys, key), "anti-filter")
-    placed = rows.withColumn("__b", _bit(key)).withColumn("__bucket", F.expr("bitmap_bucket_number(__b)")).withColumn("__at", F.expr("bitmap_bit_position(__b)"))
-    marked = placed.join(F.broadcast(filters.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket", "left")
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(F.call_function("getbit", byte, F.expr("cast(__at % 8 as int)")) == 1, F.lit(False))
-    marked = marked.withColumn("__hit", hit).select(*rows.columns, "__hit")
-    likely = marked.where("__hit").drop("__hit").join(keys, key, "left_anti")
+    n = gone.count()
+    filters = save_table(key_filter(gone, key, n), "anti-filter")
+    marked = _marked(rows, filters, key, n, "left").select(*rows.columns, "__hit")
+    likely = marked.where("__hit").drop("__hit").join(gone, key, "left_anti")
     return marked.where("not __hit").drop("__hit").unionByName(likely.select(*rows.columns))
 
 
@@ -86,24 +105,28 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, a != b): one row (id, comp), comp the smallest id.
 
     Two-phase star contraction: every node points at its smallest known neighbour, then
-    chains are shortened, until nothing changes. State is one row a node and edge; each
-    round is cut by a checkpoint, and the driver only sees two sums.
+    chains are shortened, until nothing changes. State is one row an edge; each half of
+    a round is a written table, and the driver only sees two sums. A node with many
+    neighbours, as the root of a large component is, is joined by broadcast.
     An empty ``edges`` gives an empty result.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = cut(edges)
-    seen = None
+    edges, seen = save_table(edges, "links"), None
     while True:
+        n = edges.count()
         # Large star: neighbours above a node are attached to the smallest node around it.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct())
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+        large = attach(both, low, ["a"], "c", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = save_table(large.where("a <> b").distinct(), "links")
         # Small star: a node and its neighbours below it are attached to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.*").where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = attach(large, low, ["a"], "c", n).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = save_table(small.select("e.*").where("a <> b").distinct(), "links")
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_table(edges)
+        drop_table(large)
+        edges = after
         if now == seen:
             break
         seen = now

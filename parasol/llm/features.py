@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.bpe import Cache
 from parasol.llm.common import fold
-from parasol.session import small_batches
+from parasol.session import save_table, small_batches
 
 #: Letters and digits of any script in one run, other visible characters in another.
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x09-\x0d\x20]+").findall
@@ -74,16 +74,30 @@ def sample_texts(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def collect_features(rows: DataFrame, of) -> tuple[list[np.ndarray], np.ndarray]:
-    """The features of a bounded sample and its labels, in the order of ids. ``of`` makes a function of bytes in a worker."""
+def features_of(rows: DataFrame, of) -> DataFrame:
+    """doc_id, y, x of rows (doc_id, y, text); x: the features of ``of``, which makes a function of bytes in a worker, as 32-bit integers."""
     def extract(batches):
         f = of()
         for b in batches:
             x = pa.array([f(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
 
-    table = rows.select("doc_id", "y", F.col("text").cast("binary").alias("text")).mapInArrow(extract, "doc_id long, y double, x binary").toArrow().sort_by("doc_id")
-    return [np.frombuffer(x, "<i4") for x in table.column("x").to_pylist()], np.array(table.column("y").to_pylist(), dtype=np.float64)
+    return rows.select("doc_id", "y", F.col("text").cast("binary").alias("text")).mapInArrow(extract, "doc_id long, y double, x binary")
+
+
+def fitted(features: DataFrame, fit, name: str) -> tuple[np.ndarray, float]:
+    """Weights and bias that ``fit(x, y)`` makes, in one task, from a bounded sample of features in the order of ids.
+
+    The driver gets the model alone, from the table that the task writes.
+    """
+    def run(batches):
+        rows = [(y, np.frombuffer(x, "<i4")) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        weights, bias = fit([x for _, x in rows], np.array([y for y, _ in rows], dtype=np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+
+    model = save_table(features.repartition(1).sortWithinPartitions("doc_id", "x").mapInArrow(run, "weights binary, bias double"), name)
+    weights, bias = model.first()
+    return np.frombuffer(weights, dtype=np.float32), bias
 
 
 def score_texts(docs: DataFrame, of, modulus: int, held_out: int, threshold: float) -> DataFrame:

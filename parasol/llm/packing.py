@@ -158,8 +158,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for b in batches:
-            for doc_id, text, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                packer.add(doc_id, of.ids(text, end_id), first)
+            doc_ids, texts, firsts = (c.to_pylist() for c in b.columns)
+            for doc_id, ids, first in zip(doc_ids, of.packed(texts, end_id), firsts, strict=True):
+                packer.add(doc_id, np.frombuffer(ids, dtype=of.dtype), first)
             yield drain()
         packer.finish()
         yield drain()

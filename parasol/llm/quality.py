@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from parasol.llm.features import collect_features, hasher, labelled, logistic, sample_texts, score, score_texts
+from parasol.llm.features import features_of, fitted, hasher, labelled, logistic, sample_texts, score, score_texts
+from parasol.session import small_batches
 
 #: Labelled documents that the fit uses at most, those with the smallest hashes of their ids.
 SAMPLE = 8000
@@ -96,9 +97,9 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     model that tasks get has a fixed size, 2**BITS weights.
     """
     ids = labelled(labels, "quality", MODULUS, HELD_OUT, F.avg).withColumn("y", (F.col("y") >= 0.5).cast("double"))
-    x, y = collect_features(sample_texts(docs, ids, sample), lambda: hasher(BITS, ORDER).buckets)
-    weights, bias = fit(x, y, 1 << BITS)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    small_batches(docs.sparkSession)
+    features = features_of(sample_texts(docs, ids, sample), lambda: hasher(BITS, ORDER).buckets)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(features, lambda x, y: fit(x, y, 1 << BITS), "quality-model"))
 
     def scorer():
         w, b = shared.value

@@ -1,9 +1,11 @@
 """Token counts of whole texts by the whole-token shortcut.
 
-Offline, every vocabulary string is merged on its own; those that come out as
-their own single id form the set of whole tokens, so a pre-token found in it
-counts one without a merge. Only the rest is merged. Texts are cut at spaces
-that no pre-token can cross, and the count of each distinct piece is kept.
+Offline, on the driver and once, every vocabulary string is encoded on its own;
+those that come out as their own single id form the set of whole tokens, so a
+pre-token found in it counts one without a merge. The set is as large as the
+vocabulary at most and is broadcast. Only the rest is merged, by the library.
+Texts are cut at spaces that no pre-token can cross, and the count of each
+distinct piece is kept.
 """
 
 from __future__ import annotations
@@ -15,12 +17,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from parasol.llm.bpe import PATTERN, Cache, Vocabulary, pieces, spaced
+from parasol.llm.bpe import CACHE_ENTRIES, PATTERN, Cache, Vocabulary, letters, split
 from parasol.session import small_batches
 
-#: Distinct pieces that a Python worker remembers before it starts anew.
-CACHE_ENTRIES = 700_000
-
 
 class Counter:
     """Counts tokens as the library of the file at ``path`` gives them, without added begin or end tokens.
@@ -30,14 +29,12 @@ class Counter:
     counted by their library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str] | None = None) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path) if path.endswith(".model") else None
         self.vocabulary = None if self.model else Vocabulary(path)
-        self.whole: frozenset[str] = frozenset()
-        if self.vocabulary and self.vocabulary.local:
-            self.split = regex.compile(PATTERN).findall
-            self.whole = whole_tokens(self.vocabulary)
-        self.rest = Cache(lambda pre: len(self.vocabulary.merge(pre)))
+        self.split = regex.compile(PATTERN).findall
+        self.whole = whole_tokens(path) if whole is None else whole
+        self.rest = Cache(lambda pre: len(self.vocabulary.whole(pre)))
         self.counts = Cache(lambda word: self.piece(" " + word))
 
     def piece(self, text: str) -> int:
@@ -58,29 +55,32 @@ class Counter:
         if len(self.counts) > CACHE_ENTRIES or len(self.rest) > CACHE_ENTRIES:
             self.counts.clear()
             self.rest.clear()
-        words = spaced(text)
-        if words is None:
-            return sum(map(self.piece, pieces(text)))
-        return self.piece(words[0]) + sum(map(self.counts.__getitem__, words[1:]))
+        first, words = split(text)
+        return self.piece(first) + sum(map(self.counts.__getitem__, words))
 
 
-def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
-    """The vocabulary strings that are one pre-token and that merge to their own single id."""
-    split, found = regex.compile(PATTERN).findall, []
-    for token, rank in vocabulary.ranks.items():
+@lru_cache(maxsize=4)
+def whole_tokens(path: str) -> frozenset[str]:
+    """The vocabulary strings that are one pre-token and that the library encodes as their own single id."""
+    vocabulary = None if path.endswith(".model") else Vocabulary(path)
+    if not vocabulary or not vocabulary.local:
+        return frozenset()
+    split_up, byte, strings = regex.compile(PATTERN).findall, {c: b for b, c in letters().items()}, {}
+    for token, number in vocabulary.tokenizer.get_vocab(with_added_tokens=False).items():
         try:
-            text = token.decode()
-        except UnicodeDecodeError:
+            text = bytes(byte[c] for c in token).decode()
+        except (KeyError, UnicodeDecodeError):
             continue
-        if split(text) == [text] and vocabulary.merge(text) == [rank]:
-            found.append(text)
-    return frozenset(found)
+        if split_up(text) == [text] and not vocabulary.has_special(text):
+            strings[text] = number
+    encoded = vocabulary.each(list(strings))
+    return frozenset(t for (t, number), ids in zip(strings.items(), encoded, strict=True) if ids == [number])
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> Counter:
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
     """One counter a worker process, so that its tables last over tasks."""
-    return Counter(path)
+    return Counter(path, whole)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +97,10 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
         F.col(text_col).alias("text"),
     )
 
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
+
     def count(batches):
-        of = counter(path).count
+        of = counter(path, whole.value).count
         for b in batches:
             n = pa.array([of(t) for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])

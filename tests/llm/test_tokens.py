@@ -25,12 +25,20 @@ def library(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list(" \n\t\r\x1c\x85\xa0　ab1!é漢'st") + ["  ", "'ll", "<|endoftext|>"]), max_size=30))
+@given(st.lists(st.sampled_from([*" \n\t\r\x0b\x1c\x85\xa0　ab1!é漢'st", "  ", "'ll", "<|endoftext|>"]), max_size=30).map("".join))
 def test_ids_and_counts_equal_the_library(text):
     assert encoder(PATH).ids(text).tolist() == library(text)
     assert counter(PATH).count(text) == len(library(text))
 
 
+def test_ids_around_every_space_like_character():
+    """Each code point of Unicode's planes 0 and 1 beside spaces and letters, as the library cuts and encodes it."""
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 64):
+        text = "".join(f"a {c} b{c} {c}c  {c}" for c in points[i : i + 64])
+        assert encoder(PATH).ids(text).tolist() == library(text), hex(ord(points[i]))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\t\x85 ab", max_size=25))
 def test_pieces_join_to_the_text(text):
@@ -66,17 +74,42 @@ def test_elias_fano_selects_what_was_put_in(values, more):
     values = sorted(values)
     universe = (values[-1] if values else 0) + more
     ef = EliasFano.encode(np.array(values, dtype=np.int64), universe)
-    assert [ef.select(i) for i in range(len(values))] == values
-    assert ef.all().tolist() == values
-    if values:  # 2 + log2(u / n) bits a value, and the rounding of two arrays
+    again, end = EliasFano.at(b"x" + ef.to_bytes() + b"yy", 1)
+    assert end == 1 + len(ef.to_bytes())
+    assert [again.select(i) for i in range(len(values))] == values
+    if values:
+        assert again.select(0, len(values)).tolist() == values
+        assert again.select(len(values) // 2, len(values)).tolist() == values[len(values) // 2 :]
+        # 2 + log2(u / n) bits a value, the rounding of two arrays and the select structure
         assert 8 * (ef.low.nbytes + ef.high.nbytes) <= len(values) * (3 + max(0, np.log2(max(universe / len(values), 1)))) + 17
+    with pytest.raises(IndexError):
+        again.select(len(values))
+
+
+def test_select_over_many_blocks_and_gaps():
+    rng = np.random.default_rng(0)
+    for values in (np.sort(rng.integers(0, 1 << 40, 5000)), np.sort(rng.integers(0, 300, 5000)), np.append(np.zeros(2000, int), 10**9 + np.arange(600) * 3)):
+        ef = EliasFano.encode(values, int(values[-1]) + 7)
+        assert ef.select(0, len(values)).tolist() == values.tolist()
+        assert [ef.select(int(i)) for i in range(0, len(values), 97)] == values[::97].tolist()
+        assert ef.places.nbytes <= 4 * (len(values) // EliasFano.STEP + 1)
+
+
+def test_reading_needs_the_select_structure():
+    """Without the remembered positions a shard of several blocks can't be read."""
+    ids = np.arange(3000, dtype="<u2")
+    s = Shard(pack_shard(list(range(1500)), [2] * 1500, ids.tobytes(), 2))
+    assert [a for _, starts, _ in s.documents() for a in starts.tolist()] == list(range(0, 3000, 2))
+    s.starts.places = np.zeros(0, "<u4")
+    with pytest.raises(IndexError):
+        list(s.documents())
 
 
 def test_shard_round_trip():
     ids = [np.array(x, dtype="<u2") for x in ([1, 2, 3], [], [65535], [7] * 1000)]
-    s = Shard(pack_shard([5, None, 5, 9], [len(x) for x in ids], b"".join(x.tobytes() for x in ids), 2))
+    s = Shard(pack_shard([None, -5, -5, 9], [len(x) for x in ids], b"".join(x.tobytes() for x in ids), 2))
     assert [s.document(i).tolist() for i in range(4)] == [x.tolist() for x in ids]
-    assert s.known.tolist() == [1, 0, 1, 1] and s.starts.all().tolist() == [0, 3, 3, 4]
+    assert [s.doc_id(i) for i in range(4)] == [None, -5, -5, 9] and s.starts.select(0, 4).tolist() == [0, 3, 3, 4]
     with pytest.raises(ValueError):
         Shard(b"x" * 64)
 
