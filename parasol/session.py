@@ -102,8 +102,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop_table(table: DataFrame) -> None:
-    """Deletes what ``save_table`` wrote for ``table``, which must not be read any more."""
-    path = table.table_path
+    """Deletes what ``save_table`` wrote, if ``table`` is its very result, which must not be read any more."""
+    path = vars(table).get("table_path")
     if path in _made:
         _delete(table.sparkSession, path)
         _made.remove(path)
