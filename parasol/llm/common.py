@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parasol.session import drop_table, save_table
@@ -37,10 +38,10 @@ def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total
     limit = max(total // HOT_SHARE, 1)
     hot = classes.where(F.col(size) > limit)
     cold = classes.where(F.col(size) <= limit)
-    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    tried = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     added = [c for c in classes.columns if c not in key]
-    done = marked.where(F.col("__hot")).drop("__hot")
-    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *added).join(cold, key, how)
+    done = tried.where(F.col("__hot")).drop("__hot")
+    rest = tried.where(F.col("__hot").isNull()).drop("__hot", *added).join(cold, key, how)
     return done.unionByName(rest)
 
 
@@ -71,13 +72,14 @@ def _word(key: str, keys: int) -> Column:
     return F.shiftright(F.pmod(F.col(key), F.lit(_bits(keys))), 6)
 
 
-def key_filter(rows: DataFrame, key: str, keys: int) -> DataFrame:
-    """A sparse bitmap of the hashed ``key`` (long), sized for ``keys`` of them: rows (word, bits)."""
+def key_filter(rows: DataFrame, key: str, keys: int, *by: str) -> DataFrame:
+    """A sparse bitmap of the hashed ``key`` (long), sized for ``keys`` of them: rows (word, bits), for each of ``by``."""
     bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
-    return rows.select(_word(key, keys).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.select(*by, _word(key, keys).alias("word"), bit.alias("bit")).groupBy(*by, "word").agg(F.bit_or("bit").alias("bits"))
 
 
-def _marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str) -> DataFrame:
+def marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str) -> DataFrame:
+    """Adds __hit: whether the filter has ``key``. The filter is broadcast."""
     placed = rows.withColumn("__word", _word(key, keys))
     joined = placed.join(F.broadcast(filters.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", how)
     return joined.withColumn("__hit", F.coalesce(F.expr(f"shiftright(__bits, cast({key} & 63 as int)) & 1") == 1, F.lit(False)))
@@ -85,7 +87,7 @@ def _marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str)
 
 def may_match(rows: DataFrame, filters: DataFrame, key: str, keys: int) -> DataFrame:
     """The rows whose ``key`` the filter has, and perhaps a few others; the filter is broadcast."""
-    return _marked(rows, filters, key, keys, "inner").where("__hit").select(*rows.columns)
+    return marked(rows, filters, key, keys, "inner").where("__hit").select(*rows.columns)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -96,9 +98,9 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """
     n = gone.count()
     filters = save_table(key_filter(gone, key, n), "anti-filter")
-    marked = _marked(rows, filters, key, n, "left").select(*rows.columns, "__hit")
-    likely = marked.where("__hit").drop("__hit").join(gone, key, "left_anti")
-    return marked.where("not __hit").drop("__hit").unionByName(likely.select(*rows.columns))
+    all_rows = marked(rows, filters, key, n, "left").select(*rows.columns, "__hit")
+    likely = all_rows.where("__hit").drop("__hit").join(gone, key, "left_anti")
+    return all_rows.where("not __hit").drop("__hit").unionByName(likely.select(*rows.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,27 +136,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id").unionByName(roots)
 
 
-class Forest:
-    """Union-find over 0..n-1 that keeps the smallest member as root."""
+class Trees:
+    """The trees that links between 0..n-1 join to; ``roots`` names each member's by its least member or label."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    def __init__(self, labels: np.ndarray | int) -> None:
+        """``labels``: members with equal ones are joined from the start; or how many members there are."""
+        labels = np.arange(labels) if isinstance(labels, int) else np.unique(labels, return_inverse=True)[1]
+        self.roots, self.links = labels.astype(np.int64), []
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-    def links(self) -> Iterable[tuple[int, int]]:
-        """One pair (member, root) for each element that is not a root."""
-        return ((x, r) for x in range(len(self.up)) if (r := self.root(x)) != x)
+    def join(self, i: int, j: int) -> None:
+        a, b = self.roots[i], self.roots[j]
+        if a != b:
+            self.roots[self.roots == max(a, b)] = min(a, b)
+            self.links.append((i, j))
 
 
 def groups(batches, keys: list[str]):
@@ -196,6 +190,58 @@ def tiles(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
     return dealt.select(*members.columns, *own_other, F.col("__own").alias("block"))
 
 
+#: What ``linked`` deals members out by.
+TILE = ["key", "ti", "tj"]
+
+
+def linked(members: DataFrame, most: int, salts: int, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that join what hangs together in each key of members (key, cid, m: the key's rows), a written table.
+
+    ``edges`` takes rows (TILE, cid, label) and gives, for each tile, edges that
+    join its members' trees, those with equal labels counting as joined. A key of
+    up to ``most`` rows is one tile. A larger one is cut into blocks, ``salts``
+    times differently, of which each is a tile. What they joined gets one label;
+    of the members with other labels than the commonest of their key, each still
+    meets every one. So copies without end cost a few rows each, and no pair
+    that may link is left out.
+    """
+    blocks = F.ceil(F.col("m") / most)
+    small = members.where(F.col("m") <= most).select("key", F.lit(0).alias("ti"), F.lit(0).alias("tj"), "cid", F.col("cid").alias("label"))
+    large = members.where(F.col("m") > most)
+    if large.isEmpty():
+        return edges(small)
+    dealt = large.withColumn("ti", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = dealt.select("key", "ti", F.pmod(F.xxhash64("cid", "key", "ti"), blocks).cast("int").alias("tj"), "cid", F.col("cid").alias("label"))
+    first = save_table(edges(small.unionByName(dealt)), "tile-links")
+    named = large.join(components(first).withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "m", F.coalesce("comp", "cid").alias("label"))
+    named = save_table(named, "tile-labels")
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most_n"), F.sum("n").alias("m")).where("most_n < m")
+    left = save_table(attach(named.drop("m"), main, ["key"], "m", named.count(), "inner"), "tile-rest")
+    n_odd = F.ceil((F.col("m") - F.col("most_n")) / most).cast("int")
+    n_main = F.ceil(F.col("most_n") / most).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("main"), n_main).otherwise(n_odd)).cast("int")
+    is_main = F.col("label") == F.col("main")
+    common = left.where(is_main).select("key", mine.alias("ti"), F.explode(F.sequence(F.lit(0), n_odd - 1)).alias("tj"), "cid", "label")
+    odd = left.where(~is_main)
+    others = odd.select("key", F.explode(F.sequence(F.lit(0), n_main - 1)).alias("ti"), mine.alias("tj"), "cid", "label")
+    # Blocks of odd members meet each other too; ti below zero keeps these tiles apart.
+    pairs = tiles(odd.where(n_odd > 1).withColumn("odd", F.col("m") - F.col("most_n")), "odd", "cid", most).select("key", (-1 - F.col("ti")).alias("ti"), "tj", "cid", "label")
+    return first.unionByName(edges(common.unionByName(others).unionByName(pairs)))
+
+
 def together(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Brings rows of equal ``keys`` together, in order, for ``groups``."""
     return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of each text (binary), ASCII letters in lower case: numbers of all words, how many each text has, and the distinct words by number."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    ends, words = lists.offsets.to_numpy(), lists.flatten().view(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    before = np.append(0, np.cumsum(real))
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), np.diff(before[ends - ends[0]]), coded.dictionary.to_pylist()

@@ -3,19 +3,24 @@
 Shingles are hashed to groups, and a document is a point: how many of its
 shingles fall to each group. Two documents share at most the sum of the
 coordinates' minima, and a box of points shares at most what its upper corner
-allows, so the tree drops boxes and points whose bound is below the overlap that
+allows, so a tree drops boxes and points whose bound is below the overlap that
 the threshold asks for. What is left is verified on the shingles themselves.
 
 One tree over all documents would not prune: in the dozens of dimensions that
-the bound needs, boxes of unlike documents overlap. Trees are therefore built
-for tiles, sets of documents that agree in one of BANDS keys. A key joins ROWS
-minima of independent hashes, so two documents at the threshold s miss all of
-them with probability (1 - s**ROWS)**BANDS, 3e-10 for 0.75, and less above it.
-
-Copies (equal shingle sets) are one point. A tile only says which points hang
-together, by a spanning forest, so a group of near copies costs a row each. The
-components of those forests bound the true ones; their texts are read again,
-and links are verified exactly within each.
+the bound needs, boxes of unlike documents overlap. The index is therefore a
+forest, split by finer groups, one for each shingle hash: put a document's
+groups in one order, the same for all; of two sets that share three quarters,
+the first quarters (and one) share a group. So a document lies in the trees of
+the first quarter of its groups, and every pair that may link meets in one. The
+order puts groups first that few documents have, by a sketch of all documents'
+counts: a passage of many documents comes last and makes no large tree. Nothing
+is left to chance: the sketch only decides how large trees are.
+
+Copies (equal shingle sets) are one point. Trees of few points whose points are
+the same are one. A tree only says which points hang together, by a spanning
+forest, so a group of near copies costs a row each. The components of those
+forests bound the true ones; their texts are read again, and links are verified
+exactly within each.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.bpe import Cache
-from parasol.llm.common import Forest, attach, components, groups, key_filter, may_match, tiles, together
+from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, may_match, meeting, together
 from parasol.session import save_table, small_batches
 
 #: Words of a shingle, and the links' least similarity as a fraction.
@@ -34,13 +40,13 @@ WORDS = 5
 SIMILAR = (75, 100)
 #: Coordinates of a point.
 GROUPS = 128
-BANDS, ROWS = 40, 3
-#: Points of a leaf, and members of a block of a tile.
-LEAF, BLOCK = 32, 1000
+#: Points of a leaf, points of a tree at most, and points of trees that are compared with each other.
+LEAF, BLOCK, FEW = 32, 1000, 64
+#: Counters of the sketch, and those that travel in one row.
+SKETCH, CHUNK = 1 << 20, 1 << 16
 CACHE_ENTRIES = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SIGNS = (np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 
 
 class Shingler:
@@ -70,17 +76,17 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
-def keys(shingles: np.ndarray) -> np.ndarray:
-    """The band keys as int64."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    short = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    for at in range(0, len(short), 4096):  # bounds the memory of long texts
-        low = np.minimum(low, (short[None, at : at + 4096] * _SIGNS[:, None]).min(axis=1))
-    parts = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = (key ^ (key >> np.uint64(31))) * _MIX + parts[:, r]
-    return (key * _MIX).view(np.int64)
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    """The sketch's counter of each shingle."""
+    return ((shingles * _MIX) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+
+
+def first_groups(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The groups (int64) of which a set that is similar to this one has one among its own: the first of all by rank and hash."""
+    s, whole = SIMILAR
+    n = len(shingles) - -(-s * len(shingles) // whole) + 1
+    order = np.argsort(ranks[counter_of(shingles)], kind="stable")  # the hashes ascend, so they break ties
+    return shingles[order[:n]].view(np.int64)
 
 
 def needed(total):
@@ -95,78 +101,110 @@ class CountTree:
     def __init__(self, points: np.ndarray) -> None:
         self.points = points.astype(np.int64)
         self.sizes = self.points.sum(axis=1)
-        self.nodes: list[tuple] = []  # upper corner, least size, largest size, members or children
-        self.root = self._build(np.arange(len(points)))
+        self.order = np.arange(len(points))  # the members of a node are a slice of it
+        self.nodes: list[tuple] = []  # upper corner, least size, largest size, slice, children
+        self.root = self._build(0, len(points))
 
-    def _build(self, members: np.ndarray) -> int:
+    def _build(self, lo: int, hi: int) -> int:
+        members = self.order[lo:hi]
         box, sizes = self.points[members], self.sizes[members]
-        if len(members) <= LEAF:
-            below = members
-        else:
+        below = ()
+        if hi - lo > LEAF:
             spread = np.append(box.max(axis=0) - box.min(axis=0), sizes.max() - sizes.min())
-            axis = int(spread.argmax())
-            along = sizes if axis == box.shape[1] else box[:, axis]
-            order, half = np.argsort(along, kind="stable"), len(members) // 2
-            below = (self._build(members[order[:half]]), self._build(members[order[half:]]))
-        self.nodes.append((box.max(axis=0), int(sizes.min()), int(sizes.max()), below))
+            axis, half = int(spread.argmax()), (lo + hi) // 2
+            self.order[lo:hi] = members[np.argsort(sizes if axis == box.shape[1] else box[:, axis], kind="stable")]
+            below = (self._build(lo, half), self._build(half, hi))
+        self.nodes.append((box.max(axis=0), int(sizes.min()), int(sizes.max()), lo, hi, below))
         return len(self.nodes) - 1
 
-    def near(self, i: int, forest: Forest):
-        """Members j that may be similar to i and are not yet in its tree of ``forest``."""
+    def near(self, i: int, trees: Trees):
+        """Members j that may be similar to i and are not yet joined to it in ``trees``."""
         q, n, stack = self.points[i], int(self.sizes[i]), [self.root]
         s, whole = SIMILAR
         while stack:
-            upper, least, most, below = self.nodes[stack.pop()]
+            upper, least, most, lo, hi, below = self.nodes[stack.pop()]
             if whole * most < s * n or s * least > whole * n or np.minimum(q, upper).sum() < needed(n + least):
                 continue
-            if isinstance(below, tuple):
+            members = self.order[lo:hi]
+            rest = members[trees.roots[members] != trees.roots[i]]
+            if not len(rest):
+                continue
+            if below:
                 stack += below
                 continue
-            mine = forest.root(i)
-            rest = np.array([j for j in below.tolist() if j != i and forest.root(j) != mine], dtype=np.int64)
-            if len(rest):
-                shared = np.minimum(self.points[rest], q).sum(axis=1)
-                yield from rest[shared >= needed(n + self.sizes[rest])].tolist()
+            shared = np.minimum(self.points[rest], q).sum(axis=1)
+            yield from rest[shared >= needed(n + self.sizes[rest])].tolist()
 
 
-def spanning(points: np.ndarray, similar=None) -> Forest:
-    """A forest whose trees are the components of the pairs that pass the bound and, if given, ``similar(i, j)``."""
-    forest = Forest(len(points))
-    tree = CountTree(points)
+def spanning(points: np.ndarray, labels: np.ndarray | None = None, similar=None) -> Trees:
+    """Trees that the pairs join that pass the bound and, if given, ``similar(i, j)``."""
+    trees = Trees(len(points) if labels is None else labels)
+    index = CountTree(points)
     for i in range(len(points)):
-        for j in tree.near(i, forest):
-            if forest.root(i) != forest.root(j) and (similar is None or similar(i, j)):
-                forest.join(i, j)
-    return forest
+        for j in index.near(i, trees):
+            if trees.roots[i] != trees.roots[j] and (similar is None or similar(i, j)):
+                trees.join(i, j)
+    return trees
 
 
-def _edges(batches, names: list[str], forest_of):
-    """Runs ``forest_of`` on each tile and yields its forest as rows a, b of ids."""
-    for t in groups(batches, names):
-        ids = t.column("cid").to_numpy()
-        links = list(forest_of(t).links())
-        a, b = (np.array([x[k] for x in links], dtype=np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+def _edges(batches, trees_of):
+    """Runs ``trees_of`` on each tile and yields the links that it made as rows a, b of ids."""
+    for t in groups(batches, TILE):
+        ids, links = t.column("cid").to_numpy(), trees_of(t).links
+        if links:
+            a, b = np.array(links, dtype=np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
 
 def points_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, GROUPS)
 
 
+def group_ranks(texts: DataFrame, words: int) -> np.ndarray:
+    """How many documents have the shingles of each counter, as a rank of one byte; ``texts``: one binary column.
+
+    Every task counts in a sketch of fixed size; the driver gets SKETCH bytes.
+    """
+    def count(batches):
+        shingles, n = Shingler(words).shingles, np.zeros(SKETCH, dtype="<u4")
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                n[counter_of(shingles(text))] += 1  # a document counts once for each counter
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [(k, pack(n[k * CHUNK : (k + 1) * CHUNK].tobytes())) for k in range(SKETCH // CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["chunk", "n"])
+
+    def add(batches):
+        sums, unpack = {}, zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(unpack(n), "<u4").astype(np.int64)
+        ranks = [np.floor(4 * np.log2(n + 1.0)).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array(ranks, pa.binary())], ["chunk", "ranks"])
+
+    counted = texts.mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, ranks binary")
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    for k, r in counted.collect():
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(r, np.uint8)
+    return out
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     A document's set is its distinct shingles of ``words`` words (ASCII letters
-    in lower case); with fewer words it is the whole sequence. Documents link
-    when the Jaccard similarity of their sets is at least 0.75; component_id is
-    the smallest id reachable by links. Null and wordless texts have 0 shingles
-    and link with nothing, so their component is their own id. Null ids pass
-    through: they link like others, and a component with null ids only has a
-    null id. Repeated rows and ids are documents of their own. Other columns are
-    ignored; an empty table gives an empty result.
+    in lower case), by 64-bit hashes; with fewer words it is the whole sequence.
+    Documents link when the Jaccard similarity of their sets is at least 0.75;
+    component_id is the smallest id reachable by links. Null and wordless texts
+    have 0 shingles and link with nothing, so their component is their own id.
+    Null ids pass through: they link like others, and a component with null ids
+    only has a null id. Repeated rows and ids are documents of their own. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
+    ranks = spark.sparkContext.broadcast(group_ranks(texts.select("text"), words))
 
     def describe(batches):
         shingles = Shingler(words).shingles
@@ -174,62 +212,70 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             rows = []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), point(s).tobytes(), keys(s).tolist()) if len(s) else (0, b"", b"", []))
-            n, digest, counts, band = zip(*rows, strict=True) if rows else ([], [], [], [])
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), point(s).tobytes(), first_groups(s, ranks.value)) if len(s) else (0, b"", b"", []))
+            n, digest, counts, first = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                ["doc_id", "th", "n", "digest", "counts", "bands"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                ["doc_id", "th", "n", "digest", "counts", "first"],
             )
 
-    rows = save_table(texts.mapInArrow(describe, "doc_id long, th long, n long, digest binary, counts binary, bands array<long>"), "jaccard-rows")
+    rows = save_table(texts.mapInArrow(describe, "doc_id long, th long, n long, digest binary, counts binary, first array<long>"), "jaccard-rows")
     total = rows.count()
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("bands").alias("bands"))
+    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("first").alias("first"))
     classes = save_table(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
-    # Tiles: classes that agree in a band. Keys of one class are dropped before points are sent.
-    banded = classes.select("cid", F.explode("bands").alias("key")).distinct()
-    met = banded.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    placed = tiles(met, "m", "cid", BLOCK).join(classes.select("cid", "counts"), "cid")
-    tile = ["key", "ti", "tj"]
+    # The forest: classes that share one of their first groups. Groups of one class are dropped before points are sent.
+    met = save_table(meeting(classes.select("cid", F.explode("first").alias("key")), ["key"], "m"), "jaccard-met")
+    few = met.where(F.col("m") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
+    few = few.groupBy("cids").agg(F.min("key").alias("key")).select("key", F.explode("cids").alias("cid"), F.size("cids").cast("long").alias("m"))
+    forest = save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "m")), "jaccard-forest")
 
     def bound(batches):
-        yield from _edges(batches, tile, lambda t: spanning(points_of(t.column("counts"))))
+        yield from _edges(batches, lambda t: spanning(points_of(t.column("counts")), t.column("label").to_numpy()))
+
+    def by_points(placed: DataFrame) -> DataFrame:
+        return together(placed.join(classes.select("cid", "counts"), "cid").select(*TILE, "cid", "label", "counts"), TILE).mapInArrow(bound, "a long, b long")
 
-    maybe = components(together(placed, tile).mapInArrow(bound, "a long, b long"))
+    maybe = save_table(components(linked(forest, BLOCK, 1, by_points)).select(F.col("id").alias("cid"), F.col("comp").alias("key")), "jaccard-maybe")
 
     # The texts of one document of each class of these components, verified within them.
-    sized = save_table(maybe.withColumn("m", F.count("*").over(Window.partitionBy("comp"))).join(classes.select(F.col("cid").alias("id"), "own", "digest"), "id"), "jaccard-maybe")
-    wanted = sized.select(F.col("id").alias("cid"), "comp", "m", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest")
-    # Most texts are in no such component; a filter of fixed size drops them before they are sent.
-    likely = may_match(texts, save_table(key_filter(wanted, "th"), "jaccard-filter"), "th")
-    found = likely.join(wanted, (likely["th"] == wanted["th"]) & likely["doc_id"].eqNullSafe(wanted["want"])).select("cid", "comp", "m", "text", "digest")
-    found = found.dropDuplicates(["cid"])  # repeated rows
-    tile2 = ["comp", "ti", "tj"]
+    members = save_table(attach(maybe, maybe.groupBy("key").agg(F.count("*").alias("m")), ["key"], "m", maybe.count()).select("key", "cid", "m"), "jaccard-members")
+    wanted = save_table(members.join(classes.select("cid", "own", "digest"), "cid").select("cid", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest"), "jaccard-wanted")
+    # Most texts are in no such component; a filter drops them before they are sent.
+    n = wanted.count()
+    likely = may_match(texts, save_table(key_filter(wanted, "th", n), "jaccard-filter"), "th", n)
+    found = likely.join(wanted, (likely["th"] == wanted["th"]) & likely["doc_id"].eqNullSafe(wanted["want"])).select("cid", "text", "digest")
+    found = save_table(found.dropDuplicates(["cid"]), "jaccard-texts")  # repeated rows
 
     def verify(batches):
         shingles = Shingler(words).shingles
+        whole = SIMILAR[0] + SIMILAR[1]
 
-        def forest(t: pa.Table) -> Forest:
-            sets = [shingles(x) for x in t.column("text").to_pylist()]
+        def trees(t: pa.Table) -> Trees:
+            sets = [shingles(x.as_py()) for x in t.column("text")]
             # A 64-bit text hash and an id name the text; the digest of the set proves it.
             for s, d in zip(sets, t.column("digest").to_pylist(), strict=True):
                 if xxhash.xxh3_128_digest(s.tobytes()) != d:
                     raise ValueError("a text is not the one that its class was made from")
-            whole = SIMILAR[0] + SIMILAR[1]
 
             def similar(i: int, j: int) -> bool:
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return whole * shared >= SIMILAR[0] * (len(sets[i]) + len(sets[j]))
 
-            return spanning(np.stack([point(s) for s in sets]), similar)
+            return spanning(np.stack([point(s) for s in sets]), t.column("label").to_numpy(), similar)
+
+        yield from _edges(batches, trees)
 
-        yield from _edges(batches, tile2, forest)
+    def by_texts(placed: DataFrame) -> DataFrame:
+        return together(placed.join(found, "cid").select(*TILE, "cid", "label", "text", "digest"), TILE).mapInArrow(verify, "a long, b long")
 
-    links = components(together(tiles(found, "m", "cid", BLOCK), tile2).mapInArrow(verify, "a long, b long"))
-    linked = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(links.withColumnRenamed("id", "cid"), "cid", "left")
-    least = linked.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "comp", "left").select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"))
+    links = components(linked(members, BLOCK, 2, by_texts))
+    named = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(links.withColumnRenamed("id", "cid"), "cid", "left")
+    named = save_table(named, "jaccard-named")
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"), F.count("*").alias("m"))
+    in_tree = attach(named.where("comp is not null"), least, ["comp"], "m", total).select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"))
+    every = in_tree.unionByName(named.where("comp is null").select("digest", "n", "copies", F.col("first_id").alias("component_id")))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    done = attach(rows.where("n > 0").select("doc_id", "digest", "n"), named, ["digest", "n"], "copies", total)
+    done = attach(rows.where("n > 0").select("doc_id", "digest", "n"), every, ["digest", "n"], "copies", total)
     return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)

@@ -43,7 +43,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).drop("digest")
+    return exact_dedup(documents(spark, sf_dir)).drop("digest", "row")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parasol.llm.bpe import encoder
-from parasol.session import save_table, small_batches
+from parasol.session import drop_table, save_table, small_batches
 
 MAGIC = b"PTSHARD2"
 _HEAD = struct.Struct("<8sB7xQQQq")
@@ -226,7 +226,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None, id_col: str = "
         if lengths:
             yield shard()
 
-    return save_table(ordered.mapInArrow(write, SCHEMA), "token-shards", codec="none")
+    shards = save_table(ordered.mapInArrow(write, SCHEMA), "token-shards")
+    drop_table(encoded)
+    return shards
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -8,21 +8,38 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from parasol.llm.common import Forest, attach, components, tiles
+from parasol.llm.common import Trees, attach, components, key_filter, linked, may_match, meeting, tiles, without
 from parasol.llm.embedding_dedup import code, connected, embedding_dedup
-from parasol.llm.exact_dedup import compact, exact_dedup, flush, keep_rows, merge
-from parasol.llm.jaccard import CountTree, Shingler, jaccard_join, needed, point, spanning
+from parasol.llm.exact_dedup import compact, exact_dedup, flush, hits, merge, write_log
+from parasol.llm.jaccard import SKETCH, CountTree, Shingler, first_groups, jaccard_join, needed, point, spanning
+from parasol.session import save_table
 from tests.llm.helpers import awkward, clashing, docs
 
 
+class Forest:
+    """Union-find over 0..n-1 that keeps the smallest member as root."""
+
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def root(self, x):
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, x, y):
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
 def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", "", text or "")
 
 
-@pytest.mark.parametrize("digest", [F.xxhash64, lambda n: F.length(n) % 5], ids=["good", "weak"])
-def test_exact_dedup_of_awkward_rows(spark, digest):
+@pytest.mark.parametrize("digest,memtable", [(F.xxhash64, 1 << 20), (F.xxhash64, 2), (lambda n: F.length(n) % 5, 8)], ids=["good", "small tables", "weak"])
+def test_exact_dedup_of_awkward_rows(spark, digest, memtable):
     rows = awkward() + [(i, "hot text", "a") for i in range(1000, 1060)]
-    got = exact_dedup(clashing(docs(spark, rows)), digest).collect()
+    got = exact_dedup(clashing(docs(spark, rows)).drop("row"), digest, memtable=memtable).collect()
     assert len(got) == len(rows)
     groups = {}
     for d, t, _ in rows:
@@ -38,19 +55,82 @@ def test_exact_dedup_of_awkward_rows(spark, digest):
     assert exact_dedup(docs(spark, []), digest).count() == 0
 
 
-def test_keep_rows_keeps_one_row_a_text(spark):
-    rows = awkward()
-    frame = docs(spark, rows)
-    got = keep_rows(frame, exact_dedup(frame)).collect()
-    assert sorted(norm(r.text) for r in got) == sorted({norm(t) for _, t, _ in rows})
-
-
-def test_indexes_of_batches_merge_to_that_of_all(spark):
-    rows = awkward()
-    runs = flush(docs(spark, rows))
-    parts = [compact(runs.where(F.col("row") % 2 == k), ["digest"]) for k in (0, 1)]
-    want = {(r.digest, r.best.d, r.group_size) for r in compact(runs, ["digest"]).collect()}
-    assert {(r.digest, r.best.d, r.group_size) for r in merge(*parts).collect()} == want
+def test_exact_dedup_breaks_ties_by_id_and_then_row(spark):
+    rows = [(9, "a b", "s"), (4, "a\tb", "s"), (4, "a b", "s"), (None, "b a", "s"), (None, "b a", "s"), (2, "ab", "s")]
+    got = exact_dedup(docs(spark, rows).withColumn("nr", F.monotonically_increasing_id()), row_col="nr").collect()
+    assert [r.kept for r in sorted(got, key=lambda r: r.row)].count(True) == 2
+    kept = {r.doc_id for r in got if r.kept}
+    assert kept == {4, None} and {r.group_size for r in got if r.doc_id == 2} == {4}
+
+
+def entries(index):
+    return {(r.digest, r.best.d, r.group_size) for r in index.collect()}
+
+
+def test_runs_merge_level_by_level_to_one_index(spark):
+    rows = awkward() * 2
+    log = write_log(docs(spark, rows).repartition(3))
+    want = entries(log.groupBy("digest").agg(F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("best"), F.count("*").alias("group_size")).where("group_size > 1"))
+    runs = flush(log, 4)
+    assert runs.select("run").distinct().count() > 20
+    few = compact(runs, 3)
+    assert few.select("run").distinct().count() <= 3
+    assert entries(hits(few)) == want
+    # Batches that are indexed apart and put together are one index.
+    low, high = (flush(log.where(F.pmod("row", F.lit(2)) == k), 4) for k in (0, 1))
+    assert entries(hits(compact(merge(low, high.withColumn("run", F.col("run") + (1 << 40))), 3))) == want
+
+
+def test_dedup_needs_its_filters(spark, monkeypatch):
+    """With the runs' filters emptied, copies in different runs stay apart: what meets is decided by them."""
+    import parasol.llm.exact_dedup as E
+
+    log = write_log(docs(spark, [(i, "same", "s") for i in range(6)]).repartition(1))
+    runs = compact(flush(log, 2), 8)
+    assert hits(runs).count() == 1 and hits(runs).first().group_size == 6
+    monkeypatch.setattr(E, "key_filter", lambda rows, key, n, *by: key_filter(rows.where("false"), key, n, *by))
+    assert all(r.group_size == 2 for r in runs.collect()) and hits(runs.where("run = 0").withColumn("group_size", F.lit(1).cast("long"))).count() == 0
+
+
+def test_filters_keep_what_they_hold(spark):
+    keys = save_table(spark.range(0, 3000, 3).select((F.col("id") * 7919 - 5000).alias("k")), "keys")
+    rows = spark.range(3000).select((F.col("id") * 7919 - 5000).alias("k"), F.lit("x").alias("word"))
+    found = may_match(rows, key_filter(keys, "k", 1000), "k", 1000)
+    assert found.join(keys, "k").count() == 1000 and found.count() < 1400
+    assert {r.k for r in without(rows, keys, "k").collect()} == {i * 7919 - 5000 for i in range(3000) if i % 3}
+    assert without(rows.union(spark.sql("select cast(null as long), 'y'")), keys, "k").where("k is null").count() == 1
+    met = meeting(save_table(spark.range(100).select(F.pmod("id", F.lit(60)).alias("a"), "id"), "met"), ["a"], "m")
+    assert met.count() == 80 and met.where("m <> 2").count() == 0
+
+
+def test_linked_joins_what_hangs_together(spark):
+    """Large keys: a group that all links, two that don't link, and members that link to one other member only."""
+    import pandas as pd
+
+    like = {("one", i): 0 for i in range(90)} | {("two", i): i % 2 for i in range(100, 160)} | {("odd", i): i // 2 if i < 210 else 7 for i in range(200, 260)} | {("few", i): i % 3 for i in range(300, 306)}
+    number = {k: i for i, k in enumerate(("one", "two", "odd", "few"))}
+    sizes = {k: sum(x[0] == k for x in like) for k in number}
+    members = save_table(spark.createDataFrame([(number[k], i, sizes[k]) for k, i in like], "key long, cid long, m long"), "members")
+
+    def edges(rows):
+        def run(g):
+            out, t = [], g.to_dict("records")
+            assert len(t) <= 40
+            for x in t:
+                for y in t:
+                    if x["cid"] < y["cid"] and value[x["cid"]] == value[y["cid"]]:
+                        out.append((x["cid"], y["cid"]))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        value = {i: (k, v) for (k, i), v in like.items()}
+        return rows.groupBy("key", "ti", "tj").applyInPandas(run, "a long, b long")
+
+    forest = Forest(400)
+    for r in linked(members, 8, 2, edges).collect():
+        forest.join(r.a, r.b)
+    for (k, i), v in like.items():
+        for (k2, j), v2 in like.items():
+            assert (forest.root(i) == forest.root(j)) == (k == k2 and v == v2), (k, i, j)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -189,7 +269,7 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(J, "BLOCK", 7)
     rng = random.Random(6)
-    rows = near_copies(rng, [f"w{i}" for i in range(80)], 60, 0)
+    rows = near_copies(rng, [f"w{i}" for i in range(80)], 60, 0) + near_copies(rng, [f"w{i}" for i in range(30, 110)], 30, 100)
     got = jaccard_join(docs(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_jaccard(rows)
 
@@ -204,8 +284,38 @@ def test_tree_drops_nothing_that_passes_the_bound():
             if np.minimum(points[i], points[j]).sum() >= needed(sizes[i] + sizes[j]):
                 forest.join(i, j)
     got = spanning(points)
-    assert [got.root(i) for i in range(len(points))] == [forest.root(i) for i in range(len(points))]
+    assert got.roots.tolist() == [forest.root(i) for i in range(len(points))]
     assert len(CountTree(points).nodes) > 3
+    joined = Trees(np.arange(len(points)) % 6)
+    assert len(set(joined.roots.tolist())) == 6 and spanning(points, np.zeros(len(points))).links == []
+
+
+def test_similar_sets_share_a_first_group():
+    """Whatever the ranks are; this is what makes the forest complete."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 4, 7, 40, 333):
+        ranks = rng.integers(0, 9, SKETCH).astype(np.uint8)
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for _ in range(20):
+            drop = rng.integers(0, n // 4 + 1)
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 1)).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 75 * (len(a) + len(b) - both):
+                assert np.intersect1d(first_groups(a, ranks), first_groups(b, ranks)).size
+
+
+def test_jaccard_join_needs_its_trees(spark, monkeypatch):
+    rows = near_copies(random.Random(9), [f"w{i}" for i in range(80)], 6, 0)
+    frame = docs(spark, rows)
+    assert len({r.component_id for r in jaccard_join(frame).collect()}) < len({shingle_key(t) for _, t, _ in rows})
+    import parasol.llm.jaccard as J
+
+    monkeypatch.setattr(J, "spanning", lambda points, *_: Trees(len(points)))
+    assert len({r.component_id for r in jaccard_join(frame).collect()}) == len({shingle_key(t) for _, t, _ in rows})
+
+
+def shingle_key(text):
+    return frozenset(shingles(text))
 
 
 def test_overlap_bound_and_threshold():

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from tests.llm.helpers import awkward, clashing, crc, docs, words
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
 
 
-def brute_scores(rows, order, mass):
+def brute_scores(rows, order, mass, share=0.0):
     tokens = [[w.encode().lower() for w in words(t)] + [None] for _, t, _ in rows]
     learns = [crc(d) % 7 != 2 for d, _, _ in rows]
     counts = Counter()
@@ -30,6 +31,8 @@ def brute_scores(rows, order, mass):
     def p(gram):
         if len(gram) == 1:
             return (counts[gram] + 1) / (n + v + 1)
+        if len(gram) > 2 and any(counts[(w,)] < 0.9 * share * n for w in gram[:-1]):
+            return p(gram[1:])
         return (counts[gram] + mass * p(gram[1:])) / (counts[gram[:-1]] + mass)
 
     out = []
@@ -39,12 +42,13 @@ def brute_scores(rows, order, mass):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order,block", [(1, 1 << 24), (2, 2000), (3, 5000)])
-def test_scores_equal_the_smoothed_model(spark, order, block):
+@pytest.mark.parametrize("order,block,share", [(1, 1 << 24, 0.0), (2, 2000, 0.0), (3, 5000, 0.0), (3, 1 << 24, 0.01), (4, 1 << 24, 0.008)])
+def test_scores_equal_the_smoothed_model(spark, order, block, share):
     rows = awkward()
-    got = ngram_scores(clashing(docs(spark, rows)), order=order, mass=7.0, block_bytes=block).collect()
+    frame = clashing(docs(spark, rows))
+    got = ngram_scores(frame.repartition(1) if share else frame, order=order, mass=7.0, share=share, block_bytes=block).collect()
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
-    for g, w in zip(got, brute_scores(rows, order, 7.0), strict=True):
+    for g, w in zip(got, brute_scores(rows, order, 7.0, share), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-6)
 
 
@@ -61,10 +65,10 @@ def test_model_sums_to_one(spark):
     learnt = next(i for i in range(100) if crc(i) % 7 != 2)
     held = [i for i in range(2000, 3000) if crc(i) % 7 == 2]
     rows = [(learnt, " ".join(texts))] + [(held[i], f"a {w}") for i, w in enumerate(vocabulary)] + [(held[10], "a"), (held[11], "")]
-    got = {r.doc_id: r for r in ngram_scores(docs(spark, rows), mass=3.0).collect()}
+    got = {r.doc_id: r for r in ngram_scores(docs(spark, rows), order=2, mass=3.0).collect()}
     # p(text "a") = p(a) p(end | a); for "a w" the end's share after w is divided out by the text "w" less its start
-    alone = {r.doc_id: r.score for r in ngram_scores(docs(spark, [rows[0]] + [(held[20 + i], w) for i, w in enumerate(vocabulary)]), mass=3.0).collect()}
-    start = {r.doc_id: r.base_score for r in ngram_scores(docs(spark, [rows[0]] + [(held[20 + i], w) for i, w in enumerate(vocabulary)]), mass=3.0).collect()}
+    alone = {r.doc_id: r.score for r in ngram_scores(docs(spark, [rows[0]] + [(held[20 + i], w) for i, w in enumerate(vocabulary)]), order=2, mass=3.0).collect()}
+    start = {r.doc_id: r.base_score for r in ngram_scores(docs(spark, [rows[0]] + [(held[20 + i], w) for i, w in enumerate(vocabulary)]), order=2, mass=3.0).collect()}
     end = got[held[11]].base_score
     single = {w: start[held[20 + i]] - end for i, w in enumerate(vocabulary)}
     after = {w: got[held[i]].score - single["a"] - (alone[held[20 + i]] - single[w]) for i, w in enumerate(vocabulary)}
@@ -73,7 +77,7 @@ def test_model_sums_to_one(spark):
 
 
 def test_block_numbers_its_grams():
-    b = Block([b"A b a", None, b"b a b"], 2)
+    b = Block(pa.array([b"A b a", None, b"b a b"], pa.binary()), 2)
     assert b.tokens.tolist() == [1, 2, 1, 0, 0, 2, 1, 2, 0]
     assert b.counts(0, np.array([True, True, False])).tolist() == [2, 2, 1]
     assert len(b.grams[1]) == 4
