@@ -1,11 +1,15 @@
 """Near-duplicate embeddings by spherical-cap filters from a structured random product code.
 
-A filter is a unit vector whose halves are two code words, each out of CODE
-random ones, after a random rotation, so CODE**2 directions need 2 * CODE inner
-products. A vector is list-decoded to all directions that it exceeds a cap's
-height with: the halves' products are bounded by the other half's best, and only
-promising code words are combined. Vectors at a small angle exceed some filter
-together; those that share one are compared in double precision.
+A filter is a unit vector whose halves are two code words, each out of W random
+ones, after a random rotation, so W**2 directions need 2 * W inner products. A
+vector is list-decoded to all directions that it exceeds a cap's height with:
+the halves' products are bounded by the other half's best, and only promising
+code words are combined. Vectors at a small angle exceed some filter together;
+those that share one are compared in double precision.
+
+W grows with the root of the number of vectors, so a filter has about as many
+members in a table of any size, and the height is set so that a pair at the
+threshold shares a filter with probability RECALL.
 
 Filters only have to connect: each tile of vectors that share a filter says
 which of them hang together by verified links. All links of a vector lie in its
@@ -16,38 +20,53 @@ pair is written out. Exact copies are one point with a weight.
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from parasol.llm.common import attach, components, groups, tiles, together
+from parasol.llm.common import TILE, Trees, attach, components, groups, linked, meeting, tiles, together
 from parasol.session import save_table, small_batches
 
-#: Code words of each half; directions are their pairs.
-CODE = 256
-#: Filters that a random vector exceeds on average, and filters that any vector gets at least.
-MEAN_LIST, LEAST_LIST = 24, 12
+#: Code words of each half at least, and vectors of one label for each of W**2 filters.
+LEAST_WORDS, PER_FILTER = 32, 4
+#: Share of pairs at the threshold that must share a filter, and filters that any vector gets at least.
+RECALL, LEAST_LIST = 0.985, 8
 THRESHOLD = 0.93
-#: Members of a block; a tile holds two.
+#: Members of a block; a tile holds about one.
 BLOCK = 1000
 
 
+def words_for(n: int) -> int:
+    """Code words of each half for ``n`` vectors."""
+    return max(LEAST_WORDS, ceil((n / PER_FILTER) ** 0.5))
+
+
 class ProductCode:
     """The filters for vectors of ``dim`` components; the same in every task."""
 
-    def __init__(self, dim: int) -> None:
+    #: Pairs that the height is set by, and code words of each half that are tried for them.
+    PAIRS, TRIED = 400, 128
+
+    def __init__(self, dim: int, words: int, threshold: float = THRESHOLD) -> None:
         rng = np.random.default_rng(dim)
-        self.dim, self.half = dim, (dim + 1) // 2
+        self.dim, self.half, self.n = dim, (dim + 1) // 2, words
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        words = rng.standard_normal((2, CODE, self.half))
-        self.words = words / np.linalg.norm(words, axis=2, keepdims=True)
-        probe = rng.standard_normal((256, dim))
-        sums = self._sums(probe / np.linalg.norm(probe, axis=1, keepdims=True))
-        every = (sums[0][:, :, None] + sums[1][:, None, :]).ravel()
-        at = len(every) - MEAN_LIST * len(probe)
-        self.height = float(np.partition(every, at)[at])
+        drawn = rng.standard_normal((2, words, self.half))
+        self.words = drawn / np.linalg.norm(drawn, axis=2, keepdims=True)
+        x, side = rng.standard_normal((2, self.PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(side, axis=1, keepdims=True)
+        y = threshold * x + (1 - threshold**2) ** 0.5 * side / np.where(length > 1e-9, length, 1.0)
+        # The filter that both exceed by most; those with small sums are left out, which can only lower the height.
+        pairs, t, best = list(zip(*self._sums(x), *self._sums(y), strict=True)), min(self.TRIED, words), []
+        for ax, bx, ay, by in pairs:
+            i, j = np.argpartition(ax + ay, words - t)[-t:], np.argpartition(bx + by, words - t)[-t:]
+            best.append(np.minimum(ax[i][:, None] + bx[j], ay[i][:, None] + by[j]).max())
+        self.height = float(np.quantile(best, 1 - RECALL))
 
     def _sums(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = np.zeros((len(unit), 2 * self.half))
@@ -56,19 +75,23 @@ class ProductCode:
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, filter) for every filter that a vector exceeds ``height`` with, and at least its LEAST_LIST best."""
-        a, b = self._sums(unit)
-        k = min(LEAST_LIST, CODE)
-        tops = np.partition(a, CODE - k, axis=1)[:, -k:, None] + np.partition(b, CODE - k, axis=1)[:, None, -k:]
-        best = np.partition(tops.reshape(len(unit), -1), k * k - k, axis=1)[:, -k]
-        floor = np.minimum(best, self.height) - 1e-12
-        v, i = np.nonzero(a + b.max(axis=1, keepdims=True) >= floor[:, None])
-        w, j = np.nonzero(a[v, i][:, None] + b[v] >= floor[v][:, None])
-        return v[w], i[w] * CODE + j
+        step, parts = max(1, (1 << 20) // self.n), []  # bounds the products that are held at a time
+        for at in range(0, len(unit), step):
+            a, b = self._sums(unit[at : at + step])
+            k = min(LEAST_LIST, self.n)
+            tops = np.partition(a, self.n - k, axis=1)[:, -k:, None] + np.partition(b, self.n - k, axis=1)[:, None, -k:]
+            best = np.partition(tops.reshape(len(a), -1), k * k - k, axis=1)[:, -k]
+            floor = np.minimum(best, self.height) - 1e-12
+            v, i = np.nonzero(a + b.max(axis=1, keepdims=True) >= floor[:, None])
+            for some in np.array_split(np.arange(len(v)), max(1, len(v) * self.n >> 22)):
+                w, j = np.nonzero(a[v[some], i[some]][:, None] + b[v[some]] >= floor[v[some]][:, None])
+                parts.append((v[some][w] + at, i[some][w] * self.n + j))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
 
 
 @lru_cache(maxsize=8)
-def code(dim: int) -> ProductCode:
-    return ProductCode(dim)
+def code(dim: int, words: int, threshold: float = THRESHOLD) -> ProductCode:
+    return ProductCode(dim, words, threshold)
 
 
 def unit_rows(column, dtype: str) -> np.ndarray:
@@ -83,17 +106,11 @@ def scaled_norm(x: np.ndarray) -> np.ndarray:
     return top * np.linalg.norm(x / top, axis=1, keepdims=True)
 
 
-def connected(linked: np.ndarray) -> np.ndarray:
-    """The first member of each row's component in a symmetric boolean matrix."""
-    root = np.full(len(linked), -1)
-    for i in range(len(linked)):
-        if root[i] < 0:
-            front = np.array([i])
-            root[i] = i
-            while len(front):
-                front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
-                root[front] = i
-    return root
+def join_near(trees: Trees, at: np.ndarray, near: np.ndarray) -> None:
+    """Joins the members ``at`` by a symmetric boolean matrix of them."""
+    for i, row in zip(at, near, strict=True):
+        for j in at[row & (trees.roots[at] != trees.roots[i])]:
+            trees.join(i, j)
 
 
 def embedding_dedup(
@@ -134,34 +151,48 @@ def embedding_dedup(
     classes = rows.where("vec is not null").groupBy(*alike).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     classes = save_table(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.length("vec")), "vector-classes")
 
+    kind = ["label", "dim"]
+    most = classes.groupBy(*kind).count().agg(F.max("count")).first()[0] or 0
+    n_words = words_for(most)
+
     def decode(batches):
         width = np.dtype(dtype).itemsize
         for b in batches:
             dims = b.column(1).to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                v, f = code(int(dim) // width).decode(unit_rows(part.column(2), dtype))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(v)), pa.array(f.astype(np.int32))], ["cid", "f"])
+                v, f = code(int(dim) // width, n_words, threshold).decode(unit_rows(part.column(2), dtype))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(v)), part.column(3).take(pa.array(v)), pa.array(f)], ["cid", "kind", "f"])
 
-    filters = classes.select("cid", "dim", "vec").mapInArrow(decode, "cid long, f int")
-    keyed = filters.join(classes.select("cid", "label", "dim"), "cid")
-    met = keyed.withColumn("m", F.count("*").over(Window.partitionBy("label", "dim", "f"))).where("m > 1")
-    tile = ["label", "dim", "f", "ti", "tj"]
-    placed = tiles(met, "m", "cid", BLOCK).join(classes.select("cid", "vec"), "cid").select(*tile, "cid", "vec")
+    described = classes.select("cid", "dim", "vec", F.xxhash64(*kind).alias("kind"))
+    keyed = save_table(described.mapInArrow(decode, "cid long, kind long, f long").select("cid", F.xxhash64("kind", "f").alias("key")), "vector-filters")
+    met = save_table(meeting(keyed, ["key"], "m").select("key", "cid", "m"), "vector-met")
 
     def compare(batches):
-        for t in groups(batches, tile):
-            x = unit_rows(t.column("vec"), dtype)
-            root, ids = connected(x @ x.T >= threshold), t.column("cid").to_numpy()
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
-
-    linked = components(together(placed, tile).mapInArrow(compare, "a long, b long"))
-    linked = save_table(linked.withColumn("m", F.count("*").over(Window.partitionBy("comp"))).withColumnRenamed("id", "cid"), "vector-components")
+        for t in groups(batches, TILE):
+            ids, trees = t.column("cid").to_numpy(), Trees(t.column("label").to_numpy())
+            # Hashed keys may bring several labels or lengths together, which never link.
+            kinds = np.unique([f"{k.as_py()}" for k in t.column("own")], return_inverse=True)[1]
+            for k in np.unique(kinds):
+                at = np.flatnonzero(kinds == k)
+                x = unit_rows(t.column("vec").take(pa.array(at)), dtype)
+                join_near(trees, at, x @ x.T >= threshold)
+            if trees.links:
+                a, b = np.array(trees.links, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    own = F.to_json(F.struct(*kind)).alias("own")
+
+    def by_vectors(placed: DataFrame) -> DataFrame:
+        return together(placed.join(classes.select("cid", own, "vec"), "cid").select(*TILE, "cid", "label", "own", "vec"), TILE).mapInArrow(compare, "a long, b long")
+
+    found = save_table(components(linked(met, BLOCK, 1, by_vectors)), "vector-links")
+    sizes = found.groupBy("comp").agg(F.count("*").alias("m"))
+    found = save_table(attach(found, sizes, ["comp"], "m", found.count()).select(F.col("id").alias("cid"), "comp", "m"), "vector-components")
 
     # All links lie within components: count them block by block.
     tile2 = ["comp", "ti", "tj"]
-    inside = tiles(linked, "m", "cid", BLOCK).join(classes.select("cid", "vec", "copies"), "cid").select(*tile2, "block", "cid", "vec", "copies")
+    inside = tiles(found, "m", "cid", BLOCK).join(classes.select("cid", "vec", "copies"), "cid").select(*tile2, "block", "cid", "vec", "copies")
 
     def count(batches):
         for t in groups(batches, tile2):
@@ -173,9 +204,10 @@ def embedding_dedup(
             yield pa.RecordBatch.from_arrays([t.column("cid").combine_chunks(), pa.array(near @ copies)], ["cid", "n"])
 
     counts = together(inside, tile2).mapInArrow(count, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
-    full = classes.drop("vec").join(linked.select("cid", "comp"), "cid", "left").join(counts, "cid", "left")
-    least = full.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"))
-    full = full.join(least, "comp", "left")
+    full = save_table(classes.drop("vec").join(found.select("cid", "comp"), "cid", "left").join(counts, "cid", "left"), "vector-full")
+    least = full.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"), F.count("*").alias("m"))
+    in_tree = attach(full.where("comp is not null"), least, ["comp"], "m", total).drop("m")
+    full = in_tree.unionByName(full.where("comp is null").withColumn("least_id", F.lit(None).cast("long")))
     result = full.select(*alike, "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("component_id"))
     done = attach(rows.where("vec is not null").select("vec_id", *alike), result, alike, "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -75,14 +75,18 @@ def sample_texts(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
 
 
 def features_of(rows: DataFrame, of) -> DataFrame:
-    """doc_id, y, x of rows (doc_id, y, text); x: the features of ``of``, which makes a function of bytes in a worker, as 32-bit integers."""
+    """The columns of ``rows`` but for text, and x: the text's features, as 32-bit integers; ``of`` makes a function of bytes in a worker."""
+    kept = [c for c in rows.columns if c != "text"]
+
     def extract(batches):
         f = of()
         for b in batches:
-            x = pa.array([f(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
+            x = pa.array([f(t).astype("<i4").tobytes() for t in b.column(len(kept)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], x], [*kept, "x"])
 
-    return rows.select("doc_id", "y", F.col("text").cast("binary").alias("text")).mapInArrow(extract, "doc_id long, y double, x binary")
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    return rows.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(extract, f"{schema}, x binary")
 
 
 def fitted(features: DataFrame, fit, name: str) -> tuple[np.ndarray, float]:
@@ -91,13 +95,15 @@ def fitted(features: DataFrame, fit, name: str) -> tuple[np.ndarray, float]:
     The driver gets the model alone, from the table that the task writes.
     """
     def run(batches):
-        rows = [(y, np.frombuffer(x, "<i4")) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows = [(y, np.frombuffer(x, "<i4")) for b in batches for y, x in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), strict=True)]
         weights, bias = fit([x for _, x in rows], np.array([y for y, _ in rows], dtype=np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
     model = save_table(features.repartition(1).sortWithinPartitions("doc_id", "x").mapInArrow(run, "weights binary, bias double"), name)
-    weights, bias = model.first()
-    return np.frombuffer(weights, dtype=np.float32), bias
+    row = model.first()
+    if row is None:  # no task runs where there are no rows
+        return fit([], np.zeros(0))
+    return np.frombuffer(row["weights"], dtype=np.float32), row["bias"]
 
 
 def score_texts(docs: DataFrame, of, modulus: int, held_out: int, threshold: float) -> DataFrame:

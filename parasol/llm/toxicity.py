@@ -178,8 +178,8 @@ def mean_model(rows: DataFrame, positive: list[np.ndarray], width: int, prior: f
     return _numbers(save_table(summed, "toxicity-model").orderBy("at"))[1]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, chunk: int = CHUNK, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, and ``row_col`` if one is named.
 
     Learns from at most ``positives`` documents labelled toxic and from all texts,
     whatever their labels, as unlabelled ones, those with crc32(doc_id) mod 4 other
@@ -197,18 +197,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     if prior is None:
         prior = known.agg(F.avg("y")).first()[0] or 0.0
     prior = min(max(prior, 1e-6), 1.0)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    more = [row_col] if row_col else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
     held_out: Column = fold(F.col("doc_id"), MODULUS) == HELD_OUT
     chosen = save_table(sample_texts(docs, known.where("y > 0"), positives), "toxicity-positives")
     n_positive, n_unlabelled = chosen.count(), texts.where(~held_out).count()
     kept = kept_features(chosen.select(F.col("text").cast("binary")), texts.where(~held_out).select("text"), n_positive, n_unlabelled) if n_positive else np.zeros(0, dtype=np.int64)
     if not len(kept):
         score = float(logistic(FLAT))
-        return texts.select("doc_id", held_out.alias("held_out"), F.lit(score).alias("score"), F.lit(int(score >= THRESHOLD)).alias("predicted"))
+        return texts.select("doc_id", held_out.alias("held_out"), F.lit(score).alias("score"), F.lit(int(score >= THRESHOLD)).alias("predicted"), *more)
 
     places = spark.sparkContext.broadcast({int(b): i for i, b in enumerate(kept)})
-    rows = features_of(texts.select("doc_id", F.lit(0.0).alias("y"), "text"), lambda: Words(places.value).features)
-    rows = save_table(rows.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", F.lit(1)).alias("h"), "x"), "toxicity-rows")
+    rows = features_of(texts, lambda: Words(places.value).features)
+    rows = save_table(rows.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", F.lit(1)).alias("h"), *more, "x"), "toxicity-rows")
     bearing = features_of(chosen, lambda: Words(places.value).features).orderBy("doc_id").select("x").toArrow()
     positive = _rows_of(bearing.column("x"))
     model = mean_model(rows.where(~F.col("held_out")).select("h", "x"), positive, len(kept), prior, max(1, -(-n_unlabelled // chunk)))
@@ -216,9 +217,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     def logits(batches):
         for b in batches:
             z = [float(model[:-1][x].sum() + model[-1]) for x in _rows_of(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.float64())], ["doc_id", "held_out", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[3:], pa.array(z, pa.float64())], ["doc_id", "held_out", *more, "z"])
 
-    scored = rows.select("doc_id", "held_out", "x").mapInArrow(logits, "doc_id long, held_out boolean, z double")
+    carried = "".join(f", `{c}` {t}" for c, t in rows.dtypes if c in more)
+    scored = rows.select("doc_id", "held_out", "x", *more).mapInArrow(logits, f"doc_id long, held_out boolean{carried}, z double")
     binned = F.round(F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.col("z"))) * BINS).cast("long")
     bins, u = _numbers(scored.where("not held_out").groupBy(binned.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin"))
     mine, p = np.unique(np.clip(np.round([(model[:-1][x].sum() + model[-1]) * BINS for x in positive]), -EDGE * BINS, EDGE * BINS), return_counts=True)
@@ -226,4 +228,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     full = [np.bincount(np.searchsorted(every, at), weights=n, minlength=len(every)) for at, n in ((mine, p), (bins, u))]
     shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(every / BINS, *full, prior)
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("z") + shift))))
-    return scored.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scored.select("doc_id", "held_out", score.alias("score"), *more).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from parasol.llm.common import Trees, attach, components, key_filter, linked, may_match, meeting, tiles, without
-from parasol.llm.embedding_dedup import code, connected, embedding_dedup
+from parasol.llm.embedding_dedup import code, embedding_dedup, join_near, words_for
 from parasol.llm.exact_dedup import compact, exact_dedup, flush, hits, merge, write_log
 from parasol.llm.jaccard import SKETCH, CountTree, Shingler, first_groups, jaccard_join, needed, point, spanning
 from parasol.session import save_table
@@ -197,29 +197,45 @@ def test_embedding_dedup_of_awkward_rows(spark):
     assert embedding_dedup(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_filters_find_pairs_at_the_threshold():
-    """Recall of one pair, without the help of a third vector, at cosines from 0.93 on."""
+def lists_of(unit, words):
+    i, f = code(unit.shape[1], words).decode(unit)
+    return [set(x.tolist()) for x in np.split(f, np.searchsorted(i, np.arange(1, len(unit))))]
+
+
+@pytest.mark.parametrize("n", [2_000, 50_000, 2_000_000])
+def test_filters_find_pairs_at_the_threshold(n):
+    """Recall of one pair, without the help of a third vector, at cosines from 0.93 on, with the code for n vectors."""
     rng, dim = np.random.default_rng(4), 64
-    x = rng.standard_normal((1500, dim))
+    x = rng.standard_normal((600, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    for cosine, least in ((0.93, 0.97), (0.95, 0.99), (0.98, 0.999)):
+    for cosine, least in ((0.93, 0.96), (0.95, 0.98), (0.98, 0.99)):
         side = rng.standard_normal(x.shape)
         side -= (side * x).sum(axis=1, keepdims=True) * x
         y = cosine * x + (1 - cosine**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
-        lists = []
-        for v in (x, y):
-            i, f = code(dim).decode(v)
-            lists.append([set(f[i == k].tolist()) for k in range(len(v))])
-        found = np.mean([bool(a & b) for a, b in zip(*lists, strict=True)])
+        mine, others = lists_of(x, words_for(n)), lists_of(y, words_for(n))
+        found = np.mean([bool(a & b) for a, b in zip(mine, others, strict=True)])
         assert found >= least, (cosine, found)
-        assert 12 <= np.mean([len(s) for s in lists[0]]) <= 60
+        assert 8 <= np.mean([len(s) for s in mine])
+
+
+def test_comparisons_a_vector_do_not_grow_with_the_table():
+    """Vectors that share a filter with one of random ones, at 16 times the table."""
+    rng, met = np.random.default_rng(5), []
+    for n in (5_000, 80_000):
+        x = rng.standard_normal((n, 64))
+        _, f = code(64, words_for(n)).decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+        sizes = np.unique(f, return_counts=True)[1]
+        met.append(float((sizes * (sizes - 1)).sum() / n))
+    assert met[1] < 2 * met[0], met
 
 
-def test_connected():
+def test_join_near():
     m = np.eye(6, dtype=bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):
         m[a, b] = m[b, a] = True
-    assert connected(m).tolist() == [0, 1, 1, 0, 4, 0]
+    trees = Trees(np.array([0, 1, 2, 3, 4, 5, 4]))
+    join_near(trees, np.arange(6), m)
+    assert trees.roots.tolist() == [0, 1, 1, 0, 4, 0, 4] and len(trees.links) == 3
 
 
 def shingles(text, width=5):

@@ -6,12 +6,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from parasol.llm.mixing import MOST, WEIGHTS, mix
 from parasol.llm.ngram_lm import Block, ngram_scores
 from parasol.llm.quality import Ftrl, best_cut, quality
-from parasol.llm.toxicity import nnpu, toxicity
+from parasol.llm.toxicity import best_cut as cut_of, nnpu, toxicity
 from tests.llm.helpers import awkward, clashing, crc, docs, words
 
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
@@ -134,12 +134,90 @@ def test_ftrl_separates():
     assert best_cut(np.array([-2.0, -1.0, 3.0, 4.0]), np.array([0.0, 0.0, 1.0, 1.0])) == 1.0
 
 
+def plain_ftrl(x, y, cost, size, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal as its paper writes it, one coordinate after the other; the last is the bias, without penalty."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        a, b = (l1, l2) if i < size else (0.0, 0.0)
+        return 0.0 if abs(z[i]) <= a else -(z[i] - math.copysign(a, z[i])) / ((beta + math.sqrt(n[i])) / alpha + b)
+
+    rng = np.random.default_rng(0)
+    for _ in range(epochs):
+        for k in rng.permutation(len(x)):
+            value = 1 / math.sqrt(max(len(x[k]), 1))
+            w = {int(i): weight(int(i)) for i in x[k]} | {size: weight(size)}
+            p = 1 / (1 + math.exp(-(w[size] + value * sum(w[int(i)] for i in x[k]))))
+            for i in w:
+                g = (p - y[k]) * cost[k] * (value if i < size else 1.0)
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.4])
+def test_ftrl_equals_its_plain_form(l1):
+    rng = np.random.default_rng(3)
+    x = [np.unique(rng.integers(0, 20, rng.integers(0, 8))) for _ in range(60)]
+    y, cost = (rng.random(60) < 0.4).astype(float), rng.random(60) + 0.5
+    m = Ftrl(20, alpha=0.7, beta=1.0, l1=l1, l2=0.05).fit(x, y, cost, epochs=3)
+    want = plain_ftrl(x, y, cost, 20, 3, 0.7, 1.0, l1, 0.05)
+    assert m.weights == pytest.approx(want[:20], abs=1e-5) and m.bias == pytest.approx(want[20])
+
+
+def plain_nnpu(positive, unlabelled, width, prior, steps, rate, l2, batch):
+    """The risk's gradient by finite sums, and Adam, one number after the other."""
+    rng = np.random.default_rng(0)
+    w, m, v = [0.0] * (width + 1), [0.0] * (width + 1), [0.0] * (width + 1)
+    for t in range(1, steps + 1):
+        p = [positive[i] for i in rng.integers(0, len(positive), min(batch[0], len(positive)))]
+        u = [unlabelled[i] for i in rng.integers(0, len(unlabelled), min(batch[1], len(unlabelled)))]
+        z = lambda r: w[-1] + sum(w[int(i)] for i in r)
+        soft, sig = (lambda a: math.log1p(math.exp(a))), (lambda a: 1 / (1 + math.exp(-a)))
+        second = sum(soft(z(r)) for r in u) / len(u) - prior * sum(soft(z(r)) for r in p) / len(p)
+        g = [l2 * a for a in w[:-1]] + [0.0]
+        for rows, of in ((p, lambda a: -prior * sig(-a) - prior * sig(a) if second >= 0 else prior * sig(a)), (u, lambda a: sig(a) if second >= 0 else -sig(a))):
+            for r in rows:
+                s = of(z(r)) / len(rows)
+                for i in [*r, width]:
+                    g[int(i)] += s
+        for i in range(width + 1):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.999 * v[i] + 0.001 * g[i] ** 2
+        w = [a - rate * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8) for i, a in enumerate(w)]
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_nnpu_equals_its_plain_form(prior):
+    rng = np.random.default_rng(4)
+    positive = [np.unique(np.append(0, rng.integers(0, 6, 2))) for _ in range(20)]
+    unlabelled = [np.unique(rng.integers(0, 6, rng.integers(0, 3))) for _ in range(50)]
+    got = nnpu(positive, unlabelled, 6, prior, steps=30, batch=(8, 16))
+    assert got == pytest.approx(plain_nnpu(positive, unlabelled, 6, prior, 30, 0.05, 0.01, (8, 16)), abs=1e-5)
+
+
 def test_nnpu_risk_does_not_learn_positives_by_heart():
     rng = np.random.default_rng(1)
     positive = np.concatenate([np.ones((50, 1)), rng.integers(0, 2, (50, 30))], axis=1)
     unlabelled = np.concatenate([(rng.random((800, 1)) < 0.1).astype(float), rng.integers(0, 2, (800, 30))], axis=1)
-    w, b = nnpu(positive, unlabelled, 0.1)
-    assert w[0] > 3 * np.abs(w[1:]).max()
+    w = nnpu([np.flatnonzero(r) for r in positive], [np.flatnonzero(r) for r in unlabelled], 31, 0.1)
+    assert w[0] > 3 * np.abs(w[1:-1]).max()
+
+
+def test_cut_of_histograms():
+    bins = np.array([-2.0, -1.0, 3.0, 4.0])
+    assert cut_of(bins, np.array([0, 0, 5, 5]), np.array([80, 10, 5, 5]), 0.1) == 1.0
+    assert cut_of(bins[2:], np.array([5, 5]), np.array([1, 1]), 0.5) == 3.0
+
+
+def test_toxicity_takes_all_unlabelled_rows_in_chunks(spark):
+    """Chunks of 40 rows give nearly the model of one chunk, and a row column is carried along."""
+    rows, labels = label_rows(spark)
+    frame, marks = docs(spark, rows).withColumn("nr", F.monotonically_increasing_id()), spark.createDataFrame(labels, LABELS)
+    got = {r.nr: r for r in toxicity(frame, marks, row_col="nr", chunk=40).collect()}
+    whole = {r.nr: r for r in toxicity(frame, marks, row_col="nr").collect()}
+    assert len(got) == len(rows) and np.mean([got[k].predicted == whole[k].predicted for k in got]) > 0.97
 
 
 def water(sizes):
