@@ -3,10 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs (doc_id, text,
 lang, source, n_chars) and returns a DataFrame; all but the last return the
 columns of docs. ``run`` writes each stage's result to the shared folder and
-reads it back for the next one, so a lost executor costs one stage at most.
+reads it back for the next one, so a lost executor costs one stage at most; what
+else a stage wrote is deleted when its result is.
 
-Null ids, texts and sources pass through as the operators say; an empty table
-gives empty results; other columns are carried along.
+The first three stages number the rows and drop single rows by their numbers, so
+rows with one id but other texts don't stand or fall together. Null ids, texts
+and sources pass through as the operators say; an empty table gives empty
+results; other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -14,64 +17,72 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parasol.llm.common import without, word_count
-from parasol.llm.exact_dedup import exact_dedup, keep_rows
+from parasol.llm.common import attach, meeting, without, word_count
+from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
 from parasol.llm.packing import pack
 from parasol.llm.queries import SEQUENCE_LIMITS, TOKENIZER
 from parasol.llm.toxicity import THRESHOLD, toxicity
-from parasol.session import save_table
+from parasol.session import save_table, scratch
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """Adds ``__id``: doc_id, or for null ids a number of its own beyond any id. ``docs`` is a scan, so it is the same each time."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of row numbers, written once so that they are the same each time, and the column's name."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    return save_table(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity classifier rejects; it learns from the labels beside them.
-
-    An id that occurs with several texts goes if any of them is rejected.
-    """
-    named = _named(docs)
-    scored = toxicity(named.select(F.col("__id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = save_table(scored.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__id")).distinct(), "pipeline-toxic")
-    return without(named, rejected, "__id").select(*docs.columns)
+    """Drops the rows that the toxicity classifier rejects; it learns from the labels beside them."""
+    rows, row = _numbered(docs)
+    scored = toxicity(rows.select("doc_id", "text", row), spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    rejected = save_table(scored.where(F.col("score") >= THRESHOLD).select(row), "pipeline-toxic")
+    return without(rows, rejected, row).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row that the exact dedup operator keeps."""
-    return keep_rows(docs, exact_dedup(docs))
+    rows, row = _numbered(docs)
+    result = exact_dedup(rows.select("doc_id", "text", row), row_col=row)
+    dropped = save_table(result.where("not kept").select(F.col("row").alias(row)), "pipeline-copies")
+    return without(rows, dropped, row).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of the Jaccard join, the one whose id names it.
+    """Keeps one row of each component of the Jaccard join, that with the smallest doc_id, or else the first.
 
-    Documents with a null id come last, so they stay only where no other does.
-    Rows that share an id count as one document.
+    Rows with a null id come last, so they stay only where no other does.
     """
-    named = _named(docs)
-    dropped = save_table(jaccard_join(named.select(F.col("__id").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "pipeline-near")
-    return without(named, dropped, "__id").select(*docs.columns)
+    rows, row = _numbered(docs)
+    found = save_table(jaccard_join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp")), "pipeline-near")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    members = save_table(meeting(found, ["comp"], "m").drop("m").join(ids, "row"), "pipeline-members")
+    first = members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("m"))
+    others = attach(members, first, ["comp"], "m", members.count()).where("row <> first.row")
+    return without(rows, save_table(others.select(F.col("row").alias(row)), "pipeline-others"), row).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mix takes it; those that it takes zero times go."""
-    key = ["__id", "__source", "__size"]
-    plan = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    plan = save_table(plan.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "mix-plan")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source")).withColumn("__size", word_count(F.col("text")))
+    p = "__mix"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    key = [f"{p}id", f"{p}source", f"{p}size"]
+    plan = mix(docs).groupBy(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]))
+    plan = save_table(plan.agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows")), "mix-plan")
+    rows = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.col("source")).withColumn(key[2], word_count(F.col("text")))
     match = [rows[k].eqNullSafe(plan[k]) for k in key]
-    joined = rows.join(plan, match).select(*docs.columns, *(plan[k] for k in key), "__copies", "__rows")
-    one = joined.where("__rows = 1").drop(*key)
+    joined = rows.join(plan, match).select(*docs.columns, *(plan[k] for k in key), f"{p}copies", f"{p}rows")
+    one = joined.where(f"{p}rows = 1").drop(*key)
     # Rows alike in id, source and size share their copies, one more for the first of them.
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
-    several = joined.where("__rows > 1")
-    if not plan.where("__rows > 1").isEmpty():
-        share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-        one = one.unionByName(several.withColumn("__copies", share.cast("long")).drop(*key))
-    times = one.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    if not plan.where(f"{p}rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+        share = F.floor(F.col(f"{p}copies") / F.col(f"{p}rows")) + F.when(nth <= F.col(f"{p}copies") % F.col(f"{p}rows"), 1).otherwise(0)
+        one = one.unionByName(joined.where(f"{p}rows > 1").withColumn(f"{p}copies", share.cast("long")).drop(*key))
+    times = one.where(f"{p}copies > 0").withColumn(f"{p}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies"))))
     return times.select(*docs.columns)
 
 
@@ -95,6 +106,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in order to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = save_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    with scratch(spark) as kept:
+        for name, stage in STAGES:
+            with scratch(spark) as here:
+                docs = save_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+                here.append(docs.table_path)
+        kept.append(docs.table_path)
     return docs
