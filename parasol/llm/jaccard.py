@@ -6,6 +6,11 @@ coordinates' minima, and a box of points shares at most what its upper corner
 allows, so a tree drops boxes and points whose bound is below the overlap that
 the threshold asks for. What is left is verified on the shingles themselves.
 
+A document has about as many groups as shingles, a power of two of them, so that
+unlike documents of any length share few. Groups are the first bits of a hash:
+to compare documents of unlike resolution, the finer point's groups are added up.
+Sets that differ more than twofold never link, so neighbouring ones are enough.
+
 One tree over all documents would not prune: in the dozens of dimensions that
 the bound needs, boxes of unlike documents overlap. The index is therefore a
 forest, split by finer groups, one for each shingle hash: put a document's
@@ -38,8 +43,8 @@ from parasol.session import save_table, small_batches
 #: Words of a shingle, and the links' least similarity as a fraction.
 WORDS = 5
 SIMILAR = (75, 100)
-#: Coordinates of a point.
-GROUPS = 128
+#: Coordinates of a point at least.
+GROUPS = 64
 #: Points of a leaf, points of a tree at most, and points of trees that are compared with each other.
 LEAF, BLOCK, FEW = 32, 1000, 64
 #: Counters of the sketch, and those that travel in one row.
@@ -71,9 +76,21 @@ class Shingler:
         return np.unique(gram ^ (gram >> np.uint64(29)))
 
 
+def resolution(n: int) -> int:
+    """The number of groups of a document of ``n`` shingles."""
+    return max(GROUPS, 1 << (n - 1).bit_length())
+
+
 def point(shingles: np.ndarray) -> np.ndarray:
-    """The count vector: the shingles by the top bits of their hashes."""
-    return np.bincount((shingles >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    """The count vector: the shingles by the top bits of their hashes; of one byte a group if that is enough."""
+    groups = resolution(len(shingles))
+    counts = np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max() < 256 else "<u4")
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point at a lower resolution."""
+    return p if len(p) == groups else p.reshape(groups, -1).sum(axis=1)
 
 
 def counter_of(shingles: np.ndarray) -> np.ndarray:
@@ -99,8 +116,8 @@ class CountTree:
     """An R-tree over count vectors, bulk loaded by halving along the widest coordinate."""
 
     def __init__(self, points: np.ndarray) -> None:
-        self.points = points.astype(np.int64)
-        self.sizes = self.points.sum(axis=1)
+        self.points = points
+        self.sizes = points.sum(axis=1, dtype=np.int64)
         self.order = np.arange(len(points))  # the members of a node are a slice of it
         self.nodes: list[tuple] = []  # upper corner, least size, largest size, slice, children
         self.root = self._build(0, len(points))
@@ -110,40 +127,52 @@ class CountTree:
         box, sizes = self.points[members], self.sizes[members]
         below = ()
         if hi - lo > LEAF:
-            spread = np.append(box.max(axis=0) - box.min(axis=0), sizes.max() - sizes.min())
+            spread = np.append((box.max(axis=0) - box.min(axis=0)).astype(np.int64), sizes.max() - sizes.min())
             axis, half = int(spread.argmax()), (lo + hi) // 2
             self.order[lo:hi] = members[np.argsort(sizes if axis == box.shape[1] else box[:, axis], kind="stable")]
             below = (self._build(lo, half), self._build(half, hi))
         self.nodes.append((box.max(axis=0), int(sizes.min()), int(sizes.max()), lo, hi, below))
         return len(self.nodes) - 1
 
-    def near(self, i: int, trees: Trees):
-        """Members j that may be similar to i and are not yet joined to it in ``trees``."""
+    def near(self, i: int, trees: Trees, names: np.ndarray):
+        """Members j that may be similar to i and are not joined to it in ``trees``, where members go by ``names``."""
         q, n, stack = self.points[i], int(self.sizes[i]), [self.root]
         s, whole = SIMILAR
         while stack:
             upper, least, most, lo, hi, below = self.nodes[stack.pop()]
-            if whole * most < s * n or s * least > whole * n or np.minimum(q, upper).sum() < needed(n + least):
+            if whole * most < s * n or s * least > whole * n or np.minimum(q, upper).sum(dtype=np.int64) < needed(n + least):
                 continue
             members = self.order[lo:hi]
-            rest = members[trees.roots[members] != trees.roots[i]]
+            rest = members[trees.roots[names[members]] != trees.roots[names[i]]]
             if not len(rest):
                 continue
             if below:
                 stack += below
                 continue
-            shared = np.minimum(self.points[rest], q).sum(axis=1)
+            shared = np.minimum(self.points[rest], q).sum(axis=1, dtype=np.int64)
             yield from rest[shared >= needed(n + self.sizes[rest])].tolist()
 
 
-def spanning(points: np.ndarray, labels: np.ndarray | None = None, similar=None) -> Trees:
-    """Trees that the pairs join that pass the bound and, if given, ``similar(i, j)``."""
+def spanning(points: list[np.ndarray], labels: np.ndarray | None = None, similar=None) -> Trees:
+    """Trees that the pairs join that pass the bound and, if given, ``similar(i, j)``.
+
+    One R-tree for each resolution, of its points and of those of the next finer
+    one; the former ask it.
+    """
     trees = Trees(len(points) if labels is None else labels)
-    index = CountTree(points)
-    for i in range(len(points)):
-        for j in index.near(i, trees):
-            if trees.roots[i] != trees.roots[j] and (similar is None or similar(i, j)):
-                trees.join(i, j)
+    groups_of = np.array([len(p) for p in points], dtype=np.int64)
+    for groups in np.unique(groups_of).tolist():
+        own, finer = np.flatnonzero(groups_of == groups), np.flatnonzero(groups_of == 2 * groups)
+        members = np.concatenate([own, finer])
+        if len(members) < 2 or len(np.unique(trees.roots[members])) < 2:
+            continue
+        index = CountTree(np.stack([folded(points[m], groups) for m in members]))
+        for i in range(len(own)):
+            mine = members[i]
+            for j in index.near(i, trees, members):
+                other = members[j]
+                if trees.roots[mine] != trees.roots[other] and (similar is None or similar(mine, other)):
+                    trees.join(mine, other)
     return trees
 
 
@@ -156,8 +185,9 @@ def _edges(batches, trees_of):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
 
-def points_of(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, GROUPS)
+def points_of(counts: pa.ChunkedArray, n: pa.ChunkedArray) -> list[np.ndarray]:
+    """The count vectors of documents with ``n`` shingles."""
+    return [np.frombuffer(c, "u1" if len(c) == resolution(k) else "<u4") for c, k in zip(counts.to_pylist(), n.to_pylist(), strict=True)]
 
 
 def group_ranks(texts: DataFrame, words: int) -> np.ndarray:
@@ -232,10 +262,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     forest = save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "m")), "jaccard-forest")
 
     def bound(batches):
-        yield from _edges(batches, lambda t: spanning(points_of(t.column("counts")), t.column("label").to_numpy()))
+        yield from _edges(batches, lambda t: spanning(points_of(t.column("counts"), t.column("n")), t.column("label").to_numpy()))
 
     def by_points(placed: DataFrame) -> DataFrame:
-        return together(placed.join(classes.select("cid", "counts"), "cid").select(*TILE, "cid", "label", "counts"), TILE).mapInArrow(bound, "a long, b long")
+        return together(placed.join(classes.select("cid", "n", "counts"), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
 
     maybe = save_table(components(linked(forest, BLOCK, 1, by_points)).select(F.col("id").alias("cid"), F.col("comp").alias("key")), "jaccard-maybe")
 
@@ -263,7 +293,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return whole * shared >= SIMILAR[0] * (len(sets[i]) + len(sets[j]))
 
-            return spanning(np.stack([point(s) for s in sets]), t.column("label").to_numpy(), similar)
+            return spanning([point(s) for s in sets], t.column("label").to_numpy(), similar)
 
         yield from _edges(batches, trees)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 from parasol.llm.common import Trees, attach, components, key_filter, linked, may_match, meeting, tiles, without
 from parasol.llm.embedding_dedup import code, embedding_dedup, join_near, words_for
 from parasol.llm.exact_dedup import compact, exact_dedup, flush, hits, merge, write_log
-from parasol.llm.jaccard import SKETCH, CountTree, Shingler, first_groups, jaccard_join, needed, point, spanning
+from parasol.llm.jaccard import SKETCH, CountTree, Shingler, first_groups, folded, jaccard_join, needed, point, resolution, spanning
 from parasol.session import save_table
 from tests.llm.helpers import awkward, clashing, docs
 
@@ -290,22 +290,36 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_jaccard(rows)
 
 
-def test_tree_drops_nothing_that_passes_the_bound():
+@pytest.mark.parametrize("groups", [(128,), (64, 128, 256)])
+def test_tree_drops_nothing_that_passes_the_bound(groups):
+    """Every pair of one resolution, or of neighbouring ones at the lower of them, that passes is joined."""
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 12, (6, 128))
-    points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape), 0) for _ in range(40)])
-    forest, sizes = Forest(len(points)), points.sum(axis=1)
+    points = []
+    for g in groups:
+        base = rng.integers(0, 12, (6, g))
+        points += list(np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape), 0) for _ in range(30)]).astype("u1"))
+    forest, sizes = Forest(len(points)), [int(p.sum()) for p in points]
     for i in range(len(points)):
         for j in range(i):
-            if np.minimum(points[i], points[j]).sum() >= needed(sizes[i] + sizes[j]):
+            g = min(len(points[i]), len(points[j]))
+            if max(len(points[i]), len(points[j])) <= 2 * g and np.minimum(folded(points[i], g), folded(points[j], g)).sum() >= needed(sizes[i] + sizes[j]):
                 forest.join(i, j)
     got = spanning(points)
     assert got.roots.tolist() == [forest.root(i) for i in range(len(points))]
-    assert len(CountTree(points).nodes) > 3
+    assert len(CountTree(np.stack(points[:180] if len(groups) == 1 else points[:180])).nodes) > 3
     joined = Trees(np.arange(len(points)) % 6)
     assert len(set(joined.roots.tolist())) == 6 and spanning(points, np.zeros(len(points))).links == []
 
 
+def test_points_of_unlike_resolution(spark):
+    assert [resolution(n) for n in (1, 64, 65, 300, 1024, 1025)] == [64, 64, 128, 512, 1024, 2048]
+    s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+    fine = point(s)
+    assert fine.sum() == len(s) and len(fine) == 512 and folded(fine, 256).sum() == len(s)
+    want = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    assert folded(fine, 256).tolist() == want.tolist()
+
+
 def test_similar_sets_share_a_first_group():
     """Whatever the ranks are; this is what makes the forest complete."""
     rng = np.random.default_rng(8)
