@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +237,13 @@ def together(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def release_memory() -> None:
+    """Gives the free memory of a worker back to the machine; it would otherwise keep what its largest piece took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every libc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of each text (binary), ASCII letters in lower case: numbers of all words, how many each text has, and the distinct words by number."""
     if texts.null_count:
