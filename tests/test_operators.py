@@ -10,61 +10,11 @@ from pyspark.sql import functions as F
 from parasol.functions import geometry as g
 from parasol.functions.sun import sun_table
 from parasol.operators import graph, spatial
-from parasol.operators.steps import build_steps, runs_of, sentence, steps_of
 from parasol.sources.export import as_json, verify_export, write_export
 from parasol.sources.paged import PagedSource, ServiceError, with_retries
 from parasol.streaming.requests import answer, failover, limited
 
 
-def leg(name, coords, side="", kind="footway/sidewalk", fold=(), length=50.0):
-    return {"name": name, "side": side, "kind": kind, "fold_names": list(fold), "length_m": length, "coords": coords}
-
-
-def east(i):
-    return [(-74 + 0.001 * i, 40.7), (-74 + 0.001 * (i + 1), 40.7)]
-
-
-def north(i):
-    return [(-74.0 + 0.003, 40.7 + 0.001 * i), (-74.0 + 0.003, 40.7 + 0.001 * (i + 1))]
-
-
-def test_steps_fold_what_lies_between():
-    legs = [leg("A", east(0)), leg("", east(1), kind="footway/crossing"), leg("A", east(2)), leg("", north(0), fold=["B"]), leg("B", north(1))]
-    runs = runs_of(legs)
-    assert [r.name for r in runs] == ["A", "B"] and [len(r.legs) for r in runs] == [3, 2]
-    steps = steps_of(legs)
-    assert [(s["action"], s["name"], s["heading"]) for s in steps] == [("depart", "A", "east"), ("left", "B", "")]
-    assert sentence(steps) == "Head east on A for 150 m, then turn left onto B for 100 m."
-
-
-def test_a_nameless_leg_without_evidence_stays():
-    assert [s["name"] for s in steps_of([leg("A", east(0)), leg("", east(1)), leg("A", east(2))])] == ["A", "unnamed path", "A"]
-    assert steps_of([]) == [] and sentence([]) == "You are already at your destination."
-    assert steps_of([leg("A", east(0), length=0.04)]) == []
-
-
-def test_sides_switch_behind_a_crossing_only():
-    across = leg("", [(-73.999, 40.7), (-73.999, 40.7002)], kind="footway/crossing", length=10.0)
-    legs = [leg("A", east(0), "N"), across, leg("A", east(1), "S")]
-    assert [s["action"] for s in steps_of(legs)] == ["depart", "cross_side"]
-    assert [s["side"] for s in steps_of(legs)] == ["north", "south"]
-    assert len(steps_of([legs[0], legs[2]])) == 1  # no crossing, no switch
-
-
-@pytest.mark.parametrize("turn,action", [(30, "continue"), (31, "right"), (150, "sharp_right"), (-149, "left"), (-150, "sharp_left")])
-def test_turn_classes(turn, action):
-    from parasol.operators.steps import turn as of
-
-    assert of(float(turn)) == action
-
-
-def test_steps_of_a_frame(spark):
-    legs = [leg("A", [list(c) for c in east(0)]), leg("B", [list(c) for c in north(0)])]
-    rows = [(1, 0.0, i, x["name"], x["side"], x["kind"], x["fold_names"], x["length_m"], x["coords"]) for i, x in enumerate(legs)]
-    frame = spark.createDataFrame(rows, "request long, weight double, seq int, name string, side string, kind string, fold_names array<string>, length_m double, coords array<array<double>>")
-    assert [(r.seq, r.action, r.name) for r in build_steps(frame).orderBy("seq").collect()] == [(0, "depart", "A"), (1, "left", "B")]
-
-
 def grid_edges(n=6, seed=0):
     rng = random.Random(seed)
     out = []
