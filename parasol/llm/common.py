@@ -47,13 +47,15 @@ def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total
     return done.unionByName(rest)
 
 
-def meeting(rows: DataFrame, key: list[str], size: str) -> DataFrame:
+def meeting(rows: DataFrame, key: list[str], size: str, label: str | None = None) -> DataFrame:
     """The rows whose ``key`` others have too, with the number of its rows as ``size``. ``rows`` is read twice.
 
     Keys that occur once, mostly the larger part, are dropped by a filter before
-    rows are sent.
+    rows are sent; with ``label`` also those whose rows have the same label.
     """
-    counts = save_table(rows.groupBy(*key).agg(F.count("*").alias(size)).where(F.col(size) > 1), "meeting-keys")
+    spread = [F.min(label).alias("__low"), F.max(label).alias("__high")] if label else []
+    counts = rows.groupBy(*key).agg(F.count("*").alias(size), *spread).where("__low <> __high" if label else F.col(size) > 1)
+    counts = save_table(counts.select(*key, size), "meeting-keys")
     n, total = counts.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     filters = key_filter(counts.select(F.xxhash64(*key).alias("__k")), "__k", n)
     likely = may_match(rows.withColumn("__k", F.xxhash64(*key)), save_table(filters, "meeting-filter"), "__k", n).drop("__k")
@@ -197,29 +199,32 @@ TILE = ["key", "ti", "tj"]
 
 
 def linked(members: DataFrame, most: int, salts: int, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) that join what hangs together in each key of members (key, cid, m: the key's rows), a written table.
+    """Edges (a, b) that join what hangs together in each key of members (key, cid, label, m: the key's rows), a written table.
 
     ``edges`` takes rows (TILE, cid, label) and gives, for each tile, edges that
     join its members' trees, those with equal labels counting as joined. A key of
     up to ``most`` rows is one tile. A larger one is cut into blocks, ``salts``
-    times differently, of which each is a tile. What they joined gets one label;
-    of the members with other labels than the commonest of their key, each still
+    times differently, of which each is a tile; what they joined gets one label.
+    Of the members with other labels than the commonest of their key, each still
     meets every one. So copies without end cost a few rows each, and no pair
     that may link is left out.
     """
     blocks = F.ceil(F.col("m") / most)
-    small = members.where(F.col("m") <= most).select("key", F.lit(0).alias("ti"), F.lit(0).alias("tj"), "cid", F.col("cid").alias("label"))
+    small = members.where(F.col("m") <= most).select("key", F.lit(0).alias("ti"), F.lit(0).alias("tj"), "cid", "label")
     large = members.where(F.col("m") > most)
     if large.isEmpty():
-        return edges(small)
-    dealt = large.withColumn("ti", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = dealt.select("key", "ti", F.pmod(F.xxhash64("cid", "key", "ti"), blocks).cast("int").alias("tj"), "cid", F.col("cid").alias("label"))
-    first = save_table(edges(small.unionByName(dealt)), "tile-links")
-    named = large.join(components(first).withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "m", F.coalesce("comp", "cid").alias("label"))
+        return save_table(edges(small), "tile-links")
+    named, first = large.select("key", "cid", "label"), small
+    if salts:
+        dealt = large.withColumn("ti", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        first = small.unionByName(dealt.select("key", "ti", F.pmod(F.xxhash64("cid", "key", "ti"), blocks).cast("int").alias("tj"), "cid", "label"))
+    first = save_table(edges(first), "tile-links")
+    if salts:
+        named = named.join(components(first).withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "label").alias("label"))
     named = save_table(named, "tile-labels")
     counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most_n"), F.sum("n").alias("m")).where("most_n < m")
-    left = save_table(attach(named.drop("m"), main, ["key"], "m", named.count(), "inner"), "tile-rest")
+    left = save_table(attach(named, main, ["key"], "m", named.count(), "inner"), "tile-rest")
     n_odd = F.ceil((F.col("m") - F.col("most_n")) / most).cast("int")
     n_main = F.ceil(F.col("most_n") / most).cast("int")
     mine = F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("main"), n_main).otherwise(n_odd)).cast("int")
@@ -229,7 +234,7 @@ def linked(members: DataFrame, most: int, salts: int, edges: Callable[[DataFrame
     others = odd.select("key", F.explode(F.sequence(F.lit(0), n_main - 1)).alias("ti"), mine.alias("tj"), "cid", "label")
     # Blocks of odd members meet each other too; ti below zero keeps these tiles apart.
     pairs = tiles(odd.where(n_odd > 1).withColumn("odd", F.col("m") - F.col("most_n")), "odd", "cid", most).select("key", (-1 - F.col("ti")).alias("ti"), "tj", "cid", "label")
-    return first.unionByName(edges(common.unionByName(others).unionByName(pairs)))
+    return save_table(first.unionByName(edges(common.unionByName(others).unionByName(pairs))), "tile-links")
 
 
 def together(rows: DataFrame, keys: list[str]) -> DataFrame:

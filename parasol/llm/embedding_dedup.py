@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from parasol.llm.common import TILE, Trees, attach, components, groups, linked, meeting, tiles, together
 from parasol.session import save_table, small_batches
 
-#: Code words of each half at least, and vectors of one label for each of W**2 filters.
-LEAST_WORDS, PER_FILTER = 32, 4
+#: Code words of each half at least, and filters (W**2 of them) for each vector of one label.
+LEAST_WORDS, FILTERS = 32, 16
 #: Share of pairs at the threshold that must share a filter, and filters that any vector gets at least.
-RECALL, LEAST_LIST = 0.985, 8
+RECALL, LEAST_LIST = 0.97, 8
 THRESHOLD = 0.93
 #: Members of a block; a tile holds about one.
 BLOCK = 1000
@@ -41,7 +41,7 @@ BLOCK = 1000
 
 def words_for(n: int) -> int:
     """Code words of each half for ``n`` vectors."""
-    return max(LEAST_WORDS, ceil((n / PER_FILTER) ** 0.5))
+    return max(LEAST_WORDS, ceil((n * FILTERS) ** 0.5))
 
 
 class ProductCode:
@@ -166,7 +166,7 @@ def embedding_dedup(
 
     described = classes.select("cid", "dim", "vec", F.xxhash64(*kind).alias("kind"))
     keyed = save_table(described.mapInArrow(decode, "cid long, kind long, f long").select("cid", F.xxhash64("kind", "f").alias("key")), "vector-filters")
-    met = save_table(meeting(keyed, ["key"], "m").select("key", "cid", "m"), "vector-met")
+    met = save_table(meeting(keyed, ["key"], "m").select("key", "cid", F.col("cid").alias("label"), "m"), "vector-met")
 
     def compare(batches):
         for t in groups(batches, TILE):

@@ -23,7 +23,9 @@ is left to chance: the sketch only decides how large trees are.
 
 Copies (equal shingle sets) are one point. Trees of few points whose points are
 the same are one. A tree only says which points hang together, by a spanning
-forest, so a group of near copies costs a row each. The components of those
+forest, so a group of near copies costs a row each. Before the trees of first
+groups, a few trees of points with an equal minimum hash join most near copies;
+a group whose points are then all joined needs no tree. The components of those
 forests bound the true ones; their texts are read again, and links are verified
 exactly within each.
 """
@@ -37,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.bpe import Cache
-from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, may_match, meeting, together
+from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, marked, may_match, meeting, together
 from parasol.session import save_table, small_batches
 
 #: Words of a shingle, and the links' least similarity as a fraction.
@@ -47,6 +49,8 @@ SIMILAR = (75, 100)
 GROUPS = 64
 #: Points of a leaf, points of a tree at most, and points of trees that are compared with each other.
 LEAF, BLOCK, FEW = 32, 1000, 64
+#: Minimum hashes that join near copies beforehand.
+MINIMA = 3
 #: Counters of the sketch, and those that travel in one row.
 SKETCH, CHUNK = 1 << 20, 1 << 16
 CACHE_ENTRIES = 500_000
@@ -106,6 +110,11 @@ def first_groups(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return shingles[order[:n]].view(np.int64)
 
 
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least shingles by MINIMA hashes, as int64."""
+    return np.array([int((shingles * (_MIX + np.uint64(2 * k + 2))).min()) for k in range(MINIMA)], dtype=np.uint64).view(np.int64)
+
+
 def needed(total):
     """The overlap that two sets of ``total`` elements together need: s / (1 + s) of it, rounded up."""
     s, whole = SIMILAR
@@ -185,9 +194,15 @@ def _edges(batches, trees_of):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
 
+def pressed(p: np.ndarray) -> bytes:
+    """A point's bytes, which are mostly zeros and ones, pressed for the way."""
+    return zstandard.compress(p.tobytes(), 1)
+
+
 def points_of(counts: pa.ChunkedArray, n: pa.ChunkedArray) -> list[np.ndarray]:
     """The count vectors of documents with ``n`` shingles."""
-    return [np.frombuffer(c, "u1" if len(c) == resolution(k) else "<u4") for c, k in zip(counts.to_pylist(), n.to_pylist(), strict=True)]
+    raw = [(zstandard.decompress(c), resolution(k)) for c, k in zip(counts.to_pylist(), n.to_pylist(), strict=True)]
+    return [np.frombuffer(c, "u1" if len(c) == groups else "<u4") for c, groups in raw]
 
 
 def group_ranks(texts: DataFrame, words: int) -> np.ndarray:
@@ -219,6 +234,14 @@ def group_ranks(texts: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """Keys (key, cid, label, m), written; of keys with at most FEW rows that have the same ones, one stays."""
+    few = met.where(F.col("m") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cid", "label"))).alias("rows"))
+    few = few.groupBy("rows").agg(F.min("key").alias("key")).select("key", F.explode("rows").alias("r"), F.size("rows").cast("long").alias("m"))
+    few = few.select("key", "r.cid", "r.label", "m")
+    return save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "label", "m")), "jaccard-forest")
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -242,35 +265,42 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             rows = []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), point(s).tobytes(), first_groups(s, ranks.value)) if len(s) else (0, b"", b"", []))
-            n, digest, counts, first = zip(*rows, strict=True) if rows else ([], [], [], [])
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), pressed(point(s)), first_groups(s, ranks.value), minima(s)) if len(s) else (0, b"", b"", [], []))
+            n, digest, counts, first, least = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "th", "n", "digest", "counts", "first"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (first, least))],
+                ["doc_id", "th", "n", "digest", "counts", "first", "least"],
             )
 
-    rows = save_table(texts.mapInArrow(describe, "doc_id long, th long, n long, digest binary, counts binary, first array<long>"), "jaccard-rows")
+    rows = save_table(texts.mapInArrow(describe, "doc_id long, th long, n long, digest binary, counts binary, first array<long>, least array<long>"), "jaccard-rows")
     total = rows.count()
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("first").alias("first"))
+    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("first").alias("first"), F.first("least").alias("least"))
     classes = save_table(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
-    # The forest: classes that share one of their first groups. Groups of one class are dropped before points are sent.
-    met = save_table(meeting(classes.select("cid", F.explode("first").alias("key")), ["key"], "m"), "jaccard-met")
-    few = met.where(F.col("m") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
-    few = few.groupBy("cids").agg(F.min("key").alias("key")).select("key", F.explode("cids").alias("cid"), F.size("cids").cast("long").alias("m"))
-    forest = save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "m")), "jaccard-forest")
-
     def bound(batches):
         yield from _edges(batches, lambda t: spanning(points_of(t.column("counts"), t.column("n")), t.column("label").to_numpy()))
 
     def by_points(placed: DataFrame) -> DataFrame:
         return together(placed.join(classes.select("cid", "n", "counts"), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
 
-    maybe = save_table(components(linked(forest, BLOCK, 1, by_points)).select(F.col("id").alias("cid"), F.col("comp").alias("key")), "jaccard-maybe")
+    # Near copies beforehand: classes with an equal minimum hash.
+    alike = save_table(classes.select("cid", F.explode("least").alias("key")), "jaccard-minima")
+    near = save_table(meeting(alike, ["key"], "m").withColumn("label", F.col("cid")), "jaccard-near")
+    near_links = linked(_once(near), BLOCK, 1, by_points)
+    joined = save_table(components(near_links).select(F.col("id").alias("cid"), F.col("comp").alias("label")), "jaccard-joined")
+
+    # The forest: classes that share one of their first groups, if they are not all joined. Groups of one class are dropped before points are sent.
+    n = joined.count()
+    split = marked(classes.select("cid", "first"), save_table(key_filter(joined, "cid", n), "jaccard-joined-filter"), "cid", n, "left").select("cid", "first", "__hit")
+    named = split.where("__hit").drop("__hit").join(joined, "cid", "left").unionByName(split.where("not __hit").drop("__hit").withColumn("label", F.lit(None).cast("long")))
+    keyed = named.select("cid", F.coalesce("label", "cid").alias("label"), F.explode("first").alias("key"))
+    met = save_table(meeting(keyed, ["key"], "m", "label"), "jaccard-met")
+    links = near_links.unionByName(linked(_once(met), BLOCK, 0, by_points))
+    maybe = save_table(components(links).select(F.col("id").alias("cid"), F.col("comp").alias("key")), "jaccard-maybe")
 
     # The texts of one document of each class of these components, verified within them.
-    members = save_table(attach(maybe, maybe.groupBy("key").agg(F.count("*").alias("m")), ["key"], "m", maybe.count()).select("key", "cid", "m"), "jaccard-members")
+    members = save_table(attach(maybe, maybe.groupBy("key").agg(F.count("*").alias("m")), ["key"], "m", maybe.count()).select("key", "cid", F.col("cid").alias("label"), "m"), "jaccard-members")
     wanted = save_table(members.join(classes.select("cid", "own", "digest"), "cid").select("cid", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest"), "jaccard-wanted")
     # Most texts are in no such component; a filter drops them before they are sent.
     n = wanted.count()
