@@ -59,27 +59,37 @@ def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def decimals(value: Column, places: int) -> Column:
-    """A number with so many places; halves of the exact binary value go to the even digit."""
-    return F.format_string(f"%.{places}f", F.bround(value.cast("decimal(38,18)"), places).cast("double"))
+def tenths(value: Column, even: bool) -> Column:
+    """A number of tenths, rounded by the exact binary value; a tie goes to the even number or up.
 
+    Ten times a double is eight times plus twice, both exact; what their sum
+    loses decides where it seems to lie half way.
+    """
+    eight, two = value * 8, value * 2
+    s = eight + two
+    back = s - eight
+    lost = (eight - (s - back)) + (two - back)
+    low = F.floor(s)
+    f = s - low
+    tie_up = (F.pmod(low, F.lit(2)) == 1) if even else F.lit(True)
+    up = (f > 0.5) | ((f == 0.5) & ((lost > 0) | ((lost == 0) & tie_up)))
+    return low + up.cast("long")
 
-def distance_text(metres: Column) -> Column:
-    return F.when(metres >= 1000, F.concat(decimals(metres / 1000, 1), F.lit(" km"))).otherwise(F.concat(decimals(metres, 0), F.lit(" m")))
 
+def one_place(value: Column, even: bool) -> Column:
+    n = tenths(value, even)
+    return F.format_string("%d.%d", F.floor(n / 10), F.pmod(n, F.lit(10)))
 
-def fixed(value: Column, places: int) -> Column:
-    """A number with so many places as browsers write it: the nearest to the exact binary value, halves up."""
-    scale = 10**places
-    whole = half_up(value.cast("decimal(38,18)") * scale).cast("long")
-    return F.format_string(f"%d.%0{places}d", F.floor(whole / scale), F.pmod(whole, F.lit(scale)))
+
+def distance_text(metres: Column) -> Column:
+    return F.when(metres >= 1000, F.concat(one_place(metres / 1000, True), F.lit(" km"))).otherwise(F.concat(F.rint(metres).cast("long").cast("string"), F.lit(" m")))
 
 
 def imperial_parts(metres: Column) -> tuple[Column, Column]:
     """Whole feet below a tenth of a mile, else miles with one place."""
     feet = metres / FOOT_M
     far = feet >= FEET_MILE * LEAST_MILES
-    return F.when(far, fixed(feet / FEET_MILE, 1)).otherwise(half_up(feet).cast("string")), F.when(far, "mi").otherwise("ft")
+    return F.when(far, one_place(feet / FEET_MILE, False)).otherwise(half_up(feet).cast("string")), F.when(far, "mi").otherwise("ft")
 
 
 def imperial_text(metres: Column) -> Column:
@@ -195,8 +205,8 @@ def squeeze(value: Column) -> Column:
 
 
 def capwords(value: Column) -> Column:
-    """Each word with a capital first letter and small ones after it."""
-    return F.initcap(squeeze(value))
+    """Each word with a capital first letter and small ones after it; null for null."""
+    return F.when(value.isNotNull(), F.initcap(squeeze(value)))
 
 
 def address(number: Column, street: Column) -> Column:
@@ -218,9 +228,8 @@ def reverse_label(name: Column, number: Column, street: Column, osm_key: Column)
 
 def backup_label(name: Column, number: Column, street: Column, borough: Column) -> Column:
     """Address or name, and the borough, in capitalised words; null without a borough or either of them."""
-    full = F.concat(some(number), F.lit(" "), some(street))
-    what = F.coalesce(full, some(name))
-    return F.concat(capwords(what), F.lit(", "), some(borough))
+    full = F.concat(some(number), F.lit(" "), capwords(some(street)))
+    return F.concat(F.coalesce(full, capwords(some(name))), F.lit(", "), some(borough))
 
 
 def _map(words: dict[str, str]) -> Column:

@@ -108,7 +108,7 @@ VIEWS = {
                     else cast(cast(p_partkey % 900 + 10 as bigint) as STRING) end as height_roof,
                case when p_partkey % 29 = 0 then 'Demolition' else 'Constructed' end as status,
                case when p_partkey % 31 = 0 then '1003' else '2100' end as feature_code,
-               (p_partkey % 50) * 30e0 as x0, (p_partkey DIV 50) * 30e0 as y0, 1 + p_partkey % 12 as floors, p_partkey % 997 as bbl,
+               (p_partkey % 50) * 30e0 as x0, (p_partkey DIV 50) * 30e0 as y0, 1 + p_partkey % 12 as floors, case when p_partkey % 4 = 0 then p_partkey - p_partkey % 8 else p_partkey end as bbl,
                1990 + p_partkey % 30 as edit_year, case when p_partkey % 3 = 0 then null else 1600 + (p_partkey * 7) % 430 end as year_a, 1600 + (p_partkey * 11) % 425 as year_b
         from @part""",
     "parks": f"""
@@ -129,13 +129,9 @@ VIEWS = {
                case when o_orderkey % 10 = 0 then 0.5e0 else ((o_orderkey * 37) % 1000) / 1000e0 end as shade, 500e0 + (o_orderkey * 13) % 900 as length_m
         from @orders""",
     "way_nodes": """
-        select l_orderkey % 400 as way_id, l_linenumber + 10 * (l_orderkey DIV 400 % 3) as pos, (l_partkey * 7 + l_linenumber) % 900 as node_id
-        from @lineitem where l_orderkey < 1200""",
-}
-#: way_nodes over all orders, three a way, on the nodes' own keys; the view of that name has the orders below 1,200.
-ALL_WAY_NODES = """
         select l_orderkey DIV 3 as way_id, l_linenumber + 10 * (l_orderkey % 3) as pos, (l_partkey * 7 + l_linenumber) % (select max(c_custkey) + 1 from @customer) as node_id
-        from @lineitem"""
+        from @lineitem""",
+}
 _NEEDS = {"tree_values": ["trees"], "edges": ["nodes"], "scored_edges": ["edges"], "requests": ["moments"], "valid_moments": ["requests"], "blends": ["valid_moments"]}
 
 
@@ -153,12 +149,5 @@ def with_views(*names: str) -> str:
     return "with " + ", ".join(f"{n} as ({VIEWS[n]})" for n in order)
 
 
-def without(text: str, part: str) -> str:
-    """A query's text without a filter, or with all way nodes."""
-    if part not in text:
-        raise ValueError(f"no {part!r} in the text")
-    return text.replace(part, ALL_WAY_NODES if part == VIEWS["way_nodes"] else "")
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(spark, sf_dir, f"{with_views(name)} select * from {name}")

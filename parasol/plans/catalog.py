@@ -7,9 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.plans import audits, scoring, spatial, texts
-from parasol.plans.dialect import oracle, run
+from parasol.plans import audits, composites, frames, scoring, spatial, texts
+from parasol.plans.dialect import oracle
 
+#: The oracle's texts of the queries in ``frames``.
 TEXTS: dict[str, str] = {**scoring.QUERIES, **audits.QUERIES, **texts.QUERIES}
 
 
@@ -36,8 +37,8 @@ def _widened(frame: DataFrame) -> DataFrame:
     return frame.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in frame.dtypes))
 
 
-def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _widened(run(spark, sf_dir, text))
+def _run(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _widened(query(spark, sf_dir))
 
 
 def _oracle(name: str, text: str) -> str:
@@ -45,7 +46,6 @@ def _oracle(name: str, text: str) -> str:
     return f"select * replace (cast({wide} as bigint) as {wide}) from ({text}) q" if wide else text
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, text) for name, text in TEXTS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, query) for name, query in (frames.QUERIES | composites.QUERIES).items()}
 QUERIES |= spatial.QUERIES
-ORACLE_SQL: dict[str, str] = {name: _oracle(name, text) for name, text in TEXTS.items()}
-ORACLE_SQL |= {name: _oracle(name, text) for name, text in spatial.ORACLE_TEXTS.items()}
+ORACLE_SQL: dict[str, str] = {name: _oracle(name, text) for name, text in (TEXTS | spatial.ORACLE_TEXTS | composites.ORACLE_TEXTS).items()}

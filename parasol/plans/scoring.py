@@ -1,4 +1,4 @@
-"""Tree values, allocation to edges, time algebra, shade densities and request checks, as query texts."""
+"""Tree values, allocation to edges, time algebra, shade densities and request checks: the oracle's texts."""
 
 from __future__ import annotations
 
@@ -35,10 +35,8 @@ CORNERS = [("m0", "hour", f"(1 - g) * (1 - {_H})"), ("m0", _NEXT, f"(1 - g) * {_
 _BUILDING = "(" + " + ".join(f"{w} * ({shade_byte('edge_id', m, h)})" for m, h, w in CORNERS) + ") / 255e0"
 _DARK = "(" + " + ".join(f"{w} * case when {dark(h)} then 1e0 else 0e0 end" for m, h, w in CORNERS) + ")"
 _ALL_DARK = "(" + " and ".join(f"({w} <= 0 or {dark(h)})" for m, h, w in CORNERS) + ")"
-#: Moments on the edges with ids below 1,010, joined on a small remainder: the part that the oracle was given.
-_PAIRS = f"{with_views('scored_edges', 'blends')}, paired as (select * from blends join scored_edges on edge_id % 101 = event_id % 101 and edge_id < 1010)"
 #: All moments on all edges: the remainder is by a tenth of the largest edge id, so a moment meets about ten edges at any scale, and an edge the moments of one remainder.
-_PAIRS_ALL = f"""{with_views('scored_edges', 'blends')}, spread as (select greatest(101, max(edge_id) DIV 10) as m from scored_edges),
+_PAIRS = f"""{with_views('scored_edges', 'blends')}, spread as (select greatest(101, max(edge_id) DIV 10) as m from scored_edges),
     paired as (select b.*, e.* from (select blends.*, event_id % m as moment_part from blends cross join spread) b join (select scored_edges.*, edge_id % m as edge_part from scored_edges cross join spread) e on edge_part = moment_part)"""
 _PARTS = f""",
     parts as (select event_id, edge_id, layers, length_m, {_TREE} as tree, {_BUILDING} as building, {_DARK} as dark from paired),
@@ -120,7 +118,7 @@ QUERIES = {
     "shade_clamp": f"""{with_views('route_results')},
         placed as (select *, row_number() over (partition by request order by weight, result_id) as place from route_results),
         best as (select *, max(shade) over (partition by request order by place rows between unbounded preceding and current row) as top from placed),
-        source as (select *, max(case when shade >= top then place end) over (partition by request order by place rows between unbounded preceding and current row) as shown from best)
+        source as (select *, max(case when shade >= top - 1e-9 then place end) over (partition by request order by place rows between unbounded preceding and current row) as shown from best)
         select b.result_id, b.request, b.weight, t.shade, t.result_id as shown_id, t.length_m from source b
         join placed t on t.request = b.request and t.place = b.shown""",
     # P6, P7
@@ -161,5 +159,3 @@ QUERIES = {
         credited as (select *, case when canopy is null then 0e0 when is_path or outcome = 'no_face' or (outcome = 'treeless_face' and park_share >= 0.5e0) then {FULL_DENSITY}e0 * canopy * length_m else 0e0 end as credit from measured)
         select edge_id, outcome, round(tree_deciduous + credit, 6) as tree_deciduous, round(credit, 6) as park_canopy from credited""",
 }
-#: The same over all edges.
-QUERIES |= {f"{name}_all": QUERIES[name].replace(_PAIRS, _PAIRS_ALL) for name in ("tree_fraction", "building_fraction", "edge_density_layers", "edge_cost_ladder")}

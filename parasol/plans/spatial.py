@@ -47,16 +47,11 @@ def _snap(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
 
 
 def knn_snap(spark: SparkSession, d: str) -> DataFrame:
-    """The edge nearest to each tree, among every fifth edge within 200 m: the part that the oracle's cross join answers."""
-    return _snap(spark, d, view(spark, d, "edges").where("edge_id % 5 = 0"))
-
-
-def knn_snap_all(spark: SparkSession, d: str) -> DataFrame:
     """The edge nearest to each tree, among all edges within 200 m."""
     return _snap(spark, d, view(spark, d, "edges"))
 
 
-_EDGE_LINES = f"{with_views('edges', 'trees')}, lines as (select edge_id, a.x as ax, a.y as ay, b.x as bx, b.y as bby from edges join nodes a on a.k = u join nodes b on b.k = v where edge_id % 5 = 0), points as (select tree_id, x as px, y as py from trees)"
+_EDGE_LINES = f"{with_views('edges', 'trees')}, lines as (select edge_id, a.x as ax, a.y as ay, b.x as bx, b.y as bby from edges join nodes a on a.k = u join nodes b on b.k = v ), points as (select tree_id, x as px, y as py from trees)"
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +89,6 @@ def _ends(requests: DataFrame, keys: int) -> DataFrame:
 
 
 def snap_component_pair(spark: SparkSession, d: str) -> DataFrame:
-    """Component pairs of every tenth request, between the first 150 nodes: the part that the oracle answers."""
-    return _snap_pair(spark, d, _ends(view(spark, d, "moments").where("event_id % 10 = 0"), 150))
-
-
-def snap_component_pair_all(spark: SparkSession, d: str) -> DataFrame:
     """Component pairs of all requests, between any nodes."""
     return _snap_pair(spark, d, _ends(view(spark, d, "moments"), _keys(view(spark, d, "nodes"))))
 
@@ -132,10 +122,6 @@ _SIDE = f"""{with_views('trees')},
     from (select distinct face_id from v) f left join way on way.face_id = f.face_id"""
 
 
-#: The part of buildings and nodes that the oracle's joins answer.
-_SOME_BUILDINGS, _SOME_NODES = "building_id < 400", "k < 800"
-
-
 def _boxes(spark: SparkSession, d: str, which: str) -> DataFrame:
     b = view(spark, d, "buildings").where(which).select("x0", "y0", (F.col("x0") + 12).alias("x1"), (F.col("y0") + 12).alias("y1"), (F.col("building_id") % 40 * 1.0).alias("height"))
     return b
@@ -157,18 +143,14 @@ def _march(boxes: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def raster_march_small(spark: SparkSession, d: str) -> DataFrame:
-    """Shadow of the first 400 buildings on the first 800 nodes: the part that the oracle answers."""
-    return _march(_boxes(spark, d, _SOME_BUILDINGS), _probes(spark, d, _SOME_NODES, 260))
-
-
-def raster_march_all(spark: SparkSession, d: str) -> DataFrame:
     """Shadow of all buildings on all nodes."""
     return _march(_boxes(spark, d, "true"), _probes(spark, d, "true", _depth(spark, d)))
 
 
 _MARCH = f"""{with_views('buildings', 'nodes')},
-    boxes as (select x0, y0, (building_id % 40) * 1e0 as height from buildings where building_id < 400),
-    pts as (select k as point_id, (k * 37) % 1500 + 0.25e0 as px, (k * 53) % 260 + 0.25e0 as py from nodes where k < 800),
+    boxes as (select x0, y0, (building_id % 40) * 1e0 as height from buildings ),
+    deep as (select 30 * (max(building_id) DIV 50 + 1) + 20 as deep from buildings),
+    pts as (select k as point_id, (k * 37) % 1500 + 0.25e0 as px, (k * 53) % deep + 0.25e0 as py from nodes cross join deep),
     hops as (select point_id, px, py, unnest(generate_series(1, 40)) as k from pts),
     centred as (select point_id, k, (floor((px + k * 1.5e0 * sin(radians(180e0))) / 3) + 0.5e0) * 3 as mx, (floor((py + k * 1.5e0 * cos(radians(180e0))) / 3) + 0.5e0) * 3 as my from hops),
     hit as (select distinct point_id from centred join boxes on mx > x0 and mx < x0 + 12 and my > y0 and my < y0 + 12 and height >= k * 1.5e0)
@@ -182,13 +164,8 @@ def _bytes(marched: DataFrame) -> DataFrame:
 
 
 def shaded_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Shaded samples per owner over the points of raster_march_small."""
-    return _bytes(raster_march_small(spark, d))
-
-
-def shaded_bytes_all(spark: SparkSession, d: str) -> DataFrame:
     """Shaded samples per owner over all points."""
-    return _bytes(raster_march_all(spark, d))
+    return _bytes(raster_march_small(spark, d))
 
 
 def _sweep(boxes: DataFrame, points: DataFrame) -> DataFrame:
@@ -203,17 +180,13 @@ def _sweep(boxes: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def shadow_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Shadows of the first 400 buildings: the part that the oracle answers."""
-    return _sweep(_boxes(spark, d, _SOME_BUILDINGS), _probes(spark, d, "true", 260))
-
-
-def shadow_sweep_all(spark: SparkSession, d: str) -> DataFrame:
     """Shadows of all buildings on all nodes."""
     return _sweep(_boxes(spark, d, "true"), _probes(spark, d, "true", _depth(spark, d)))
 
 
-_SWEEP = f"""{with_views('buildings', 'nodes')}, boxes as (select x0, y0, (building_id % 40) * 1e0 as height from buildings where building_id < 400 and building_id % 40 > 20),
-    pts as (select k as point_id, (k * 37) % 1500 + 0.25e0 as px, (k * 53) % 260 + 0.25e0 as py from nodes)
+_SWEEP = f"""{with_views('buildings', 'nodes')}, boxes as (select x0, y0, (building_id % 40) * 1e0 as height from buildings where building_id % 40 > 20),
+    deep as (select 30 * (max(building_id) DIV 50 + 1) + 20 as deep from buildings),
+    pts as (select k as point_id, (k * 37) % 1500 + 0.25e0 as px, (k * 53) % deep + 0.25e0 as py from nodes cross join deep)
     select point_id, count(*) as shadows from pts join boxes on px > x0 and px < x0 + 12 and py > y0 and py < y0 + 12 + height group by point_id"""
 
 
@@ -281,7 +254,7 @@ def geodesic_lengths(spark: SparkSession, d: str) -> DataFrame:
     return e.select("edge_id", F.round(g.vincenty(*(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))), 1).alias("length_m"), F.round(x, 3).alias("x_ft"), F.round(y, 3).alias("y_ft"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths, knn_snap_all, snap_component_pair_all, raster_march_all, shaded_bytes_all, shadow_sweep_all)}
+QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths)}
 
 ORACLE_TEXTS = {
     "nearest_with_runner_up": f"""{_POINTS}, pairs as (select tree_id, face_id, segment_id, {_D} as d from points cross join faces),
@@ -300,7 +273,7 @@ ORACLE_TEXTS = {
     "components": f"{_RECURSIVE} select k, component from comp",
     "component_sizes": f"{_RECURSIVE} select component, count(*) as nodes, count(*) < 50 as is_fragment from comp group by component",
     "snap_component_pair": f"""{_RECURSIVE.replace(with_views('edges')[5:], with_views('edges', 'moments')[5:])},
-        req as (select event_id, (event_id * 37) % 150 as s, (event_id * 53) % 150 as t from moments where event_id % 10 = 0),
+        req as (select event_id, (event_id * 37) % (select max(k) + 1 from nodes) as s, (event_id * 53) % (select max(k) + 1 from nodes) as t from moments),
         near as (select r.event_id, e.side, c.component, min(sqrt((p.x + 13 - n.x) * (p.x + 13 - n.x) + (p.y + 29 - n.y) * (p.y + 29 - n.y))) as d
                  from req r cross join (select 's' as side union all select 't') e join nodes p on p.k = case when e.side = 's' then r.s else r.t end join nodes n on abs(n.x - p.x - 13) <= 200 and abs(n.y - p.y - 29) <= 200 join comp c on c.k = n.k
                  where sqrt((p.x + 13 - n.x) * (p.x + 13 - n.x) + (p.y + 29 - n.y) * (p.y + 29 - n.y)) <= 200 group by 1, 2, 3),
