@@ -94,17 +94,18 @@ def may_match(rows: DataFrame, filters: DataFrame, key: str, keys: int) -> DataF
     return marked(rows, filters, key, keys, "inner").where("__hit").select(*rows.columns)
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` (long) is not in ``gone`` (a written table of one column of that name); rows without a key stay.
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are not in ``gone`` (a written table of those columns); nulls are equal.
 
     Rows that the filter of ``gone`` doesn't have go past the join, so about as
     many rows are sent as there are matches.
     """
     n = gone.count()
-    filters = save_table(key_filter(gone, key, n), "anti-filter")
-    all_rows = marked(rows, filters, key, n, "left").select(*rows.columns, "__hit")
-    likely = all_rows.where("__hit").drop("__hit").join(gone, key, "left_anti")
-    return all_rows.where("not __hit").drop("__hit").unionByName(likely.select(*rows.columns))
+    filters = save_table(key_filter(gone.select(F.xxhash64(*keys).alias("__k")), "__k", n), "anti-filter")
+    all_rows = marked(rows.withColumn("__k", F.xxhash64(*keys)), filters, "__k", n, "left").select(*rows.columns, "__hit")
+    likely = all_rows.where("__hit").drop("__hit")
+    left = likely.join(gone.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)), [F.col(k).eqNullSafe(F.col(f"__gone_{k}")) for k in keys], "left_anti")
+    return all_rows.where("not __hit").drop("__hit").unionByName(left.select(*rows.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

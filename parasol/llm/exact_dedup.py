@@ -45,11 +45,10 @@ def _order() -> Column:
     return F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
 
 
-def write_log(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: digest, doc_id, n_chars, text_sha256, row; row is ``row_col`` (unique), or a number of its own."""
-    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
-    rows = keyed(docs, digest, id_col, text_col, row)
-    return save_table(rows.select("digest", "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), "row"), "dedup-log")
+def write_log(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: digest, doc_id, n_chars, text_sha256, row (a number of its own) and ``carry``."""
+    rows = keyed(docs, digest, id_col, text_col, F.monotonically_increasing_id().alias("row"), *map(F.col, carry))
+    return save_table(rows.select("digest", "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), "row", *carry), "dedup-log")
 
 
 def flush(log: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
@@ -101,22 +100,21 @@ def exact_dedup(
     digest: Callable[[Column], Column] = F.xxhash64,
     id_col: str = "doc_id",
     text_col: str = "text",
-    row_col: str | None = None,
+    carry: tuple[str, ...] = (),
     memtable: int = MEMTABLE,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, digest, row.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the columns of ``carry``.
 
     Texts are equal when they are the same bytes without ASCII white space; null
     counts as empty. Of equal texts the row with the most code points stays,
     then the smallest doc_id (null ids last); of repeated rows exactly one
-    stays. ``row_col`` may name a column of unique longs, which is returned as
-    row. Other columns are ignored. An empty table gives an empty result.
+    stays. Other columns are ignored. An empty table gives an empty result.
 
     ``digest`` maps the normalised text to a long; a weak one costs time, never
     correctness. A digest with over a thousandth of the rows is joined by
     broadcast (there are at most a thousand), the others by shuffle.
     """
-    log = write_log(docs, digest, id_col, text_col, row_col)
+    log = write_log(docs, digest, id_col, text_col, carry)
     total = log.count()
     index = save_table(hits(compact(flush(log, memtable))), "dedup-hits")
     n = index.count()
@@ -129,13 +127,12 @@ def exact_dedup(
     found, parts = attach(looked_up.where("__hit").drop("__hit"), index, ["digest"], "group_size", total), []
     if not mixed.isEmpty():
         found = found.join(mixed, "digest", "left_anti")
-        same = [keyed(docs, digest, id_col, text_col, F.col(row_col).alias("row"))] if row_col else []
-        rows = same[0] if same else keyed(docs, digest, id_col, text_col, F.monotonically_increasing_id().alias("row"))
+        rows = keyed(docs, digest, id_col, text_col, F.monotonically_increasing_id().alias("row"), *map(F.col, carry))
         rows = save_table(rows.join(mixed, "digest", "left_semi").withColumn("text_sha256", F.sha2("norm", 256)), "dedup-mixed-rows")
         index = rows.groupBy("digest", "norm").agg(F.min(_order()).alias("best"), F.count("*").alias("group_size"))
         parts = [attach(rows, index, ["digest", "norm"], "group_size", total)]
     alone = looked_up.where("not __hit").withColumn("best", _order()).withColumn("group_size", F.lit(1).cast("long"))
-    columns = ["doc_id", F.coalesce("best", _order())["d"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("best.r"), F.lit(True)).alias("kept"), "text_sha256", "digest", "row"]
+    columns = ["doc_id", F.coalesce("best", _order())["d"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("best.r"), F.lit(True)).alias("kept"), "text_sha256", *carry]
     out = found.select(*columns)
     for part in (alone, *parts):
         out = out.unionByName(part.select(*columns))

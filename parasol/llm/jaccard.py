@@ -242,8 +242,8 @@ def _once(met: DataFrame) -> DataFrame:
     return save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "label", "m")), "jaccard-forest")
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, group, and the columns of ``carry``.
 
     A document's set is its distinct shingles of ``words`` words (ASCII letters
     in lower case), by 64-bit hashes; with fewer words it is the whole sequence.
@@ -251,12 +251,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     component_id is the smallest id reachable by links. Null and wordless texts
     have 0 shingles and link with nothing, so their component is their own id.
     Null ids pass through: they link like others, and a component with null ids
-    only has a null id. Repeated rows and ids are documents of their own. Other
-    columns are ignored; an empty table gives an empty result.
+    only has a null id. Repeated rows and ids are documents of their own. group
+    numbers components, also those that share their smallest id with another; it
+    is null for sets that are empty. Other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"), *carry)
     ranks = spark.sparkContext.broadcast(group_ranks(texts.select("text"), words))
 
     def describe(batches):
@@ -268,11 +270,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), pressed(point(s)), first_groups(s, ranks.value), minima(s)) if len(s) else (0, b"", b"", [], []))
             n, digest, counts, first, least = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (first, least))],
-                ["doc_id", "th", "n", "digest", "counts", "first", "least"],
+                [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (first, least))],
+                ["doc_id", "th", *carry, "n", "digest", "counts", "first", "least"],
             )
 
-    rows = save_table(texts.mapInArrow(describe, "doc_id long, th long, n long, digest binary, counts binary, first array<long>, least array<long>"), "jaccard-rows")
+    carried = "".join(f"`{c}` {t}, " for c, t in texts.dtypes if c in carry)
+    rows = save_table(texts.mapInArrow(describe, f"doc_id long, th long, {carried}n long, digest binary, counts binary, first array<long>, least array<long>"), "jaccard-rows")
     total = rows.count()
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("first").alias("first"), F.first("least").alias("least"))
@@ -334,8 +337,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     named = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(links.withColumnRenamed("id", "cid"), "cid", "left")
     named = save_table(named, "jaccard-named")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"), F.count("*").alias("m"))
-    in_tree = attach(named.where("comp is not null"), least, ["comp"], "m", total).select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"))
-    every = in_tree.unionByName(named.where("comp is null").select("digest", "n", "copies", F.col("first_id").alias("component_id")))
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    done = attach(rows.where("n > 0").select("doc_id", "digest", "n"), every, ["digest", "n"], "copies", total)
-    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    in_tree = attach(named.where("comp is not null"), least, ["comp"], "m", total).select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.col("comp").alias("group"))
+    every = in_tree.unionByName(named.where("comp is null").select("digest", "n", "copies", F.col("first_id").alias("component_id"), F.col("cid").alias("group")))
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), *carry)
+    done = attach(rows.where("n > 0").select("doc_id", "digest", "n", *carry), every, ["digest", "n"], "copies", total)
+    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", *carry).unionByName(alone)

@@ -43,7 +43,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).drop("digest", "row")
+    return exact_dedup(documents(spark, sf_dir))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir))
+    return jaccard_join(documents(spark, sf_dir)).drop("group")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

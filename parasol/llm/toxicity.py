@@ -178,8 +178,8 @@ def mean_model(rows: DataFrame, positive: list[np.ndarray], width: int, prior: f
     return _numbers(save_table(summed, "toxicity-model").orderBy("at"))[1]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, chunk: int = CHUNK, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, and ``row_col`` if one is named.
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, and the columns of ``carry``.
 
     Learns from at most ``positives`` documents labelled toxic and from all texts,
     whatever their labels, as unlabelled ones, those with crc32(doc_id) mod 4 other
@@ -197,7 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     if prior is None:
         prior = known.agg(F.avg("y")).first()[0] or 0.0
     prior = min(max(prior, 1e-6), 1.0)
-    more = [row_col] if row_col else []
+    more = list(carry)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
     held_out: Column = fold(F.col("doc_id"), MODULUS) == HELD_OUT
     chosen = save_table(sample_texts(docs, known.where("y > 0"), positives), "toxicity-positives")

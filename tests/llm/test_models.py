@@ -215,8 +215,8 @@ def test_toxicity_takes_all_unlabelled_rows_in_chunks(spark):
     """Chunks of 40 rows give nearly the model of one chunk, and a row column is carried along."""
     rows, labels = label_rows(spark)
     frame, marks = docs(spark, rows).withColumn("nr", F.monotonically_increasing_id()), spark.createDataFrame(labels, LABELS)
-    got = {r.nr: r for r in toxicity(frame, marks, row_col="nr", chunk=40).collect()}
-    whole = {r.nr: r for r in toxicity(frame, marks, row_col="nr").collect()}
+    got = {r.nr: r for r in toxicity(frame, marks, carry=("nr",), chunk=40).collect()}
+    whole = {r.nr: r for r in toxicity(frame, marks, carry=("nr",)).collect()}
     assert len(got) == len(rows) and np.mean([got[k].predicted == whole[k].predicted for k in got]) > 0.97
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.toxicity import toxicity
-from tests.llm.helpers import DOCS, awkward, docs
+from tests.llm.helpers import DOCS, awkward, clashing, docs
 from tests.llm.test_dedup import near_copies, norm
 from tests.llm.test_models import LABELS, label_rows
 
@@ -30,9 +30,9 @@ def test_stages_do_what_their_operators_say(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram jaccard join", "mixing", "packing"]
 
     clean = corpus_pipeline.drop_toxic(spark, read, folder)
-    bad = {r.doc_id for r in toxicity(read, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1").collect()}
+    bad = {(str(r.doc_id), r.said) for r in toxicity(read.withColumn("said", F.col("text")), spark.read.parquet(f"{folder}/labels.parquet"), carry=("said",)).where("predicted = 1").collect()}
     assert clean.columns == columns and bad
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r.doc_id) for r in read.collect() if r.doc_id not in bad)
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == sorted((str(r.doc_id), str(r.text)) for r in read.collect() if (str(r.doc_id), r.text) not in bad)
     clean.write.parquet(f"{folder}/1")
     clean = spark.read.parquet(f"{folder}/1")
 
@@ -42,8 +42,11 @@ def test_stages_do_what_their_operators_say(spark, folder):
     unique = spark.read.parquet(f"{folder}/2")
 
     apart = corpus_pipeline.drop_near_copies(spark, unique, folder)
-    names = {r.component_id for r in jaccard_join(unique).collect()}
-    assert apart.columns == columns and {r.doc_id for r in apart.collect()} == names
+    groups = {}
+    for r in jaccard_join(unique).collect():
+        groups.setdefault(("alone", r.doc_id) if r.group is None else r.group, []).append((r.doc_id is None, r.doc_id or 0))
+    want = sorted(str(None if min(g)[0] else min(g)[1]) for g in groups.values())
+    assert apart.columns == columns and sorted(str(r.doc_id) for r in apart.collect()) == want
     apart.write.parquet(f"{folder}/3")
     apart = spark.read.parquet(f"{folder}/3")
 
@@ -59,6 +62,25 @@ def test_stages_do_what_their_operators_say(spark, folder):
     assert mixed.columns == columns and times == {d: c for d, c in want.items() if c}
 
 
+def test_stages_take_extra_columns_ties_and_repeated_rows(spark, folder):
+    """Columns with the stages' own names, one id with several texts, and equal rows, of which one stays."""
+    rows = [(1, "same words in a row here", "a")] * 3 + [(1, "quite another text under one id", "a"), (None, None, "b"), (None, None, "b"), (None, "", None), (2, "same words in a  row here", "b"), (3, "x " * 3000, "c"), (3, "x " * 3000, "c")]
+    frame = clashing(docs(spark, rows))
+    for name in ("__nameid", "__id", "__n", "__mixid", "__copies", "__hit", "__k", "group", "first"):
+        frame = frame.withColumn(name, F.lit("x"))
+    frame.write.parquet(f"{folder}/extra")
+    frame = spark.read.parquet(f"{folder}/extra")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mix_sources):
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns and out.count() >= 0
+    once = corpus_pipeline.drop_copies(spark, frame, folder)
+    assert once.columns == frame.columns
+    assert sorted((str(r.doc_id), norm(r.text)) for r in once.collect()) == sorted([("None", ""), ("2", norm(rows[0][1])), ("1", norm(rows[3][1])), ("3", "x" * 3000)])
+    near = corpus_pipeline.drop_near_copies(spark, frame, folder)
+    assert sorted((str(r.doc_id), norm(r.text)) for r in near.collect()) == sorted([("None", "")] * 3 + [("1", norm(rows[0][1])), ("1", norm(rows[3][1])), ("3", "x" * 3000)])
+    assert corpus_pipeline.pack_sequences(spark, frame, folder).count() >= len(rows)
+
+
 def test_run_packs_what_is_left(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     sums = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
