@@ -6,10 +6,11 @@ columns of docs. ``run`` writes each stage's result to the shared folder and
 reads it back for the next one, so a lost executor costs one stage at most; what
 else a stage wrote is deleted when its result is.
 
-The first three stages number the rows and drop single rows by their numbers, so
-rows with one id but other texts don't stand or fall together. Null ids, texts
-and sources pass through as the operators say; an empty table gives empty
-results; other columns, of any name, are carried along.
+The first three stages name a row by its id and 128 bits of hash of its text, and
+drop all rows of a name, or, of equal rows of which one stays, all but one; rows
+with one id but other texts don't stand or fall together. Null ids, texts and
+sources pass through as the operators say; an empty table gives empty results;
+other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parasol.llm.common import attach, meeting, without, word_count
+from parasol.llm.common import attach, without, word_count
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
@@ -27,49 +28,73 @@ from parasol.llm.toxicity import THRESHOLD, toxicity
 from parasol.session import save_table, scratch
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column of row numbers, written once so that they are the same each time, and the column's name."""
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    return save_table(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+#: The columns that name a row: its id and two hashes of its text.
+NAME = ["name_id", "name_a", "name_b"]
+
+
+def _fresh(docs: DataFrame, prefix: str) -> str:
+    """``prefix``, lengthened until no column of ``docs`` begins with it."""
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as structs doc, whose columns meet no others, and their names."""
+    name = F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.reverse("text"), F.lit(1))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(n) for c, n in zip(name, NAME, strict=True)))
+
+
+def _texts(named: DataFrame) -> DataFrame:
+    return named.select("doc.doc_id", "doc.text", *NAME)
+
+
+def _keep(named: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows whose names are not ``gone``, and one of each name in ``repeated``; both written tables of names."""
+    left = without(named, gone, NAME)
+    if repeated.isEmpty():
+        return left.select("doc.*")
+    others = without(left, repeated, NAME)
+    same = [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in NAME]
+    several = left.join(repeated.select(*(F.col(k).alias(f"again_{k}") for k in NAME)), same, "left_semi")
+    return others.select("doc.*").unionByName(several.dropDuplicates(NAME).select("doc.*"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the toxicity classifier rejects; it learns from the labels beside them."""
-    rows, row = _numbered(docs)
-    scored = toxicity(rows.select("doc_id", "text", row), spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
-    rejected = save_table(scored.where(F.col("score") >= THRESHOLD).select(row), "pipeline-toxic")
-    return without(rows, rejected, row).select(*docs.columns)
+    named = _named(docs)
+    scored = toxicity(_texts(named), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(NAME))
+    rejected = save_table(scored.where(F.col("score") >= THRESHOLD).select(*NAME).distinct(), "pipeline-toxic")
+    return without(named, rejected, NAME).select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row that the exact dedup operator keeps."""
-    rows, row = _numbered(docs)
-    result = exact_dedup(rows.select("doc_id", "text", row), row_col=row)
-    dropped = save_table(result.where("not kept").select(F.col("row").alias(row)), "pipeline-copies")
-    return without(rows, dropped, row).select(*docs.columns)
+    named = _named(docs)
+    found = exact_dedup(_texts(named), carry=tuple(NAME)).where("group_size > 1")
+    names = save_table(found.groupBy(*NAME).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "pipeline-copies")
+    gone = save_table(names.where("not kept").select(*NAME), "pipeline-gone")
+    return _keep(named, gone, save_table(names.where("kept and n > 1").select(*NAME), "pipeline-repeated"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of the Jaccard join, that with the smallest doc_id, or else the first.
+    """Keeps one row of each component of the Jaccard join, that with the smallest doc_id, and of one id the least name.
 
     Rows with a null id come last, so they stay only where no other does.
     """
-    rows, row = _numbered(docs)
-    found = save_table(jaccard_join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp")), "pipeline-near")
-    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    members = save_table(meeting(found, ["comp"], "m").drop("m").join(ids, "row"), "pipeline-members")
-    first = members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("m"))
-    others = attach(members, first, ["comp"], "m", members.count()).where("row <> first.row")
-    return without(rows, save_table(others.select(F.col("row").alias(row)), "pipeline-others"), row).select(*docs.columns)
+    named = _named(docs)
+    found = save_table(jaccard_join(_texts(named), carry=tuple(NAME)).where("group is not null").select("group", *NAME), "pipeline-near")
+    name = F.struct(F.col(NAME[0]).isNull().alias("none"), *NAME)
+    groups = save_table(found.groupBy("group").agg(F.min(name).alias("first"), F.count("*").alias("m")).where("m > 1"), "pipeline-groups")
+    members = attach(found, groups, ["group"], "m", found.count(), "inner").where("m is not null")
+    names = save_table(members.groupBy(*NAME).agg(F.max(name == F.col("first")).alias("kept"), F.count("*").alias("n")), "pipeline-names")
+    gone = save_table(names.where("not kept").select(*NAME), "pipeline-gone")
+    return _keep(named, gone, save_table(names.where("kept and n > 1").select(*NAME), "pipeline-repeated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mix takes it; those that it takes zero times go."""
-    p = "__mix"
-    while any(c.startswith(p) for c in docs.columns):
-        p += "_"
+    p = _fresh(docs, "__mix")
     key = [f"{p}id", f"{p}source", f"{p}size"]
     plan = mix(docs).groupBy(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]))
     plan = save_table(plan.agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows")), "mix-plan")
