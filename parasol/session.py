@@ -8,9 +8,9 @@ tables of a driver process lie in one folder there, which goes when it ends.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,22 +79,6 @@ def _at_exit(spark: SparkSession) -> None:
         _delete(spark, _made[0].rsplit("/", 1)[0])
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes the tables that were written inside, but for those whose ``table_path`` is put into the list that it yields.
-
-    Frames that read the others must have been written out by then.
-    """
-    before, kept = len(_made), []
-    try:
-        yield kept
-    finally:
-        gone = [p for p in _made[before:] if p not in kept]
-        for path in gone:
-            _delete(spark, path)
-            _made.remove(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable eager checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -109,6 +93,25 @@ def drop_table(table: DataFrame) -> None:
         _made.remove(path)
 
 
+def written() -> list[str]:
+    """The folders of the written tables that are there now."""
+    return list(_made)
+
+
+def clear_up(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables and lets both sides of the driver collect their garbage.
+
+    Spark drops shuffle files and broadcasts whose frames are collected, and
+    the driver gives memory back, which it would do much later by itself.
+    """
+    for path in paths:
+        if path in _made:
+            _delete(spark, path)
+            _made.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows and bytes of an Arrow batch where the session keeps Spark's defaults."""
     for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
