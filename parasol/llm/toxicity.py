@@ -59,20 +59,33 @@ def _parts(word: bytes) -> list[int]:
 
 
 class Words:
-    """Maps texts to features; ``kept``: those that count (default: all), as a map to their place."""
-
-    def __init__(self, kept: dict[int, int] | None = None) -> None:
-        once = (lambda w: tuple(_parts(w))) if kept is None else (lambda w: tuple(p for p in _parts(w) if p in kept or p + 1 in kept))
-        self.kept, self.words = kept, Cache(once)
+    """Maps texts to features; ``kept``: ascending buckets that count (default: all), as which features are then numbered."""
+
+    def __init__(self, kept: np.ndarray | None = None) -> None:
+        self.place = None
+        if kept is not None:
+            self.place = np.full(1 << BITS, -1, dtype=np.int32)
+            self.place[kept] = np.arange(len(kept), dtype=np.int32)
+        self.words = Cache(self._packed)
+
+    def _packed(self, word: bytes) -> bytes:
+        """The buckets of a word that may count, as bytes, which join faster than numbers."""
+        parts = np.array(_parts(word), dtype="<i4")
+        if self.place is not None:
+            parts = parts[(self.place[parts] >= 0) | (self.place[parts + 1] >= 0)]
+        return parts.tobytes()
 
     def features(self, text: bytes | None) -> np.ndarray:
-        """Sorted: b for a bucket that occurs, b + 1 too if it occurs again."""
+        """Sorted: b for a bucket that occurs, b + 1 too if it occurs again; by their places if only some are kept."""
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
-        found = [p for parts in map(self.words.__getitem__, _WORD((text or b"").lower())) if parts for p in parts]
-        at, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+        found = np.frombuffer(b"".join(map(self.words.__getitem__, _WORD((text or b"").lower()))), dtype="<i4")
+        at, times = np.unique(found, return_counts=True)
         out = np.sort(np.concatenate([at, at[times > 1] + 1]))
-        return out if self.kept is None else np.array([k for b in out.tolist() if (k := self.kept.get(b)) is not None], dtype=np.int64)
+        if self.place is None:
+            return out
+        places = self.place[out]
+        return places[places >= 0]
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +146,7 @@ def _bucket_counts(batches, features, width: int):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
 
 
-def count_features(texts: DataFrame, kept: dict[int, int] | None) -> DataFrame:
+def count_features(texts: DataFrame, kept: np.ndarray | None) -> DataFrame:
     """(bucket, n): how many of ``texts`` (one binary column) have each feature; each task sends its sums."""
     width = 1 << BITS if kept is None else len(kept)
 
@@ -156,7 +169,7 @@ def kept_features(positive: DataFrame, unlabelled: DataFrame, positives: int, to
         return np.zeros(0, dtype=np.int64)
     by = np.argsort(bucket)
     bucket, p, u = bucket[by], p[by], np.zeros(len(bucket), dtype=np.int64)
-    at, n = _numbers(count_features(unlabelled, {int(b): i for i, b in enumerate(bucket)}))
+    at, n = _numbers(count_features(unlabelled, bucket))
     u[at] = n
     return bucket[select(p, u, positives, total)]
 
@@ -207,7 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
         score = float(logistic(FLAT))
         return texts.select("doc_id", held_out.alias("held_out"), F.lit(score).alias("score"), F.lit(int(score >= THRESHOLD)).alias("predicted"), *more)
 
-    places = spark.sparkContext.broadcast({int(b): i for i, b in enumerate(kept)})
+    places = spark.sparkContext.broadcast(kept)
     rows = features_of(texts, lambda: Words(places.value).features)
     rows = save_table(rows.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", F.lit(1)).alias("h"), *more, "x"), "toxicity-rows")
     bearing = features_of(chosen, lambda: Words(places.value).features).orderBy("doc_id").select("x").toArrow()
