@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs (doc_id, text,
 lang, source, n_chars) and returns a DataFrame; all but the last return the
 columns of docs. ``run`` writes each stage's result to the shared folder and
-reads it back for the next one, so a lost executor costs one stage at most; what
-else a stage wrote is deleted when its result is.
+reads it back for the next one, so a lost executor costs one stage at most. What
+else a stage wrote is deleted when the next one begins, as its result must have
+been written by then.
 
 The first three stages name a row by its id and 128 bits of hash of its text, and
 drop all rows of a name, or, of equal rows of which one stays, all but one; rows
@@ -15,6 +16,9 @@ other columns, of any name, are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -25,7 +29,7 @@ from parasol.llm.mixing import mix
 from parasol.llm.packing import pack
 from parasol.llm.queries import SEQUENCE_LIMITS, TOKENIZER
 from parasol.llm.toxicity import THRESHOLD, toxicity
-from parasol.session import save_table, scratch
+from parasol.session import clear_up, save_table, written
 
 
 #: The columns that name a row: its id and two hashes of its text.
@@ -60,6 +64,25 @@ def _keep(named: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     return others.select("doc.*").unionByName(several.dropDuplicates(NAME).select("doc.*"))
 
 
+#: The tables that the stage before wrote, besides its result.
+_before: list[str] = []
+
+
+def _stage(of: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first clears up after the one before."""
+
+    @wraps(of)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_up(spark, _before)
+        there = written()
+        out = of(spark, docs, sf_dir)
+        _before[:] = [path for path in written() if path not in there]
+        return out
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the toxicity classifier rejects; it learns from the labels beside them."""
     named = _named(docs)
@@ -68,6 +91,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(named, rejected, NAME).select("doc.*")
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row that the exact dedup operator keeps."""
     named = _named(docs)
@@ -77,6 +101,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(named, gone, save_table(names.where("kept and n > 1").select(*NAME), "pipeline-repeated"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of the Jaccard join, that with the smallest doc_id, and of one id the least name.
 
@@ -92,6 +117,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _keep(named, gone, save_table(names.where("kept and n > 1").select(*NAME), "pipeline-repeated"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mix takes it; those that it takes zero times go."""
     p = _fresh(docs, "__mix")
@@ -111,6 +137,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return times.select(*docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into training sequences; one row per piece."""
     return pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, **SEQUENCE_LIMITS)
@@ -131,10 +158,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in order to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with scratch(spark) as kept:
-        for name, stage in STAGES:
-            with scratch(spark) as here:
-                docs = save_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-                here.append(docs.table_path)
-        kept.append(docs.table_path)
+    last: list[str] = []
+    for name, stage in STAGES:
+        docs = save_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        clear_up(spark, last)
+        last = [docs.table_path]
     return docs
