@@ -1,7 +1,9 @@
 """Steps, graphs, geometry, sun, sources and streams on small inputs with known answers."""
 
 import heapq
+import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from parasol.functions import geometry as g
 from parasol.functions.sun import sun_table
 from parasol.operators import graph, spatial
-from parasol.sources.export import as_json, verify_export, write_export
-from parasol.sources.paged import PagedSource, ServiceError, with_retries
+from parasol.sources.export import _current, as_json, verify_export, write_export
+from parasol.sources.files import cached, read_features, scan_box, write_findings
+from parasol.sources.paged import PagedSource, ServiceError, condition, literal, with_retries
 from parasol.streaming.requests import answer, failover, limited
 
 
@@ -90,7 +93,7 @@ def test_sun_table(spark):
 def page(params, headers):
     rows = [{"id": i, "name": f"n{i}"} for i in range(25)]
     if "$where" in params:
-        rows = [r for r in rows if r["id"] > int(params["$where"].split(">")[1])]
+        rows = [r for r in rows if r["id"] > int(re.search(r"id > (\d+)", params["$where"])[1])]
     return rows[params["$offset"] : params["$offset"] + params["$limit"]]
 
 
@@ -102,6 +105,41 @@ def test_paged_source(spark):
     frame = read.option("order", "id").load()  # a reader keeps its options
     assert sorted(r.id for r in frame.collect()) == list(range(25)) and frame.rdd.getNumPartitions() == 3
     assert frame.where("id > 20").count() == 4
+    short = spark.read.format("paged").schema("id int, name string").option("endpoint", "tests.test_operators:page").option("pagesize", 10).option("order", "id")
+    assert short.option("rows", 5).load().count() == 25  # too small a number loses nothing
+    assert short.option("rows", 90).load().count() == 25
+
+
+def test_filters_in_the_services_language():
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThanOrEqual, StringContains
+
+    got = [condition(f) for f in (EqualTo(("a",), "O'Neil"), GreaterThanOrEqual(("a",), 2), LessThanOrEqual(("a",), 2.5), In(("a",), (1, "x")), IsNotNull(("a",)), EqualTo(("a", "b"), 1), StringContains(("a",), "x"))]
+    assert got == ["a = 'O''Neil'", "a >= 2", "a <= 2.5", "a IN (1, 'x')", "a IS NOT NULL", None, None]
+    assert literal(True) == "true" and literal(object()) is None
+
+
+def test_files_as_tables(spark, tmp_path):
+    ring, hole = [[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]
+    features = [{"type": "Feature", "geometry": {"type": t, "coordinates": c}, "properties": {"name": n}} for n, t, c in [("a", "Polygon", [ring, hole]), ("b", "MultiPolygon", [[ring], [hole]]), ("c", "Point", [0, 0]), ("d", "Polygon", [])]]
+    (tmp_path / "f.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = read_features(spark, str(tmp_path / "f.json"), "name: string").orderBy("name").collect()
+    assert [(r["name"], len(r.polygon)) for r in got] == [("a", 2), ("b", 1), ("b", 1)]
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return spark.createDataFrame([(i, i / 10, 40.0 + i / 10) for i in range(10)], "id long, lon double, lat double")
+
+    at = str(tmp_path / "points")
+    assert cached(spark, at, fetch).count() == cached(spark, at, fetch).count() == 10 and len(calls) == 1
+    assert cached(spark, at, fetch, refresh=True).count() == 10 and len(calls) == 2
+    box = scan_box(spark, at, ["id"], 0.2, 40.0, 0.5, 40.4)
+    assert sorted(r.id for r in box.collect()) == [2, 3, 4]
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lon,0.2)" in plan and "PushedFilters" in plan
+    write_findings(spark.read.parquet(at), str(tmp_path / "out"), "lon", "lat")
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 10 and all(x["geometry"]["type"] == "Point" and "id" in x["properties"] for x in lines)
 
 
 def test_retries():
@@ -127,7 +165,7 @@ def test_export_round_trip(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", 0.0, 0.12345, [], bytes(4)), ("b", "a", 9.0, 0.0, ["x", "y", "z", "w"], bytes([0, 9, 0, 0]))], "u string, v string, length_m double, tree_park_canopy double, fold_names array<string>, building_shade binary")
     write_export(nodes, edges, str(tmp_path))
     assert verify_export(spark, str(tmp_path), 2, 2) and not verify_export(spark, str(tmp_path), 2, 3)
-    back = spark.read.parquet(f"{tmp_path}/edges").orderBy("u").collect()
+    back = spark.read.parquet(f"{_current(spark, str(tmp_path))}/edges").orderBy("u").collect()
     assert back[0].building_shade is None and back[0].fold_names is None and back[1].fold_names == ["x", "y", "z"]
     assert '"building_shade":"AAkAAA=="' in as_json(edges).collect()[1].edge
 
