@@ -6,14 +6,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parasol.functions.geometry import cell
+from parasol.functions.geometry import cell, segment_t
+from parasol.functions.lines import bounds, in_any, probes, shadow_parts
 from parasol.functions.trees import FULL_DENSITY
 from parasol.operators import polygons, spatial
 
 #: Ratio of the nearest to the next up to which it is clear, names that go along, and probes in parks from which a treeless face is measured.
 DECISIVE, MOST_NAMES, IN_PARK = 0.6, 3, 0.5
-#: Metres of a slice and to its face, and of a tree to its face.
-SLICE_M, SIDE_M, TREE_M = 2.0, 5.0, 8.0
+#: Metres of a slice and to its face, of a tree to its face, and how far a shadow counts.
+SLICE_M, SIDE_M, TREE_M, SHADOW_M = 2.0, 5.0, 8.0, 1000.0
 
 
 def face_totals(trees: DataFrame) -> DataFrame:
@@ -61,16 +62,14 @@ def score_edges(edges: DataFrame, faces: DataFrame, trees: DataFrame) -> DataFra
     totals = face_totals(trees.join(owned, "tree_id"))
     profiles = spatial.length_profile(edges, faces.drop("segment_id"), SLICE_M, SIDE_M)
     main = dominant(profiles)
-    middle = edges.select("edge_id", ((F.col("ax") + F.col("bx")) / 2).alias("px"), ((F.col("ay") + F.col("by")) / 2).alias("py"))
-    # Vectors from the main face to probes of the edge, by segments' projections.
-    probes = spatial.slices(edges, 10.0).select("edge_id", "px", "py").unionByName(middle)
-    beside = probes.join(main.select("edge_id", "face_id"), "edge_id").join(faces.select("face_id", *spatial.SEGMENT), "face_id")
-    from parasol.functions.geometry import segment_t
-
+    # Vectors to probes of the edge from the nearest of its main face's lines.
+    line = F.array(F.array("ax", "ay"), F.array("bx", "by"))
+    at = edges.select("edge_id", F.posexplode(probes(line)).alias("i", "p")).select("edge_id", "i", F.col("p")[0].alias("px"), F.col("p")[1].alias("py"))
+    beside = at.join(main.select("edge_id", "face_id"), "edge_id").join(faces.select("face_id", *spatial.SEGMENT), "face_id")
     t = segment_t(*(F.col(c) for c in ("px", "py", *spatial.SEGMENT)))
     dx, dy = F.col("px") - F.col("ax") - t * (F.col("bx") - F.col("ax")), F.col("py") - F.col("ay") - t * (F.col("by") - F.col("ay"))
-    size = F.sqrt(dx * dx + dy * dy)
-    vectors = beside.select("edge_id", (dx / size).alias("dx"), (dy / size).alias("dy"), size.alias("size")).where("size >= 0.01").drop("size")
+    nearest = beside.groupBy("edge_id", "i").agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), dx.alias("dx"), dy.alias("dy"))).alias("v")).where("v.d >= 0.01")
+    vectors = nearest.select("edge_id", (F.col("v.dx") / F.col("v.d")).alias("dx"), (F.col("v.dy") / F.col("v.d")).alias("dy"))
     sides = spatial.compass_side(vectors, "edge_id")
     out = edges.select("edge_id").join(allocate(profiles, totals), "edge_id", "left").join(main.select("edge_id", "face_id"), "edge_id", "left").join(sides, "edge_id", "left")
     filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("evergreen", "deciduous", "trees")]
@@ -104,7 +103,7 @@ def building_shade(points: DataFrame, prisms: DataFrame, sun: DataFrame, size: f
     points: point_id, edge_id, px, py; prisms: ring, height in metres; sun: slot,
     azimuth, elevation. Points in a building don't count. Up to ``tall`` metres a
     shadow is marched over the grid of heights, by hops of ``step`` up to
-    ``reach``; taller prisms sweep exact shadows. Points meet cells and shadows by
+    ``reach``; taller prisms sweep exact shadows of up to SHADOW_M. Points meet cells and shadows by
     equi-joins, so work is by points, slots and hops, and no building is collected.
     """
     held = polygons.inside(points, prisms.select(F.array("ring").alias("polygon")), 4 * size).select("point_id").distinct()
@@ -126,12 +125,17 @@ def building_shade(points: DataFrame, prisms: DataFrame, sun: DataFrame, size: f
 
 def _swept(points: DataFrame, towers: DataFrame, at: DataFrame) -> DataFrame:
     """(point_id, slot) of points in the exact shadows of towers, over cells of 200 m."""
-    from parasol.functions.lines import bounds, in_any, shadow_parts
-
-    far = F.col("height") / F.col("t")
-    parts = towers.crossJoin(F.broadcast(at)).withColumn("parts", shadow_parts(F.col("ring"), far * F.sin(F.col("a") + math.pi), far * F.cos(F.col("a") + math.pi)))
+    far, size = F.least(F.col("height") / F.col("t"), F.lit(SHADOW_M)), 200.0
+    rx0, ry0, rx1, ry1 = bounds(F.array("ring"))
+    sx, sy = F.sin(F.col("a") + math.pi), F.cos(F.col("a") + math.pi)
+    parts = towers.crossJoin(F.broadcast(at)).select("ring", "slot", far.alias("far"), sx.alias("sx"), sy.alias("sy"), ((rx0 + rx1) / 2).alias("mx"), ((ry0 + ry1) / 2).alias("my"), (F.hypot(rx1 - rx0, ry1 - ry0) / 2).alias("r"))
+    parts = parts.withColumn("parts", shadow_parts(F.col("ring"), F.col("far") * F.col("sx"), F.col("far") * F.col("sy")))
     x0, y0, x1, y1 = bounds(F.col("parts"))
-    size = 200.0
     cells = parts.withColumn("cx", F.explode(F.sequence(cell(x0, size), cell(x1, size)))).withColumn("cy", F.explode(F.sequence(cell(y0, size), cell(y1, size))))
     placed = points.withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
-    return placed.join(cells.select("cx", "cy", "slot", "parts"), ["cx", "cy"]).where(in_any(F.col("parts"), F.col("px"), F.col("py"))).select("point_id", "slot")
+    # A shadow lies within its tower's radius of its axis, which is cheap to tell.
+    dx, dy = F.col("px") - F.col("mx"), F.col("py") - F.col("my")
+    along, aside = dx * F.col("sx") + dy * F.col("sy"), F.abs(dx * F.col("sy") - dy * F.col("sx"))
+    near = (along >= -F.col("r")) & (along <= F.col("far") + F.col("r")) & (aside <= F.col("r"))
+    met = placed.join(cells.select("cx", "cy", "slot", "parts", "far", "sx", "sy", "mx", "my", "r"), ["cx", "cy"])
+    return met.where(F.when(near, in_any(F.col("parts"), F.col("px"), F.col("py"))).otherwise(False)).select("point_id", "slot")

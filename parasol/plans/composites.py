@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parasol.functions import geometry as g, lines as L, sun, wording as W
-from parasol.operators import polygons, ranks, scoring, spatial as grid, stats, ways
+from parasol.operators import answers, polygons, ranks, scoring, spatial as grid, stats, ways
 from parasol.plans import frames as P, scoring as S, spatial as Q
 from parasol.plans.adapters import view, with_views
 from parasol.session import save_table
@@ -208,12 +208,35 @@ def street_name_match(spark, d):
     return P.table(spark, d, "part").select("p_partkey", W.street_form(raw, True).alias("name"), W.same_street(W.street_key(raw), plain).alias("is_street"))
 
 
+def _whole_edges(spark, d) -> DataFrame:
+    """Scored edges with their lines and a shade row of 288 bytes."""
+    n = view(spark, d, "nodes").select("k", "x", "y")
+    e = view(spark, d, "scored_edges").join(n.toDF("u", "ax", "ay"), "u").join(n.toDF("v", "bx", "by"), "v")
+    row = F.concat(*(F.to_binary(F.format_string("%02x", (F.col("edge_id") * 31 + s * 17) % 256), F.lit("hex")) for s in range(4)))
+    bytes_ = F.to_binary(F.repeat(F.hex(row), 72), F.lit("hex"))
+    return e.select("edge_id", "u", "v", "length_m", *grid.SEGMENT, "tree_evergreen", "tree_deciduous", "tree_count", F.col("tree_park_canopy").alias("park_canopy"), bytes_.alias("building_shade"))
+
+
+def route_answers(spark, d):
+    """Answers to the requests of all events, from places beside the nodes of their users; moments are full hours of one day a month."""
+    n = view(spark, d, "nodes").select("k", "x", "y")
+    keys = Q._keys(view(spark, d, "nodes"))
+    m = P.requested(spark, d).select("event_id", "user_id", "arrive", "no_hour", "layers", "n_weights", "month", "hour")
+    weights = F.slice(F.array(*map(F.lit, (*W.PRESETS, 20.0, 30.0))), 1, F.col("n_weights").cast("int"))
+    ends = m.withColumn("s", F.col("user_id") * 7 % keys).withColumn("t", (F.col("user_id") * 7 + F.col("event_id") % 97) % keys)
+    placed = ends.join(n.select(F.col("k").alias("s"), (F.col("x") + 31).alias("fx"), (F.col("y") + 7).alias("fy")), "s").join(n.select(F.col("k").alias("t"), (F.col("x") - 9).alias("tx"), (F.col("y") - F.when(F.col("k") % 50 == 0, 900).otherwise(23)).alias("ty")), "t")
+    q = placed.select(F.col("event_id").alias("request"), "fx", "fy", "tx", "ty", "month", F.lit(15).alias("day"), "hour", F.lit(0).alias("minute"), "arrive", "no_hour", "layers", weights.alias("weights"))
+    out = answers.answer(q, _whole_edges(spark, d), P.stub_sun(spark))
+    first = F.col("routes")[0]
+    return out.select("request", "status", "detail", "night", "month", "hour", "minute", F.size("routes").alias("routes"), first["length_m"].alias("length_m"), first["shade_fraction"].alias("shade_fraction"))
+
+
 def geometry_sorted(spark, d):
     """All edges, longest first: a global sort by ranges."""
     return view(spark, d, "edges").select("edge_id", "length_m").orderBy(F.col("length_m").desc(), "edge_id")
 
 
-QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted)}
+QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted, route_answers)}
 
 _MARCHED = Q.ORACLE_TEXTS["raster_march_small"]
 _LINES = f"""{with_views('way_nodes')},

@@ -204,7 +204,7 @@ def test_shade_bytes_equal_a_plain_march(spark):
             hops = [k * step for k in range(1, int(reach // step) + 1)]
             hit = any(grid.get((int((x + d * np.sin(a)) // size), int((y + d * np.cos(a)) // size)), -1) >= d * t for d in hops)
             x0, y0, x1, y1, h = rings[2]
-            far = np.linspace(0, h / t, 4001)
+            far = np.linspace(0, min(h / t, 1000.0), 4001)
             hit = hit or bool(((x + far * np.sin(a) > x0) & (x + far * np.sin(a) < x1) & (y + far * np.cos(a) > y0) & (y + far * np.cos(a) < y1)).any())
             n, k = want.get((e, s.slot), (0, 0))
             want[e, s.slot] = (n + 1, k + hit)
