@@ -231,12 +231,39 @@ def route_answers(spark, d):
     return out.select("request", "status", "detail", "night", "month", "hour", "minute", F.size("routes").alias("routes"), first["length_m"].alias("length_m"), first["shade_fraction"].alias("shade_fraction"))
 
 
+def road_edges(spark, d):
+    """Kerb lines that are road edges, are marked as matched, and whose face is known."""
+    k = F.col("s_suppkey")
+    kerbs = P.table(spark, d, "supplier").select(k.alias("kerb_id"), F.when(k % 7 == 0, "2280").otherwise("2260").alias("feat_code"), F.when(k % 5 > 0, "1").when(k % 10 == 5, "0").alias("conflated"), (k * 2 % 150).alias("face_id"))
+    known = view(spark, d, "faces").select("face_id")
+    return kerbs.where("feat_code = '2260' and conflated = '1'").join(known, "face_id", "left_semi").select("kerb_id", "face_id")
+
+
+def sidewalk_kerb_match(spark, d):
+    """Each sidewalk with its nearest kerb by the upper median of probes, if any, and whether its middle is in a park."""
+    best = ranks.first_of(median_probe_match(spark, d), ["edge_id"], "d", "face_id").select("edge_id", "face_id", "d")
+    w = Q._walks(spark, d)
+    middle = w.select("edge_id", ((F.col("ax") + F.col("bx")) / 2 + 0.11).alias("px"), ((F.col("ay") + F.col("by")) / 2 + 0.13).alias("py"))
+    parked = polygons.inside(middle, ells(spark, d), 500.0).select("edge_id").distinct().withColumn("in_park", F.lit(True))
+    out = w.select("edge_id").join(best, "edge_id", "left").join(parked, "edge_id", "left")
+    return out.select("edge_id", "face_id", "d", F.coalesce("in_park", F.lit(False)).alias("in_park"))
+
+
+def route_time_bands(spark, d):
+    """Walking times of up to 200 routes a band of length, taken in a fixed order until the band is full."""
+    r = view(spark, d, "route_results")
+    band = F.when(F.col("length_m") < 700, "short").when(F.col("length_m") < 1100, "middle").otherwise("long")
+    picked = ranks.rank(r.withColumn("band", band), ["band"], ranks.sample_order(F.col("result_id")), "result_id").where("r <= 200")
+    minutes = W.walk_minutes(F.col("length_m"))
+    return picked.groupBy("band").agg(F.count("*").alias("n"), r6(F.median(minutes), "p50"), r6(F.percentile(minutes, F.lit(0.9)), "p90"), r6(F.max(minutes), "slowest"))
+
+
 def geometry_sorted(spark, d):
     """All edges, longest first: a global sort by ranges."""
     return view(spark, d, "edges").select("edge_id", "length_m").orderBy(F.col("length_m").desc(), "edge_id")
 
 
-QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted, route_answers)}
+QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted, route_answers, road_edges, sidewalk_kerb_match, route_time_bands)}
 
 _MARCHED = Q.ORACLE_TEXTS["raster_march_small"]
 _LINES = f"""{with_views('way_nodes')},
@@ -285,4 +312,13 @@ ORACLE_TEXTS = {
         select p_partkey, case p_partkey % 4 when 0 then 'east ' when 1 then 'west ' else '' end || cast(k as STRING) || case when k between 11 and 13 then 'th' when k % 10 = 1 then 'st' when k % 10 = 2 then 'nd' when k % 10 = 3 then 'rd' else 'th' end
                || case when p_partkey % 3 = 1 then ' avenue' else ' street' end as name, p_partkey % 3 <> 1 as is_street from n""",
     "geometry_sorted": f"{with_views('edges')} select edge_id, length_m from edges",
+    "road_edges": f"""{with_views('faces')}, kerbs as (select s_suppkey as kerb_id, s_suppkey * 2 % 150 as face_id from @supplier where s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0)
+        select kerb_id, kerbs.face_id from kerbs join faces on faces.face_id = kerbs.face_id""",
+    "route_time_bands": f"""{with_views('route_results')}, b as (select *, case when length_m < 700 then 'short' when length_m < 1100 then 'middle' else 'long' end as band from route_results),
+        r as (select *, row_number() over (partition by band order by (result_id * 7919) % 10007, result_id) as r from b)
+        select band, count(*) as n, round(median(length_m / 1.4e0 / 60), 6) as p50, round(PCT(length_m / 1.4e0 / 60, 0.9e0), 6) as p90, round(max(length_m / 1.4e0 / 60), 6) as slowest from r where r <= 200 group by band""",
 }
+ORACLE_TEXTS["sidewalk_kerb_match"] = f"""with m as ({ORACLE_TEXTS['median_probe_match']}), best as (select *, row_number() over (partition by edge_id order by d, face_id) as r from m),
+    e as ({with_views('parks')} select *, (x0 + x1) / 2 + 0.3e0 as xm, (y0 + y1) / 2 + 0.7e0 as ym from parks),
+    w as ({Q._WALKS} select edge_id, (wx + vx) / 2 + 0.11e0 as x, (wy + vy) / 2 + 0.13e0 as y from walks)
+    select w.edge_id, face_id, d, exists (select 1 from e where (x > x0 and x < x1 and y > y0 and y < ym) or (x > x0 and x < xm and y > y0 and y < y1)) as in_park from w left join best b on b.edge_id = w.edge_id and b.r = 1"""
