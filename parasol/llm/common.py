@@ -76,17 +76,21 @@ def _word(key: str, keys: int) -> Column:
     return F.shiftright(F.pmod(F.col(key), F.lit(_bits(keys))), 6)
 
 
+def _mask(key: str) -> Column:
+    """The three bits of a key in its word, which keep a filter with few bits a key selective."""
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({key}, {n}) & 63 as int))" for n in (0, 40, 52)))
+
+
 def key_filter(rows: DataFrame, key: str, keys: int, *by: str) -> DataFrame:
     """A sparse bitmap of the hashed ``key`` (long), sized for ``keys`` of them: rows (word, bits), for each of ``by``."""
-    bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
-    return rows.select(*by, _word(key, keys).alias("word"), bit.alias("bit")).groupBy(*by, "word").agg(F.bit_or("bit").alias("bits"))
+    return rows.select(*by, _word(key, keys).alias("word"), _mask(key).alias("mask")).groupBy(*by, "word").agg(F.bit_or("mask").alias("bits"))
 
 
 def marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str) -> DataFrame:
     """Adds __hit: whether the filter has ``key``. The filter is broadcast."""
     placed = rows.withColumn("__word", _word(key, keys))
     joined = placed.join(F.broadcast(filters.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", how)
-    return joined.withColumn("__hit", F.coalesce(F.expr(f"shiftright(__bits, cast({key} & 63 as int)) & 1") == 1, F.lit(False)))
+    return joined.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(_mask(key)) == _mask(key), F.lit(False)))
 
 
 def may_match(rows: DataFrame, filters: DataFrame, key: str, keys: int) -> DataFrame:
