@@ -48,7 +48,7 @@ def test_routes_keep_the_promise(spark):
             assert all(r.length_m is None for r in rows)
             continue
         shade = [r.shade_fraction for r in rows]
-        assert shade == sorted(shade)  # more weight never means less shade
+        assert all(b >= a - 1e-9 for a, b in zip(shade, shade[1:], strict=False))  # more weight never means less shade, but for the clamp's slack
         assert rows[0].length_m == min(r.length_m for r in rows)
         assert all(abs(r.minutes - r.length_m / 1.4 / 60) < 1e-9 for r in rows)
 
