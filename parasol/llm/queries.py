@@ -6,18 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parasol.llm.common import documents
+from parasol.llm.conversation_repair import repair_conversations
 from parasol.llm.embedding_dedup import embedding_dedup
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
 from parasol.llm.ngram_lm import ngram_scores
 from parasol.llm.packing import pack
+from parasol.llm.pattern_packing import pack_patterns
 from parasol.llm.quality import quality
+from parasol.llm.spelling import spelling_variants
 from parasol.llm.token_counts import token_counts
 from parasol.llm.token_output import read_shards, write_shards
 from parasol.llm.toxicity import toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 #: Limits of a training sequence: tokens, segments, loss-bearing tokens.
 SEQUENCE_LIMITS = {"max_tokens": 2048, "max_segments": 256, "max_loss": 2048}
 
@@ -62,7 +66,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_lm, op3_packing, op4_token_output, op5_mixing, op6_exact_dedup, op7_quality, op8_toxicity, op9_jaccard, op10_token_counts)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_patterns(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), end_id=0, max_tokens=2048)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+_ALL = (
+    op1_embedding_dedup,
+    op2_ngram_lm,
+    op3_packing,
+    op4_token_output,
+    op5_mixing,
+    op6_exact_dedup,
+    op7_quality,
+    op8_toxicity,
+    op9_jaccard,
+    op10_token_counts,
+    op11_conversation_repair,
+    op12_pattern_packing,
+    op13_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB's form of the queries that SQL can express.
 ORACLE_SQL = {
