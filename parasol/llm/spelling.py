@@ -2,10 +2,11 @@
 
 Words that are one edit apart share a bigram among the three rarest of each, at
 places that differ by one at most: an edit destroys two bigrams at most, so one
-of a word's first three in the global order of bigrams is left, and all of the
-other word's bigrams up to its own third include it, if the order is shared and
-a third bigram that a word has several times counts with all its places. So only
-those are joined, by bigram, place and length, and met pairs are verified.
+of a word's first three in the global order of bigrams is left, and the other
+word's bigrams up to its own third include it, if the order is shared and a
+third bigram that a word has several times counts with its first five places, as
+an edit puts two more before one of the first three at most. So only those are
+joined, by bigram, place and length, and met pairs are verified.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 from parasol.llm.common import release_memory
 from parasol.session import save_table, small_batches
 
-#: Bigrams of a word that are joined: one more than an edit can destroy.
-RAREST = 3
+#: Bigrams of a word that are joined: one more than an edit can destroy; and places of the last of them, two more.
+RAREST, PLACES = 3, 5
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
+#: Spark's edit distance takes time by the square of the length; words with more letters are verified in linear time.
+LONG_WORD = 64
 #: Words that are cut up at a time, and their code points at most.
 CHUNK = 20_000
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -119,7 +122,7 @@ def bigram_counts(words: DataFrame) -> np.ndarray:
 
 
 def rarest(order: np.ndarray, words: list[str], keep: int = RAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``keep`` bigrams of each word in ``order`` (rank by bigram), with all places of the last one: bigram, word, place."""
+    """The first ``keep`` bigrams of each word in ``order`` (rank by bigram), and the first PLACES places of the last one: bigram, word, place."""
     gram, word, place = bigrams(words)
     ranks = order[gram]
     by = np.lexsort((place, ranks, word))
@@ -127,7 +130,9 @@ def rarest(order: np.ndarray, words: list[str], keep: int = RAREST) -> tuple[np.
     start = np.searchsorted(word, np.arange(len(words)))
     stop = np.searchsorted(word, np.arange(len(words)), side="right")
     last = np.minimum(start + keep, stop) - 1  # every word has a bigram, as words have two letters at least
-    kept = ranks <= ranks[last][word]
+    new = np.append(True, (word[1:] != word[:-1]) | (gram[1:] != gram[:-1]))
+    nth = np.arange(len(gram)) - np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+    kept = (ranks < ranks[last][word]) | ((ranks == ranks[last][word]) & (nth < PLACES))
     return gram[kept], word[kept], place[kept]
 
 
@@ -153,8 +158,26 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left = grams.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.col("place").alias("p"), F.col("size").alias("s"), shift.alias("x"))
     left = left.select("a", "n_a", "gram", (F.col("p") + F.col("x.by")).alias("place"), (F.col("s") + F.col("x.longer")).alias("size"), F.col("x.longer").alias("longer"))
     right = grams.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "gram", "place", "size")
-    met = left.join(right, ["gram", "place", "size"]).where(((F.col("longer") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
-    return met.select("a", "n_a", "b", "n_b").distinct()
+    met = left.join(right, ["gram", "place", "size"]).where((F.col("longer") == 1) | (F.col("a") < F.col("b"))).select("a", "n_a", "b", "n_b", "size")
+    short = met.where(f"size <= {LONG_WORD}").where(F.levenshtein("a", "b", 1) == 1).drop("size")
+
+    def verify(batches):
+        for b in batches:
+            near = [one_edit(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield b.filter(pa.array(near, pa.bool_()))
+
+    long = met.where(f"size > {LONG_WORD}").drop("size").mapInArrow(verify, "a string, n_a long, b string, n_b long")
+    return short.unionByName(long).distinct()
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether ``b`` has one letter more than ``a`` or another one in one place; in time that is linear in their lengths."""
+    x, y = (np.frombuffer(w.encode("latin-1"), dtype=np.uint8) for w in (a, b))
+    unlike = np.flatnonzero(x != y[: len(x)])
+    if len(y) == len(x):
+        return len(unlike) == 1
+    at = unlike[0] if len(unlike) else len(x)
+    return len(y) == len(x) + 1 and bool((x[at:] == y[at + 1 :]).all())
 
 
 def roots(forms: DataFrame) -> DataFrame:
