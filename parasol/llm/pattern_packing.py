@@ -13,6 +13,7 @@ sums over tasks make its numbers global.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -36,13 +37,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 #: Fixed value: the pattern of word-end vocabularies' pre-tokenizer, no part of which matches white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: A mark between a letter and a space is a token of its own, so it may stand apart, which leaves fewer distinct words.
+MARK = re.compile("(?<=[A-Za-zß-öø-ÿ])([,.;:!?]) ")
+
 
 class WordEncoder:
     """Ids of whole texts as the library gives them, from the remembered ids of their words.
 
     Where the file says that no token, composition or normalisation reaches over
-    white space, a text is cut at spaces and line feeds, and each distinct word
-    is encoded by the library once. Texts with added tokens, and texts of other
+    white space, a text is cut at spaces and line feeds, and the ids of distinct
+    words are remembered; those unused for long are forgotten. Texts with added tokens, and texts of other
     files, go to the library whole. Ids are little-endian unsigned 32-bit.
     """
 
@@ -53,6 +57,7 @@ class WordEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.local = words_apart(spec)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text (or word), by the library."""
@@ -64,15 +69,16 @@ class WordEncoder:
             return end
         if not self.local or any(s in text for s in self.special):
             return self.ids([text])[0] + end
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
+        words = MARK.sub(r" \1 ", text.replace("\n", " ")).split(" ")
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         try:
             return b"".join([known[w] for w in words]) + end
         except KeyError:
-            new = list({*words} - known.keys())
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list({*words})
+            new = [w for w in {*words} if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
         known.update(zip(new, self.ids(new), strict=True))
         return b"".join([known[w] for w in words]) + end
 

@@ -6,7 +6,8 @@ of a word's first three in the global order of bigrams is left, and the other
 word's bigrams up to its own third include it, if the order is shared and a
 third bigram that a word has several times counts with its first five places, as
 an edit puts two more before one of the first three at most. So only those are
-joined, by bigram, place and length, and met pairs are verified.
+joined, by bigram, place and length; met pairs whose letters differ in parity no
+more than an edit allows are verified.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ LONG_WORD = 64
 #: Words that are cut up at a time, and their code points at most.
 CHUNK = 20_000
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: The bit of each letter in a word's signature, which says of which letters it has an odd number; an edit flips two bits at most.
+BITS = np.array([1 << ((c - 97 if c < 0xC0 else c - 0xC0 + 26) % 64) for c in range(256)], dtype=np.uint64)
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -121,6 +124,13 @@ def bigram_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
+def signatures(words: list[str]) -> np.ndarray:
+    """64 bits for each word."""
+    letters = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8)
+    starts = np.cumsum([0, *map(len, words[:-1])])
+    return np.bitwise_xor.reduceat(BITS[letters], starts).view(np.int64)
+
+
 def rarest(order: np.ndarray, words: list[str], keep: int = RAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first ``keep`` bigrams of each word in ``order`` (rank by bigram), and the first PLACES places of the last one: bigram, word, place."""
     gram, word, place = bigrams(words)
@@ -149,16 +159,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 gram, word, place = rarest(ranks.value, some)
                 size = np.array([len(w) for w in some], dtype=np.int32)[word]
                 rows = pa.array(word + first)
-                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(gram.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(size)]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "gram", "place", "size"])
+                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(gram.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(size), pa.array(signatures(some)[word])]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "gram", "place", "size", "odd"])
 
-    grams = save_table(words.select("word", "n").mapInArrow(cut, "word string, n long, gram int, place int, size int"), "spelling-grams")
+    grams = save_table(words.select("word", "n").mapInArrow(cut, "word string, n long, gram int, place int, size int, odd long"), "spelling-grams")
     # A replaced letter leaves the other bigrams in place; an inserted one moves those behind it by one.
     shift = F.explode(F.array(*(F.struct(F.lit(p).alias("by"), F.lit(s).alias("longer")) for p, s in ((0, 0), (0, 1), (1, 1)))))
-    left = grams.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.col("place").alias("p"), F.col("size").alias("s"), shift.alias("x"))
-    left = left.select("a", "n_a", "gram", (F.col("p") + F.col("x.by")).alias("place"), (F.col("s") + F.col("x.longer")).alias("size"), F.col("x.longer").alias("longer"))
-    right = grams.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "gram", "place", "size")
-    met = left.join(right, ["gram", "place", "size"]).where((F.col("longer") == 1) | (F.col("a") < F.col("b"))).select("a", "n_a", "b", "n_b", "size")
+    left = grams.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.col("place").alias("p"), F.col("size").alias("s"), F.col("odd").alias("odd_a"), shift.alias("x"))
+    left = left.select("a", "n_a", "odd_a", "gram", (F.col("p") + F.col("x.by")).alias("place"), (F.col("s") + F.col("x.longer")).alias("size"), F.col("x.longer").alias("longer"))
+    right = grams.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"), "gram", "place", "size")
+    alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2
+    met = left.join(right, ["gram", "place", "size"]).where(alike & ((F.col("longer") == 1) | (F.col("a") < F.col("b")))).select("a", "n_a", "b", "n_b", "size")
     short = met.where(f"size <= {LONG_WORD}").where(F.levenshtein("a", "b", 1) == 1).drop("size")
 
     def verify(batches):
