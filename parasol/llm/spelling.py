@@ -6,8 +6,10 @@ of a word's first three in the global order of bigrams is left, and the other
 word's bigrams up to its own third include it, if the order is shared and a
 third bigram that a word has several times counts with its first five places, as
 an edit puts two more before one of the first three at most. So only those are
-joined, by bigram, place and length; met pairs whose letters differ in parity no
-more than an edit allows are verified.
+joined, by bigram, place and length. An edit that leaves a bigram alone also
+leaves all alone but one of three pieces beside it, so the hash of the rest is
+part of the key, without which common syllables bring together many words that
+are nothing alike. What meets is verified.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ LONG_WORD = 64
 #: Words that are cut up at a time, and their code points at most.
 CHUNK = 20_000
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-#: The bit of each letter in a word's signature, which says of which letters it has an odd number; an edit flips two bits at most.
-BITS = np.array([1 << ((c - 97 if c < 0xC0 else c - 0xC0 + 26) % 64) for c in range(256)], dtype=np.uint64)
+#: An odd base of hashes and its inverse modulo 2**64, and an odd number that mixes.
+BASES = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+MIX, ONE = np.uint64(0xD6E8FEB86659FD93), np.uint64(1)
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -124,13 +127,6 @@ def bigram_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def signatures(words: list[str]) -> np.ndarray:
-    """64 bits for each word."""
-    letters = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8)
-    starts = np.cumsum([0, *map(len, words[:-1])])
-    return np.bitwise_xor.reduceat(BITS[letters], starts).view(np.int64)
-
-
 def rarest(order: np.ndarray, words: list[str], keep: int = RAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first ``keep`` bigrams of each word in ``order`` (rank by bigram), and the first PLACES places of the last one: bigram, word, place."""
     gram, word, place = bigrams(words)
@@ -146,6 +142,49 @@ def rarest(order: np.ndarray, words: list[str], keep: int = RAREST) -> tuple[np.
     return gram[kept], word[kept], place[kept]
 
 
+def beside(place: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Three pieces beside a bigram, of which the longer side makes two: begin, end, and whether before it."""
+    rest = size - place - 2
+    left = place >= rest
+    first = np.where(left, place // 2, place)
+    second = np.where(left, place, place + 2 + rest // 2)
+    return [(np.zeros_like(place), first, np.ones_like(left)), (np.where(left, first, place + 2), second, left), (np.where(left, place + 2, second), size, np.zeros_like(left))]
+
+
+def keys(words: list[str], gram: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, key and role of each bigram and piece beside it, for bigrams as ``rarest`` gives them.
+
+    An edit that leaves a bigram alone lies in one piece, so what else there is
+    has one hash in both words. Role 0: the word itself, to be compared with its
+    like and with longer words; role 1: a word as one with a letter less.
+    """
+    letters = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).astype(np.uint64)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    begin, size = (np.cumsum(size) - size)[word], size[word]
+    power, inverse = (np.cumprod(np.append(ONE, np.full(len(letters), b, dtype=np.uint64))) for b in BASES)
+    sums = np.append(np.uint64(0), np.cumsum(letters * power[:-1]))
+
+    def part(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (sums[stop] - sums[start]) * inverse[start]
+
+    def key(x: np.ndarray, y: np.ndarray, at: np.ndarray, long: np.ndarray, q: int, more: int) -> np.ndarray:
+        h = part(begin, begin + x) * MIX + part(begin + y + more, begin + size)
+        for n in (gram, at, long, np.full_like(at, q)):
+            h = (h ^ (h >> np.uint64(29))) * MIX + n.astype(np.uint64)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+    rows = []
+    for q, (x, y, _) in enumerate(beside(place, size)):
+        rows.append((word, key(x, y, place, size, q, 0), np.zeros(len(word), dtype=np.int8)))
+    for before in (True, False):
+        at, long = place - before, size - 1
+        for q, (x, y, left) in enumerate(beside(at, long)):
+            ok = (at >= 0) & (at + 2 <= long) & (left == before)
+            x, y = np.where(ok, x, 0), np.where(ok, y, 0)
+            rows.append((word[ok], key(x, y, at, long, q, 1)[ok], np.ones(int(ok.sum()), dtype=np.int8)))
+    return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs (a, n_a, b, n_b) of distinct words of ``words(word, n)`` that are one edit apart, each once; ``words`` is a written table."""
     counts = bigram_counts(words)
@@ -156,28 +195,28 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             for first, some in _chunks(b.column(0)):
-                gram, word, place = rarest(ranks.value, some)
-                size = np.array([len(w) for w in some], dtype=np.int32)[word]
+                word, key, role = keys(some, *rarest(ranks.value, some))
                 rows = pa.array(word + first)
-                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(gram.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(size), pa.array(signatures(some)[word])]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "gram", "place", "size", "odd"])
-
-    grams = save_table(words.select("word", "n").mapInArrow(cut, "word string, n long, gram int, place int, size int, odd long"), "spelling-grams")
-    # A replaced letter leaves the other bigrams in place; an inserted one moves those behind it by one.
-    shift = F.explode(F.array(*(F.struct(F.lit(p).alias("by"), F.lit(s).alias("longer")) for p, s in ((0, 0), (0, 1), (1, 1)))))
-    left = grams.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.col("place").alias("p"), F.col("size").alias("s"), F.col("odd").alias("odd_a"), shift.alias("x"))
-    left = left.select("a", "n_a", "odd_a", "gram", (F.col("p") + F.col("x.by")).alias("place"), (F.col("s") + F.col("x.longer")).alias("size"), F.col("x.longer").alias("longer"))
-    right = grams.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"), "gram", "place", "size")
-    alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2
-    met = left.join(right, ["gram", "place", "size"]).where(alike & ((F.col("longer") == 1) | (F.col("a") < F.col("b")))).select("a", "n_a", "b", "n_b", "size")
-    short = met.where(f"size <= {LONG_WORD}").where(F.levenshtein("a", "b", 1) == 1).drop("size")
+                size = np.array([len(w) for w in some], dtype=np.int32)[word]
+                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(key), pa.array(role), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "key", "role", "size"])
+
+    grams = save_table(words.select("word", "n").mapInArrow(cut, "word string, n long, key long, role byte, size int"), "spelling-grams")
+    left = grams.where("role = 0").select(F.col("word").alias("a"), F.col("n").alias("n_a"), "key", F.col("size").alias("s"))
+    right = grams.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "key", "role", F.col("size").alias("t"))
+
+    def met(of: str) -> DataFrame:
+        pairs = left.where(f"s {of} {LONG_WORD}").join(right.where(f"t - role {of} {LONG_WORD}"), "key")
+        return pairs.where((F.col("role") == 1) | (F.col("a") < F.col("b"))).select("a", "n_a", "b", "n_b")
+
+    short = met("<=").where(F.levenshtein("a", "b", 1) == 1)
 
     def verify(batches):
         for b in batches:
             near = [one_edit(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield b.filter(pa.array(near, pa.bool_()))
 
-    long = met.where(f"size > {LONG_WORD}").drop("size").mapInArrow(verify, "a string, n_a long, b string, n_b long")
+    long = met(">").mapInArrow(verify, "a string, n_a long, b string, n_b long")
     return short.unionByName(long).distinct()
 
 

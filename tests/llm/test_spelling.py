@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from parasol.llm.spelling import rarest, spelling_variants
+from parasol.llm.spelling import keys, rarest, spelling_variants
 from tests.llm.helpers import awkward, clashing, docs
 
 
@@ -65,19 +65,18 @@ def got(frame):
     return sorted(map(tuple, frame.collect()), key=lambda r: r[0])
 
 
-@settings(max_examples=500, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.text("abÿ", min_size=4, max_size=12), st.integers(0, 2), st.integers(0, 11), st.sampled_from("abcÿ"), st.integers(0, 10**6))
-def test_words_one_edit_apart_share_a_rare_bigram(a, kind, at, letter, seed):
+def test_words_one_edit_apart_share_a_key(a, kind, at, letter, seed):
     at %= len(a)
     b = a[:at] + (letter if kind else "") + a[at + (kind != 1) :]
     if len(b) < 4 or a == b:
         return
     order = np.random.default_rng(seed).permutation(1 << 16)
-    gram, word, place = (x.tolist() for x in rarest(order, [a, b]))
-    first = [(g, p) for g, w, p in zip(gram, word, place, strict=True) if w == 0]
-    second = [(g, p) for g, w, p in zip(gram, word, place, strict=True) if w == 1]
-    shift = (0,) if len(a) == len(b) else (0, 1) if len(b) > len(a) else (0, -1)
-    assert any(g == h and q - p in shift for g, p in first for h, q in second)
+    word, key, role = (x.tolist() for x in keys([a, b], *rarest(order, [a, b])))
+    own = [{k for w, k, r in zip(word, key, role, strict=True) if w == i and r == 0} for i in (0, 1)]
+    less = [{k for w, k, r in zip(word, key, role, strict=True) if w == i and r == 1} for i in (0, 1)]
+    assert own[0] & own[1] if len(a) == len(b) else own[0] & less[1] if len(a) < len(b) else own[1] & less[0]
 
 
 def test_awkward_texts_and_hubs(spark):
