@@ -18,13 +18,15 @@ def let(value: Column, of) -> Column:
 
 
 def pairs(line: Column) -> Column:
-    """Structs (ax, ay, bx, by, len) of a line's segments; none for fewer than two vertices."""
-    def segment(a: Column, i: Column) -> Column:
-        b = F.element_at(line, (i + 2).cast("int"))
+    """Structs (ax, ay, bx, by, len) of a line's segments; none for fewer than two vertices. The line is computed once."""
+    def segment(a: Column, b: Column) -> Column:
         return F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"), F.sqrt(F.pow(b[0] - a[0], 2) + F.pow(b[1] - a[1], 2)).alias("len"))
 
-    heads = F.when(F.size(line) > 1, F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0)))).otherwise(F.slice(line, 1, 0))
-    return F.transform(heads, segment)
+    def cut(l: Column) -> Column:
+        count = F.greatest(F.size(l) - 1, F.lit(0))
+        return F.zip_with(F.slice(l, F.lit(1), count), F.slice(l, F.lit(2), count), segment)
+
+    return let(line, cut)
 
 
 def length(line: Column) -> Column:
@@ -33,6 +35,10 @@ def length(line: Column) -> Column:
 
 def interpolate(line: Column, metres: Column) -> Column:
     """The point [x, y] so far along a line, its ends beyond them."""
+    return let(F.struct(line.alias("line"), metres.cast("double").alias("metres")), lambda a: _interpolate(a["line"], a["metres"]))
+
+
+def _interpolate(line: Column, metres: Column) -> Column:
     def walk(state: Column, s: Column) -> Column:
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (metres - state["upto"]) / F.nullif(s["len"], F.lit(0.0))))
         here = F.struct((state["upto"] + s["len"]).alias("upto"), (s["ax"] + F.coalesce(t, F.lit(0.0)) * (s["bx"] - s["ax"])).alias("x"), (s["ay"] + F.coalesce(t, F.lit(0.0)) * (s["by"] - s["ay"])).alias("y"))
@@ -45,7 +51,7 @@ def interpolate(line: Column, metres: Column) -> Column:
 
 def halfway(line: Column) -> Column:
     """The point half way by length, which is not the middle vertex."""
-    return interpolate(line, length(line) / 2)
+    return let(line, lambda l: _interpolate(l, length(l) / 2))
 
 
 def project(line: Column, px: Column, py: Column) -> Column:
@@ -65,18 +71,49 @@ def project(line: Column, px: Column, py: Column) -> Column:
     return F.aggregate(pairs(line), nothing, nearer, lambda s: F.struct(s["d"].alias("d"), s["at"].alias("at")))
 
 
+def measured(line: Column) -> Column:
+    """The segments of ``pairs`` with ``upto``, the metres before each."""
+    def add(state: Column, s: Column) -> Column:
+        here = s.withField("upto", state["upto"])
+        return F.struct((state["upto"] + s["len"]).alias("upto"), F.array_append(state["kept"], here).alias("kept"))
+
+    none = F.from_json(F.lit("[]"), "array<struct<ax double, ay double, bx double, by double, len double, upto double>>")
+    return F.aggregate(pairs(line), F.struct(F.lit(0.0).alias("upto"), none.alias("kept")), add, lambda s: s["kept"])
+
+
 def probes(line: Column) -> Column:
-    """Points spread evenly over a line, its ends included: one for ten metres, three at least."""
-    def spread(total: Column) -> Column:
-        n = F.greatest(F.lit(LEAST_PROBES), F.floor(total / PROBE_M)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: interpolate(line, total * i / (n - 1)))
+    """Points spread evenly over a line, its ends included: one for ten metres, three at least.
+
+    Each segment gives the probes that lie on it, so the work is in proportion to segments and probes.
+    """
+    def spread(a: Column) -> Column:
+        last = a["n"] - 1
+        end = lambda upto: F.floor(upto * last / a["total"]).cast("int")
+
+        def on(s: Column, j: Column) -> Column:
+            low = F.when(j == 0, 0).otherwise(end(s["upto"]) + 1)
+            high = F.when(j == F.size(a["segments"]) - 1, last).otherwise(end(s["upto"] + s["len"]))
+
+            def at(i: Column) -> Column:
+                t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (a["total"] * i / last - s["upto"]) / F.nullif(s["len"], F.lit(0.0)))), F.lit(0.0))
+                return let(t, lambda t: F.array(s["ax"] + t * (s["bx"] - s["ax"]), s["ay"] + t * (s["by"] - s["ay"])))
+
+            return let(F.struct(low.alias("low"), high.alias("high")), lambda r: F.when(r["low"] <= r["high"], F.transform(F.sequence(r["low"], r["high"]), at)).otherwise(F.array().cast("array<array<double>>")))
 
-    return F.when(F.size(line) > 1, let(length(line), spread))
+        return F.when(a["total"] > 0, F.flatten(F.transform(a["segments"], on))).otherwise(F.array_repeat(a["first"], LEAST_PROBES))
+
+    def sized(segments: Column) -> Column:
+        tail = F.element_at(segments, -1)
+        return let(tail["upto"] + tail["len"], lambda total: let(F.struct(
+            segments.alias("segments"), total.alias("total"), F.greatest(F.lit(LEAST_PROBES), F.floor(total / PROBE_M)).cast("int").alias("n"),
+            F.array(segments[0]["ax"], segments[0]["ay"]).alias("first")), spread))
+
+    return let(measured(line), lambda m: F.when(F.size(m) > 0, sized(m)))
 
 
 def slice_points(line: Column, step: float, offset: float = 0.0) -> Column:
     """Structs (x, y, metres) of a line's slices, taken at their centres; ``offset``: metres to the left of the line."""
-    def cut(total: Column) -> Column:
+    def cut(line: Column, total: Column) -> Column:
         n = F.greatest(F.ceil(total / step), F.lit(1)).cast("int")
 
         def point(i: Column) -> Column:
@@ -93,18 +130,18 @@ def slice_points(line: Column, step: float, offset: float = 0.0) -> Column:
 
         return F.transform(F.sequence(F.lit(0), n - 1), point)
 
-    return F.when(F.size(line) > 1, let(length(line), cut))
+    return let(line, lambda l: F.when(F.size(l) > 1, let(length(l), lambda total: cut(l, total))))
 
 
 def local_bearing(line: Column, metres: Column) -> Column:
     """Undirected bearing of the chord of four metres about a place; null where it has no length."""
-    a, b = interpolate(line, F.greatest(metres - CHORD_M, F.lit(0.0))), interpolate(line, metres + CHORD_M)
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda c: F.when((c["a"][0] != c["b"][0]) | (c["a"][1] != c["b"][1]), F.pmod(F.degrees(F.atan2(c["b"][0] - c["a"][0], c["b"][1] - c["a"][1])), F.lit(180.0))))
+    ends = let(line, lambda l: F.struct(interpolate(l, F.greatest(metres - CHORD_M, F.lit(0.0))).alias("a"), interpolate(l, metres + CHORD_M).alias("b")))
+    return let(ends, lambda c: F.when((c["a"][0] != c["b"][0]) | (c["a"][1] != c["b"][1]), F.pmod(F.degrees(F.atan2(c["b"][0] - c["a"][0], c["b"][1] - c["a"][1])), F.lit(180.0))))
 
 
 def substring(line: Column, start: Column, end: Column) -> Column:
     """The part of a line between two places along it; backwards if the second comes first."""
-    def forward(low: Column, high: Column) -> Column:
+    def forward(low: Column, high: Column, line: Column) -> Column:
         def keep(state: Column, s: Column) -> Column:
             at = state["upto"] + s["len"]
             inside = (at > low) & (at < high)
@@ -114,8 +151,10 @@ def substring(line: Column, start: Column, end: Column) -> Column:
         inner = F.aggregate(pairs(line), none, keep, lambda s: s["kept"])
         return F.concat(F.array(interpolate(line, low)), inner, F.array(interpolate(line, high)))
 
-    part = forward(F.least(start, end), F.greatest(start, end))
-    return F.when(start <= end, part).otherwise(F.reverse(part))
+    def turned(a: Column) -> Column:
+        return let(forward(F.least(a["start"], a["end"]), F.greatest(a["start"], a["end"]), a["line"]), lambda p: F.when(a["start"] <= a["end"], p).otherwise(F.reverse(p)))
+
+    return let(F.struct(line.alias("line"), start.alias("start"), end.alias("end")), turned)
 
 
 def stitch(lines: Column) -> Column:

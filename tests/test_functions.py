@@ -178,3 +178,36 @@ def test_shadows_of_a_prism(spark):
     parts = L.shadow_parts(line(*ring), F.lit(dx), F.lit(dy))
     got = [r[0] for r in frame.select(L.in_any(parts, F.col("x"), F.col("y"))).collect()]
     assert sum(a != b for a, b in zip(got, want, strict=True)) == 0 and sum(got) > 50
+
+
+def test_long_lines_take_linear_time(spark):
+    """A part of a line of 500 vertices, its length and its probes, in under a second once the plan is warm."""
+    import time
+
+    from parasol.functions import lines
+
+    line = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.array(i.cast("double"), (i % 2).cast("double")))
+    frame = spark.range(1).select(F.when(F.col("id") >= 0, line).alias("line"))
+    part = lines.substring(F.col("line"), F.lit(10.0), F.lit(600.0))
+    asked = frame.select(lines.length(part).alias("metres"), F.size(lines.probes(part)).alias("n"))
+    asked.collect()
+    began = time.perf_counter()
+    row = asked.collect()[0]
+    assert time.perf_counter() - began < 1
+    assert abs(row.metres - 590) < 1e-6 and row.n == int(row.metres / 10)
+
+
+def test_probes_are_the_points_at_even_distances(spark):
+    from parasol.functions import lines
+
+    shapes = [[(0, 0), (3, 4), (3, 4), (30, 4)], [(0, 0), (100, 0), (100, 0.5), (7, 3)], [(5, 5), (5, 5)], [(1, 2), (1, 29.99)], [(0.1 * k, (k * 7 % 5) * 0.3) for k in range(200)], [(1, 1)]]
+    frame = spark.createDataFrame([(i, [[float(x), float(y)] for x, y in shape]) for i, shape in enumerate(shapes)], "i int, line array<array<double>>")
+    one = lambda k, n: lines.interpolate(F.col("line"), lines.length(F.col("line")) * k / (n - 1))
+    for row in frame.select("i", lines.probes(F.col("line")).alias("p"), lines.length(F.col("line")).alias("m")).collect():
+        if len(shapes[row.i]) < 2:
+            assert row.p is None
+            continue
+        n = max(3, int(row.m // 10))
+        assert len(row.p) == n
+        expected = frame.where(F.col("i") == row.i).select(*(one(k, n).alias(f"p{k}") for k in range(n))).collect()[0]
+        assert all(abs(a - b) < 1e-9 for got, want in zip(row.p, expected, strict=True) for a, b in zip(got, want, strict=True))
