@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parasol.functions import geometry as g, lines as L, sun, wording as W
-from parasol.operators import answers, polygons, ranks, scoring, spatial as grid, stats, ways
+from parasol.operators import answers, overlay, polygons, ranks, scoring, spatial as grid, stats, ways
 from parasol.plans import frames as P, scoring as S, spatial as Q
 from parasol.plans.adapters import view, with_views
 from parasol.session import save_table
@@ -38,6 +38,14 @@ def park_overlap(spark, d):
     return p.select("park_id", r6(L.overlap_ratio(own, moved), "overlap"), r6(L.area(F.array(own)) / 10_000, "hectares"), (L.overlap_ratio(own, moved) >= 0.1).alias("same"))
 
 
+def park_union(spark, d):
+    """Areas of each park's L and of the L moved aside: apart, together and shared, and whether a tenth of the smaller one is."""
+    moved = F.transform("polygon", lambda r: F.transform(r, lambda p: F.array(p[0] + 200.0, p[1] + 150.0)))
+    own = ells(spark, d).select(F.col("park_id").alias("key"), F.lit("a").alias("side"), F.lit(0).alias("part"), "polygon")
+    out = overlay.overlay_areas(own.unionByName(own.select("key", F.lit("b").alias("side"), F.lit(1).alias("part"), moved.alias("polygon"))), 500.0)
+    return out.select(F.col("key").cast("long").alias("park_id"), *(r6(F.col(c), c) for c in ("area_a", "area_union", "area_both")), (F.col("area_both") >= 0.1 * F.least("area_a", "area_b")).alias("same"))
+
+
 def tile_margin_join(spark, d):
     """Pairs of nodes and buildings that one tile of work brings together: buildings reach a tile or its margin."""
     b = view(spark, d, "buildings").select("building_id", "x0", "y0", (F.col("x0") + 12).alias("x1"), (F.col("y0") + 12).alias("y1"))
@@ -263,7 +271,7 @@ def geometry_sorted(spark, d):
     return view(spark, d, "edges").select("edge_id", "length_m").orderBy(F.col("length_m").desc(), "edge_id")
 
 
-QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted, route_answers, road_edges, sidewalk_kerb_match, route_time_bands)}
+QUERIES = {f.__name__: f for f in (point_in_polygon, park_overlap, park_union, tile_margin_join, median_probe_match, line_pieces, ways_near_point, score_edges, building_shade, polygon_shadow_sweep, graph_build, monotonicity_violations, engine_agreement, confusion_shares, agreement_rate, night_branch, readback_verification, codec_round_trip, distance_words, link_state, street_name_match, geometry_sorted, route_answers, road_edges, sidewalk_kerb_match, route_time_bands)}
 
 _MARCHED = Q.ORACLE_TEXTS["raster_march_small"]
 _LINES = f"""{with_views('way_nodes')},
@@ -275,6 +283,14 @@ ORACLE_TEXTS = {
         select cast(park_id as bigint) as park_id, count(*) as nodes, min(k) as first_node from nodes join ells on (x > x0 and x < x1 and y > y0 and y < ym) or (x > x0 and x < xm and y > y0 and y < y1) group by 1""",
     "park_overlap": f"""{with_views('parks')}, o as (select *, greatest(x1 - x0 - 200, 0) * greatest(y1 - y0 - 150, 0) / ((x1 - x0) * (y1 - y0)) as r from parks)
         select cast(park_id as bigint) as park_id, round(r, 6) as overlap, round((x1 - x0) * (y1 - y0) / 10000, 6) as hectares, r >= 0.1e0 as same from o""",
+    "park_union": f"""{with_views('parks')}, ells as (select *, (x0 + x1) / 2 + 0.3e0 as xm, (y0 + y1) / 2 + 0.7e0 as ym from parks),
+        xs as (select park_id, unnest([x0, xm, x1, x0 + 200, xm + 200, x1 + 200]) as v from ells), ys as (select park_id, unnest([y0, ym, y1, y0 + 150, ym + 150, y1 + 150]) as v from ells),
+        xr as (select park_id, v as xa, lead(v) over (partition by park_id order by v) as xb from (select distinct * from xs) q), yr as (select park_id, v as ya, lead(v) over (partition by park_id order by v) as yb from (select distinct * from ys) q),
+        boxes as (select e.*, (xb - xa) * (yb - ya) as area, (xa + xb) / 2 as x, (ya + yb) / 2 as y from ells e join xr using (park_id) join yr using (park_id) where xb is not null and yb is not null),
+        held as (select park_id, area, (x > x0 and x < x1 and y > y0 and y < ym) or (x > x0 and x < xm and y > y0 and y < y1) as a,
+            (x > x0 + 200 and x < x1 + 200 and y > y0 + 150 and y < ym + 150) or (x > x0 + 200 and x < xm + 200 and y > y0 + 150 and y < y1 + 150) as b from boxes),
+        sums as (select park_id, sum(case when a then area else 0 end) as s, sum(case when a or b then area else 0 end) as u, sum(case when a and b then area else 0 end) as c from held group by 1)
+        select cast(park_id as bigint) as park_id, round(s, 6) as area_a, round(u, 6) as area_union, round(c, 6) as area_both, c >= 0.1e0 * s as same from sums""",
     "tile_margin_join": f"""{with_views('nodes', 'buildings')}, p as (select k, cast(floor(x / 1000) as bigint) as tile_x, cast(floor(y / 1000) as bigint) as tile_y from nodes)
         select tile_x, tile_y, count(*) as pairs, count(distinct building_id) as buildings from p join buildings on tile_x between floor((x0 - 200) / 1000) and floor((x0 + 212) / 1000) and tile_y between floor((y0 - 200) / 1000) and floor((y0 + 212) / 1000) group by 1, 2""",
     "median_probe_match": f"""{Q._WALKS}, n as (select *, greatest(3, cast(floor(len / 10) as bigint)) as n from walks), i as (select *, unnest(generate_series(0, n - 1)) as i from n),
