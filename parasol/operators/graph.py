@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from parasol.operators.skew import look_up
 from parasol.session import cut
 
 #: Edges that a broadcast graph may have; above, routes go by frames.
@@ -22,17 +23,22 @@ ROUTE_COLUMNS = [c.split()[0] for c in ROUTE_SCHEMA.split(", ")]
 
 
 def labels(edges: DataFrame) -> DataFrame:
-    """(k, component): the smallest node reachable, by pulling labels along edges and then along labels."""
+    """(k, component): the smallest node reachable, by pulling labels along edges and then along labels.
+
+    A round that changes no row is the last. Most nodes soon share a label, so labels are looked up as frequent keys are.
+    """
     both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u")).distinct())
     now = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    total = now.count()
     while True:
         pulled = both.join(now.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        moved = now.join(pulled, "a").select("a", F.least("c", "m").alias("c"))
-        jumped = moved.join(now.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").select("a", F.least("c", "cc").alias("c"))
-        after = cut(jumped)
-        if after.agg(F.sum("c")).first() == now.agg(F.sum("c")).first():
-            return after.select(F.col("a").alias("k"), F.col("c").alias("component"))
-        now = after
+        moved = cut(now.join(pulled, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        jumped = look_up(moved, "c", now.select(F.col("a").alias("c"), F.col("c").alias("cc")), "cc", total)
+        after = cut(jumped.select("a", "old", F.least("c", "cc").alias("c")))
+        done = after.where("c <> old").isEmpty()
+        now = after.select("a", "c")
+        if done:
+            return now.select(F.col("a").alias("k"), F.col("c").alias("component"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: float) -> DataFrame:

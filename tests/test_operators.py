@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parasol.functions import geometry as g
 from parasol.functions.sun import sun_table
 from parasol.operators import graph, spatial
+from parasol.operators.skew import look_up
 from parasol.sources.export import _current, as_json, verify_export, write_export
 from parasol.sources.files import cached, read_features, scan_box, write_findings
 from parasol.sources.paged import PagedSource, ServiceError, condition, literal, with_retries
@@ -194,3 +195,17 @@ def test_failover_state(spark, tmp_path):
         want.append((c[4], who))
     assert sorted((r.call_id, r.answered_by) for r in spark.sql("select * from answers").collect()) == want
     assert answer(100.0, 130.0, True, True) == ("slow", 100.0)
+
+
+def test_labels_of_a_star(spark):
+    """One label that nearly all nodes share, beside a small component."""
+    edges = spark.createDataFrame([(100, 101 + i) for i in range(3000)] + [(7, 8), (9, 8), (4, 4)], "u long, v long")
+    found = {r.k: r.component for r in graph.labels(edges).collect()}
+    assert found == {**{k: 100 for k in range(100, 3101)}, 7: 7, 8: 7, 9: 7, 4: 4}
+
+
+def test_look_up_keeps_rows_without_a_value(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (None, 51), (3, 52)], "key int, n int")
+    table = spark.createDataFrame([(1, "one"), (2, "two")], "key int, value string")
+    got = {r.n: r.value for r in look_up(rows, "key", table, "value", 53 * 20).collect()}
+    assert got == {**{i: "one" for i in range(50)}, 50: "two", 51: None, 52: None}
