@@ -82,19 +82,24 @@ def canopy_credit(canopy: Column, length_m: Column, is_path: Column, outcome: Co
     return F.when(canopy.isNotNull() & measured, FULL_DENSITY * canopy * length_m).otherwise(0.0)
 
 
-def parents(found: DataFrame, edge: str, name: str, distance: str) -> DataFrame:
-    """One row an edge of (edge, name, distance): edge, outcome, name, fold_names.
+def nearest_names(found: DataFrame, edge: str, name: str, distance: str) -> DataFrame:
+    """One row an edge of (edge, name, distance): edge, nearest, clear, names.
 
-    A single name, or one that is at most DECISIVE times as far as the next, is
-    the parent; else up to MOST_NAMES names go along, joined by '|'.
+    ``clear``: the name is the only one, or at most DECISIVE times as far as the
+    next. ``names``: up to MOST_NAMES, nearest first, joined by '|'.
     """
     place = F.row_number().over(Window.partitionBy(edge).orderBy(distance, name))
     ranked = found.withColumn("__r", place)
     at = lambda c, k: F.max(F.when(F.col("__r") == k, F.col(c)))
     top = ranked.groupBy(edge).agg(F.count("*").alias("n"), *(at(distance, k).alias(f"d{k}") for k in (1, 2)), *(at(name, k).alias(f"n{k}") for k in range(1, MOST_NAMES + 1)))
     clear = (F.col("n") == 1) | ((F.col("d2") > 0) & (F.col("d1") / F.col("d2") <= DECISIVE))
-    clear = F.coalesce(clear, F.lit(False))
-    return top.select(edge, F.when(clear, "derived").otherwise("ambiguous").alias("outcome"), F.when(clear, F.col("n1")).alias("name"), F.when(~clear, F.concat_ws("|", *(f"n{k}" for k in range(1, MOST_NAMES + 1)))).alias("fold_names"))
+    return top.select(edge, F.col("n1").alias("nearest"), F.coalesce(clear, F.lit(False)).alias("clear"), F.concat_ws("|", *(f"n{k}" for k in range(1, MOST_NAMES + 1))).alias("names"))
+
+
+def parents(found: DataFrame, edge: str, name: str, distance: str) -> DataFrame:
+    """One row an edge of (edge, name, distance): edge, outcome, name of the clear parent, else fold_names that go along."""
+    top, clear = nearest_names(found, edge, name, distance), F.col("clear")
+    return top.select(edge, F.when(clear, "derived").otherwise("ambiguous").alias("outcome"), F.when(clear, F.col("nearest")).alias("name"), F.when(~clear, F.col("names")).alias("fold_names"))
 
 
 def building_shade(points: DataFrame, prisms: DataFrame, sun: DataFrame, size: float = 3.0, step: float = 1.5, reach: float = 60.0, tall: float = 90.0) -> DataFrame:

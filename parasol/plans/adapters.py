@@ -63,6 +63,22 @@ VIEWS = {
         union all
         select 2 * k + 1, k, k + 40, 'Col ' || cast(col as STRING), 80e0 + (k % 7) * 0.5e0
         from nodes where k % 23 <> 0 and row_no % 10 <> 9 and k % 97 <> 5 and (k + 40) % 97 <> 5 and k + 40 < (select count(*) from nodes)""",
+    "placed_edges": """
+        select e.edge_id, e.name, a.x as ux, a.y as uy, b.x as vx, b.y as vy, 1e0 - e.edge_id % 2 as dx, e.edge_id % 2 * 1e0 as dy, (e.edge_id * 13) % 47 - 3.3e0 as o
+        from edges e join nodes a on a.k = e.u join nodes b on b.k = e.v""",
+    "streets": """
+        select edge_id as street_id, name, ux as ax, uy as ay, (ux + vx) / 2 - 2.3e0 * dy as mx, (uy + vy) / 2 + 2.3e0 * dx as my, vx as zx, vy as zy from placed_edges
+        union all
+        select -1 - edge_id, 'Lane ' || cast(edge_id % 20 as STRING), ux - 24.4e0 * dy, uy + 24.4e0 * dx, (ux + vx) / 2 - 25.9e0 * dy, (uy + vy) / 2 + 25.9e0 * dx, vx - 24.4e0 * dy, vy + 24.4e0 * dx
+        from placed_edges where edge_id % 5 = 0""",
+    "side_paths": """
+        select edge_id, case when edge_id % 6 = 0 then name when edge_id % 6 = 1 then '' end as name, name as beside,
+               case when edge_id % 7 = 1 then 'footway_crossing' else 'footway' end as kind, ux + 4e0 * dx - o * dy as ax, uy + 4e0 * dy + o * dx as ay,
+               case when edge_id % 9 = 2 then ux + 5.5e0 * dx - o * dy else (ux + vx) / 2 - (o + 1.7e0) * dy end as mx,
+               case when edge_id % 9 = 2 then uy + 5.5e0 * dy + o * dx else (uy + vy) / 2 + (o + 1.7e0) * dx end as my,
+               case when edge_id % 9 = 2 then ux + 7e0 * dx - o * dy else vx - 4e0 * dx - (o + case when edge_id % 10 = 3 then 65e0 else 0e0 end) * dy end as zx,
+               case when edge_id % 9 = 2 then uy + 7e0 * dy + o * dx else vy - 4e0 * dy + (o + case when edge_id % 10 = 3 then 65e0 else 0e0 end) * dx end as zy
+        from placed_edges""",
     "scored_edges": """
         select *, ((edge_id * 7) % 40) / 10e0 as tree_deciduous, ((edge_id * 3) % 10) / 10e0 as tree_evergreen,
                (edge_id * 5) % 9 as tree_count, ((edge_id * 11) % 20) / 20e0 as tree_park_canopy
@@ -132,7 +148,7 @@ VIEWS = {
         select l_orderkey DIV 3 as way_id, l_linenumber + 10 * (l_orderkey % 3) as pos, (l_partkey * 7 + l_linenumber) % (select max(c_custkey) + 1 from @customer) as node_id
         from @lineitem""",
 }
-_NEEDS = {"tree_values": ["trees"], "edges": ["nodes"], "scored_edges": ["edges"], "requests": ["moments"], "valid_moments": ["requests"], "blends": ["valid_moments"]}
+_NEEDS = {"tree_values": ["trees"], "edges": ["nodes"], "placed_edges": ["nodes", "edges"], "streets": ["placed_edges"], "side_paths": ["placed_edges"], "scored_edges": ["edges"], "requests": ["moments"], "valid_moments": ["requests"], "blends": ["valid_moments"]}
 
 
 def with_views(*names: str) -> str:

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.plans import audits, composites, frames, scoring, spatial, texts
+from parasol.plans import audits, composites, frames, naming, scoring, spatial, texts
 from parasol.plans.dialect import oracle
 
 #: The oracle's texts of the queries in ``frames``.
@@ -46,6 +46,6 @@ def _oracle(name: str, text: str) -> str:
     return f"select * replace (cast({wide} as bigint) as {wide}) from ({text}) q" if wide else text
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, query) for name, query in (frames.QUERIES | composites.QUERIES).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, query) for name, query in (frames.QUERIES | composites.QUERIES | naming.QUERIES).items()}
 QUERIES |= spatial.QUERIES
-ORACLE_SQL: dict[str, str] = {name: _oracle(name, text) for name, text in (TEXTS | spatial.ORACLE_TEXTS | composites.ORACLE_TEXTS).items()}
+ORACLE_SQL: dict[str, str] = {name: _oracle(name, text) for name, text in (TEXTS | spatial.ORACLE_TEXTS | composites.ORACLE_TEXTS | naming.ORACLE_TEXTS).items()}
