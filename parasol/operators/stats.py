@@ -1,15 +1,70 @@
-"""Distributions and agreement measures on DataFrames. Percentiles by index or weight come from windows that sort and spill."""
+"""Distributions and agreement measures on DataFrames.
+
+Percentiles by index or weight are selected: equal values are summed first,
+ranges of values are summed next, and only those ranges in which a percentile
+lies are ordered. So neither a large group nor a frequent value meets in one task.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parasol.session import cut
+
+
+def selected(rows: DataFrame, by: list[str], value: str, weight: Column, **targets) -> DataFrame:
+    """One row a group: for each name the first value, ascending, at which the running weight reaches what a function of the whole weight gives.
+
+    Adds ``whole``, that weight. Weights are not negative; null ones don't count. Null values come first. Where
+    rounding keeps the running weight below a target, it is the last value.
+    """
+    summed = rows.select(*by, F.col(value).alias("__v"), weight.alias("__w")).groupBy(*by, "__v").agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__w"))
+    ranged = cut(summed.repartitionByRange(*by, "__v").withColumn("__p", F.spark_partition_id()))
+    order = Window.partitionBy(*by).orderBy("__p")
+    # One row a group and range from here on.
+    parts = ranged.groupBy(*by, "__p").agg(F.sum("__w").alias("__in"))
+    parts = parts.withColumns({
+        "__before": F.coalesce(F.sum("__in").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "whole": F.sum("__in").over(Window.partitionBy(*by)),
+        "__last": F.lead("__p").over(order).isNull(),
+    })
+    holds = [(F.col("__before") < t(F.col("whole"))) & ((t(F.col("whole")) <= F.col("__before") + F.col("__in")) | F.col("__last")) for t in targets.values()]
+    # The first range stands for targets of nothing, the last one for the group.
+    wanted = parts.where(reduce(lambda a, b: a | b, holds) | F.col("__last") | (F.col("__before") == 0))
+    keyed = wanted.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), F.col("__p").alias("__kp"), "__before", "whole")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)), F.col("__p") == F.col("__kp"))
+    near = ranged.join(keyed, same).select(*by, "__p", "__v", "__w", "__before", "whole")
+    run = Window.partitionBy(*by, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    acc = near.withColumn("__acc", F.col("__before") + F.sum("__w").over(run))
+    # Among values that reach a target the least struct is the first one; a value that adds nothing is behind the one it equals.
+    place = F.struct("__acc", "__v")
+    first = lambda t: F.coalesce(F.min(F.when(F.col("__acc") >= t(F.col("whole")), place)), F.max(place))["__v"]
+    return acc.groupBy(*by).agg(F.first("whole").alias("whole"), *(first(t).alias(name) for name, t in targets.items()))
+
 
 def index_percentiles(rows: DataFrame, by: list[str], value: str, **places) -> DataFrame:
     """One row a group: for each name the value at the place that a function of (n) gives, counted from 0 in ascending order."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == at(F.col("__n")), F.col(value))).alias(name) for name, at in places.items()))
+    def target(at):
+        return lambda n: at(n) + 1
+
+    return selected(rows, by, value, F.lit(1), **{name: target(at) for name, at in places.items()}).drop("whole")
+
+
+def interpolated_percentiles(rows: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+    """One row a group: percentiles at the place share * (n - 1), in proportion between the two values beside it. Null values don't count."""
+    def beside(p: float, rounded):
+        return lambda n: rounded(p * (n - 1)) + 1
+
+    places = {f"{name}__{k}": beside(p, f) for name, p in shares.items() for k, f in (("low", F.floor), ("high", F.ceil))}
+    found = selected(rows.where(F.col(value).isNotNull()), by, value, F.lit(1), **places)
+
+    def between(name: str, p: float) -> Column:
+        low, high, at = F.col(f"{name}__low"), F.col(f"{name}__high"), p * (F.col("whole") - 1)
+        return low + (high - low) * (at - F.floor(at))
+
+    return found.select(*by, *(between(name, p).alias(name) for name, p in shares.items()))
 
 
 def share_of(p: float):
@@ -26,11 +81,12 @@ def nearest_rank(p: float):
     return lambda n: F.rint(p * (n - 1)).cast("long")
 
 
-def weighted_percentiles(rows: DataFrame, by: list[str], value: str, weight: str, ties: list[str], **shares: float) -> DataFrame:
-    """The first value whose running weight reaches a share of the whole; ``ties`` orders equal values."""
-    run = Window.partitionBy(*by).orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    acc = rows.withColumn("__acc", F.sum(weight).over(run)).withColumn("__all", F.sum(weight).over(Window.partitionBy(*by)))
-    return acc.groupBy(*by).agg(*(F.min(F.when(F.col("__acc") >= s * F.col("__all"), F.col(value))).alias(n) for n, s in shares.items()))
+def weighted_percentiles(rows: DataFrame, by: list[str], value: str, weight: str, **shares: float) -> DataFrame:
+    """The first value whose running weight reaches a share of the whole."""
+    def target(share: float):
+        return lambda whole: share * whole
+
+    return selected(rows, by, value, F.col(weight), **{name: target(s) for name, s in shares.items()}).drop("whole")
 
 
 def zero_intercept(x: Column, y: Column) -> Column:

@@ -219,11 +219,12 @@ def index_percentiles(spark, d):
 
 
 def weighted_percentile(spark, d):
-    return stats.weighted_percentiles(items(spark, d), ["grp"], "v", "w", ["l_orderkey", "l_linenumber", "l_partkey"], p10=0.1, p50=0.5, p90=0.9)
+    return stats.weighted_percentiles(items(spark, d), ["grp"], "v", "w", p10=0.1, p50=0.5, p90=0.9)
 
 
 def interpolated_percentile(spark, d):
-    return items(spark, d).groupBy("grp").agg(r6(F.percentile("v", F.lit(0.25)), "p25"), r6(F.median("v"), "p50"), r6(F.percentile("v", F.lit(0.9)), "p90"))
+    out = stats.interpolated_percentiles(items(spark, d), ["grp"], "v", p25=0.25, p50=0.5, p90=0.9)
+    return out.select("grp", *(r6(c, c) for c in ("p25", "p50", "p90")))
 
 
 def zero_intercept_fit(spark, d):
