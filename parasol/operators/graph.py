@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.operators.skew import look_up
-from parasol.session import cut
+from parasol.session import cut, save_table
 
 #: Edges that a broadcast graph may have; above, routes go by frames.
 BROADCAST_EDGES = 20_000_000
@@ -22,25 +22,59 @@ ROUTE_SCHEMA = "request long, weight double, length_m double, minutes double, tr
 ROUTE_COLUMNS = [c.split()[0] for c in ROUTE_SCHEMA.split(", ")]
 
 
+def _written(frame: DataFrame) -> DataFrame:
+    """A table: a checkpoint would keep what the optimizer knows of its columns, which grows from round to round."""
+    return save_table(frame, "labels")
+
+
 def labels(edges: DataFrame) -> DataFrame:
     """(k, component): the smallest node reachable, by pulling labels along edges and then along labels.
 
     A round that changes no row is the last. Most nodes soon share a label, so labels are looked up as frequent keys are.
     """
-    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u")).distinct())
-    now = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    both = _written(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u")).distinct())
+    now = _written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
     total = now.count()
     while True:
         pulled = both.join(now.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        moved = cut(now.join(pulled, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        moved = _written(now.join(pulled, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c")))
         jumped = look_up(moved, "c", now.select(F.col("a").alias("c"), F.col("c").alias("cc")), "cc", total)
-        after = cut(jumped.select("a", "old", F.least("c", "cc").alias("c")))
+        after = _written(jumped.select("a", "old", F.least("c", "cc").alias("c")))
         done = after.where("c <> old").isEmpty()
         now = after.select("a", "c")
         if done:
             return now.select(F.col("a").alias("k"), F.col("c").alias("component"))
 
 
+def grown_labels(before: DataFrame, edges: DataFrame) -> DataFrame:
+    """(k, component) of a graph that ``edges`` (u, v) are added to, from its labels ``before``: the smallest node reachable.
+
+    Only edges between different components, as edges between their labels, are
+    labelled anew; labels of nodes follow by a look-up, of frequent ones by broadcast.
+    """
+    def label(column: str) -> DataFrame:
+        return before.select(F.col("k").alias(column), F.col("component").alias(f"c{column}"))
+
+    ends = edges.select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left")
+    ends = _written(ends.select("u", "v", F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")))
+    merged = labels(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("k").alias("component"), F.col("component").alias("now"))
+    met = ends.select(F.col("u").alias("k"), F.col("a").alias("component")).union(ends.select("v", "b")).distinct()
+    all_nodes = _written(before.select("k", "component").union(met).distinct())
+    found = look_up(all_nodes, "component", merged, "now", all_nodes.count())
+    return _written(found.select("k", F.coalesce("now", "component").alias("component")))
+
+
+def nested_labels(edges: DataFrame, layers: int) -> DataFrame:
+    """(layer, k, component): labels of the edges (u, v, layer) of layers 0 to each, each layer's from those of the one before."""
+    now, out = None, None
+    for layer in range(layers):
+        added = edges.where(F.col("layer") == layer).select("u", "v")
+        now = labels(added) if now is None else grown_labels(now, added)
+        mine = now.select(F.lit(layer).alias("layer"), "k", "component")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
 def distances(edges: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     """(request, k, d) for all nodes within ``most``: relaxation of a frontier, round by round, each cut by a checkpoint."""
     arcs = edges.select("u", "v", "cost").union(edges.select("v", "u", "cost")).groupBy("u", "v").agg(F.min("cost").alias("cost"))

@@ -63,6 +63,16 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.withColumn("is_fragment", F.col("nodes") < 50)
 
 
+def nested_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """How well sidewalks hang together alone, with crossings, and with all paths: nodes, length, components, the largest, and nodes in fragments."""
+    kind = F.when(F.col("edge_id") % 3 == 0, 0).when(F.col("edge_id") % 3 == 1, 1).otherwise(2)
+    edges = view(spark, d, "edges").select("u", "v", "length_m", kind.alias("layer"))
+    sizes = graph.nested_labels(edges, 3).groupBy("layer", "component").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("layer").agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.max("n").alias("largest"), F.sum(F.when(F.col("n") < 50, F.col("n")).otherwise(0)).alias("in_fragments"))
+    length = edges.select("length_m", F.explode(F.sequence("layer", F.lit(2))).alias("layer")).groupBy("layer").agg(F.round(F.sum("length_m") / 1000, 6).alias("km"))
+    return shape.join(length, "layer").select(F.element_at(F.array(*map(F.lit, "ABC")), F.col("layer") + 1).alias("layer"), "nodes", "km", "components", "largest", "in_fragments")
+
+
 _REACH = f"""{with_views('edges')}, linked as (select u as a, v as b from edges union all select v, u from edges)"""
 _RECURSIVE = _REACH.replace("with ", "with recursive ", 1) + ", reach(a, b) as (select a, b from linked union select r.a, l.b from reach r join linked l on l.a = r.b), comp as (select a as k, least(a, min(b)) as component from reach group by a)"
 
@@ -254,7 +264,7 @@ def geodesic_lengths(spark: SparkSession, d: str) -> DataFrame:
     return e.select("edge_id", F.round(g.vincenty(*(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))), 1).alias("length_m"), F.round(x, 3).alias("x_ft"), F.round(y, 3).alias("y_ft"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths)}
+QUERIES = {f.__name__: f for f in (nearest_with_runner_up, length_profile, knn_snap, components, component_sizes, nested_connectivity, snap_component_pair, sssp_distance, compass_side, raster_march_small, shaded_bytes, shadow_sweep, geometry_kernel, route_batch, route_steps, sun_positions, geodesic_lengths)}
 
 ORACLE_TEXTS = {
     "nearest_with_runner_up": f"""{_POINTS}, pairs as (select tree_id, face_id, segment_id, {_D} as d from points cross join faces),
@@ -270,6 +280,14 @@ ORACLE_TEXTS = {
         select edge_id, face_id, round(sum(metres), 6) as metres from ranked where r = 1 group by 1, 2""",
     "knn_snap": f"""{_EDGE_LINES}, pairs as (select tree_id, edge_id, {_D} as d from points cross join lines), ranked as (select *, row_number() over (partition by tree_id order by d, edge_id) as r from pairs where d <= 200)
         select tree_id, edge_id, round(d, 6) as distance_m from ranked where r = 1""",
+    "nested_connectivity": f"""{with_views('edges').replace('with ', 'with recursive ', 1)}, layered as (select unnest(range(edge_id % 3, 3)) as layer, u, v, length_m from edges),
+        linked as (select layer, u as a, v as b from layered union select layer, v, u from layered),
+        reach(layer, a, b) as (select layer, a, b from linked union select r.layer, r.a, l.b from reach r join linked l on l.layer = r.layer and l.a = r.b),
+        comp as (select layer, a as k, least(a, min(b)) as component from reach group by layer, a),
+        sizes as (select layer, component, count(*) as n from comp group by layer, component),
+        shape as (select layer, cast(sum(n) as bigint) as nodes, count(*) as components, max(n) as largest, cast(coalesce(sum(n) filter (where n < 50), 0) as bigint) as in_fragments from sizes group by layer),
+        far as (select layer, round(sum(length_m) / 1000, 6) as km from layered group by layer)
+        select case layer when 0 then 'A' when 1 then 'B' else 'C' end as layer, nodes, km, components, largest, in_fragments from shape join far using (layer)""",
     "components": f"{_RECURSIVE} select k, component from comp",
     "component_sizes": f"{_RECURSIVE} select component, count(*) as nodes, count(*) < 50 as is_fragment from comp group by component",
     "snap_component_pair": f"""{_RECURSIVE.replace(with_views('edges')[5:], with_views('edges', 'moments')[5:])},

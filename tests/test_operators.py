@@ -209,3 +209,25 @@ def test_look_up_keeps_rows_without_a_value(spark):
     table = spark.createDataFrame([(1, "one"), (2, "two")], "key int, value string")
     got = {r.n: r.value for r in look_up(rows, "key", table, "value", 53 * 20).collect()}
     assert got == {**{i: "one" for i in range(50)}, 50: "two", 51: None, 52: None}
+
+
+def test_nested_labels_equal_union_find(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400), layer) for layer in range(3) for _ in range(130)]
+    # A hub that all of a later layer hangs on, a loop, a repeated edge; the last layer adds none.
+    edges += [(500, k, 1) for k in range(0, 400, 7)] + [(900, 900, 0), (901, 902, 2), (902, 901, 2)]
+    got = {(r.layer, r.k): r.component for r in graph.nested_labels(spark.createDataFrame(edges, "u long, v long, layer int"), 4).collect()}
+    up, want = {}, {}
+
+    def top(k):
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    for layer in range(4):
+        for u, v, at in edges:
+            if at == layer:
+                a, b = sorted((top(u), top(v)))
+                up[b] = a
+        want |= {(layer, k): top(k) for k in list(up)}
+    assert got == want
