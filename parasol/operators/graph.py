@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from parasol.operators.skew import look_up
+from parasol.operators.skew import look_up, shuffled
 from parasol.session import cut, save_table
 
 #: Edges that a broadcast graph may have; above, routes go by frames.
@@ -36,8 +36,8 @@ def labels(edges: DataFrame) -> DataFrame:
     now = _written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
     total = now.count()
     while True:
-        pulled = both.join(now.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        moved = _written(now.join(pulled, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        pulled = both.join(shuffled(now.select(F.col("a").alias("b"), F.col("c").alias("cb"))), "b").groupBy("a").agg(F.min("cb").alias("m"))
+        moved = _written(now.join(shuffled(pulled), "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c")))
         jumped = look_up(moved, "c", now.select(F.col("a").alias("c"), F.col("c").alias("cc")), "cc", total)
         after = _written(jumped.select("a", "old", F.least("c", "cc").alias("c")))
         done = after.where("c <> old").isEmpty()
@@ -53,7 +53,7 @@ def grown_labels(before: DataFrame, edges: DataFrame) -> DataFrame:
     labelled anew; labels of nodes follow by a look-up, of frequent ones by broadcast.
     """
     def label(column: str) -> DataFrame:
-        return before.select(F.col("k").alias(column), F.col("component").alias(f"c{column}"))
+        return shuffled(before.select(F.col("k").alias(column), F.col("component").alias(f"c{column}")))
 
     ends = edges.select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left")
     ends = _written(ends.select("u", "v", F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")))

@@ -13,6 +13,7 @@ from parasol.functions import lines as L
 from parasol.functions.tags import is_connector
 from parasol.operators import spatial
 from parasol.operators.scoring import nearest_names
+from parasol.operators.skew import shuffled
 
 #: Metres to a street at most, degrees between its direction and the path's, and metres below which a path has no direction.
 NEAR_M, APART_DEG, NUB_M = 30.0, 30.0, 5.0
@@ -79,12 +80,12 @@ def candidates(paths: DataFrame, streets: DataFrame, parallel: bool = True) -> D
     near = near.groupBy("edge_id", "street_id", "metres", "n", "i").agg(F.min("d").alias("d"))
     close = upper_median(near, ["edge_id", "street_id"], "d", "n").select("edge_id", "street_id", "metres", F.round("d", PLACES).alias("d"))
     if not parallel:
-        return close.join(named.select("street_id", "name"), "street_id").groupBy("edge_id", "name").agg(F.min("d").alias("d"))
+        return close.join(shuffled(named.select("street_id", "name")), "street_id").groupBy("edge_id", "name").agg(F.min("d").alias("d"))
     own = spots.where(F.col("metres") >= NUB_M).withColumn("own", bearing_beside(F.col("segments"), F.col("px"), F.col("py"))).drop("segments", "metres")
-    met = close.where(F.col("metres") >= NUB_M).join(own, "edge_id").join(named.select("street_id", "name", L.measured(F.col("line")).alias("segments")), "street_id")
+    met = close.where(F.col("metres") >= NUB_M).join(shuffled(own), "edge_id").join(shuffled(named.select("street_id", "name", L.measured(F.col("line")).alias("segments"))), "street_id")
     met = met.select("edge_id", "street_id", "name", "d", "n", bend(F.col("own"), bearing_beside(F.col("segments"), F.col("px"), F.col("py"))).alias("turn"))
     along = upper_median(met, ["edge_id", "street_id"], "turn", "n").where(F.col("turn") <= APART_DEG)
-    nubs = close.where(F.col("metres") < NUB_M).join(named.select("street_id", "name"), "street_id")
+    nubs = close.where(F.col("metres") < NUB_M).join(shuffled(named.select("street_id", "name")), "street_id")
     return along.select("edge_id", "name", "d").unionByName(nubs.select("edge_id", "name", "d")).groupBy("edge_id", "name").agg(F.min("d").alias("d"))
 
 
@@ -104,7 +105,7 @@ def assign_names(paths: DataFrame, streets: DataFrame, parallel: bool = True) ->
     found = nearest_names(candidates(sorted_out.where("first is null").select("edge_id", "metres", "line"), streets, parallel), "edge_id", "name", "d")
     decided = F.when(F.col("clear"), "derived").otherwise("ambiguous")
     outcome = F.coalesce("first", F.when(F.col("metres") < NUB_M, "too_short"), F.when(F.col("nearest").isNotNull(), decided), F.lit("no_parent"))
-    out = sorted_out.drop("line").join(found, "edge_id", "left").withColumn("outcome", outcome)
+    out = sorted_out.drop("line").join(shuffled(found), "edge_id", "left").withColumn("outcome", outcome)
     name = F.when(F.col("outcome") == "own", F.col("name")).when(F.col("outcome") == "derived", F.col("nearest"))
     along = F.when(F.col("outcome").isin("too_short", "ambiguous"), F.col("names"))
     return out.select("edge_id", "outcome", name.alias("name"), along.alias("fold_names"))

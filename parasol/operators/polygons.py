@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parasol.functions.geometry import cell
 from parasol.functions.lines import bounds, contains, in_any, shadow_parts
+from parasol.operators.skew import shuffled
 from parasol.operators.spatial import within
 
 
@@ -26,13 +27,13 @@ def _placed(points: DataFrame, size: float) -> DataFrame:
 
 def inside(points: DataFrame, polygons: DataFrame, size: float, rings: str = "polygon") -> DataFrame:
     """Pairs of points (px, py) and polygons that contain them; a boundary is outside."""
-    cells = _cells(polygons, bounds(F.col(rings)), size)
+    cells = shuffled(_cells(polygons, bounds(F.col(rings)), size))
     return _placed(points, size).join(cells, ["cx", "cy"]).where(contains(F.col(rings), F.col("px"), F.col("py"))).drop("cx", "cy")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, size: float, closed: bool = False) -> DataFrame:
     """Pairs of points and boxes (x0, y0, x1, y1) that they are in."""
-    cells = _cells(boxes, tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), size)
+    cells = shuffled(_cells(boxes, tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), size))
     x, y = F.col("px"), F.col("py")
     test = x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1")) if closed else (x > F.col("x0")) & (x < F.col("x1")) & (y > F.col("y0")) & (y < F.col("y1"))
     return _placed(points, size).join(cells, ["cx", "cy"]).where(test).drop("cx", "cy")
@@ -45,8 +46,12 @@ def shadow_sweep(points: DataFrame, prisms: DataFrame, azimuth: float, tangent:
     back = math.radians(azimuth + 180.0)
     dx, dy = (F.col("height") / tangent * f(back) for f in (math.sin, math.cos))
     swept = prisms.withColumn("__parts", shadow_parts(F.col("ring"), dx, dy))
-    cells = _cells(swept, bounds(F.col("__parts")), size)
-    return _placed(points, size).join(cells, ["cx", "cy"]).where(in_any(F.col("__parts"), F.col("px"), F.col("py"))).drop("cx", "cy", "__parts")
+    box = [F.col(f"__{c}") for c in ("x0", "y0", "x1", "y1")]
+    swept = swept.withColumns(dict(zip(("__x0", "__y0", "__x1", "__y1"), bounds(F.col("__parts")), strict=True)))
+    met = _placed(points, size).join(shuffled(_cells(swept, tuple(box), size)), ["cx", "cy"])
+    # Most pairs are told apart by the shadow's box, grown by more than a seam's breadth.
+    near = F.col("px").between(box[0] - 1e-3, box[2] + 1e-3) & F.col("py").between(box[1] - 1e-3, box[3] + 1e-3)
+    return met.where(F.when(near, in_any(F.col("__parts"), F.col("px"), F.col("py"))).otherwise(False)).drop("cx", "cy", "__parts", "__x0", "__y0", "__x1", "__y1")
 
 
 def rasterise(prisms: DataFrame, size: float) -> DataFrame:
@@ -59,7 +64,7 @@ def rasterise(prisms: DataFrame, size: float) -> DataFrame:
 def by_tile(points: DataFrame, boxes: DataFrame, tile: float, margin: float) -> DataFrame:
     """Points with the boxes that reach their tile or its margin: the pairs that one tile of work needs."""
     grown = (F.col("x0") - margin, F.col("y0") - margin, F.col("x1") + margin, F.col("y1") + margin)
-    return _placed(points, tile).join(_cells(boxes, grown, tile), ["cx", "cy"]).withColumnRenamed("cx", "tile_x").withColumnRenamed("cy", "tile_y")
+    return _placed(points, tile).join(shuffled(_cells(boxes, grown, tile)), ["cx", "cy"]).withColumnRenamed("cx", "tile_x").withColumnRenamed("cy", "tile_y")
 
 
 def median_probe_distance(probes: DataFrame, segments: DataFrame, cap: float, line: str, target: str) -> DataFrame:

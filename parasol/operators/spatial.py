@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parasol.functions.geometry import cell, segment_distance
+from parasol.operators.skew import shuffled
 
 SEGMENT = ("ax", "ay", "bx", "by")
 
@@ -26,7 +27,7 @@ def within(points: DataFrame, lines: DataFrame, cap: float, size: float | None =
     size = max(size or 4 * cap, cap)
     placed = points.withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
     d = segment_distance(*(F.col(c) for c in ("px", "py", *SEGMENT)))
-    return placed.join(spread(lines, cap, size), ["cx", "cy"]).drop("cx", "cy").withColumn("d", d).where(F.col("d") <= cap)
+    return placed.join(shuffled(spread(lines, cap, size)), ["cx", "cy"]).drop("cx", "cy").withColumn("d", d).where(F.col("d") <= cap)
 
 
 def nearest(points: DataFrame, lines: DataFrame, cap: float, key: str, target: str, group: str) -> DataFrame:
@@ -40,6 +41,12 @@ def nearest(points: DataFrame, lines: DataFrame, cap: float, key: str, target: s
     return two.select(key, F.col("f.t").alias(target), F.col("f.d").alias("distance_m"), "runner_up_m")
 
 
+def closest(points: DataFrame, lines: DataFrame, cap: float, key: str, target: str) -> DataFrame:
+    """Per point: the nearest line within ``cap`` (ties to the smaller id). A task holds one pair a point, not all of them."""
+    best = within(points, lines, cap).groupBy(key).agg(F.min(F.struct("d", target)).alias("b"))
+    return best.select(key, f"b.{target}", F.col("b.d").alias("distance_m"))
+
+
 def slices(lines: DataFrame, step: float) -> DataFrame:
     """Slice centres of straight lines: px, py and the slice's metres; at least one slice each."""
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
@@ -88,8 +95,8 @@ def march(points: DataFrame, grid: DataFrame, size: float, step: float, azimuth:
     sx, sy = math.sin(math.radians(azimuth)), math.cos(math.radians(azimuth))
     h = points.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(hops))))
     h = h.withColumn("cx", cell(F.col("px") + F.col("k") * step * sx, size)).withColumn("cy", cell(F.col("py") + F.col("k") * step * sy, size))
-    hit = h.join(grid, ["cx", "cy"]).where(F.col("height") >= F.col("k") * step * tangent).select("point_id").distinct()
-    return points.join(hit.withColumn("hit", F.lit(True)), "point_id", "left").select("point_id", F.coalesce("hit", F.lit(False)).alias("shaded"))
+    hit = h.join(shuffled(grid), ["cx", "cy"]).where(F.col("height") >= F.col("k") * step * tangent).select("point_id").distinct()
+    return points.join(shuffled(hit.withColumn("hit", F.lit(True))), "point_id", "left").select("point_id", F.coalesce("hit", F.lit(False)).alias("shaded"))
 
 
 def rasterise(boxes: DataFrame, size: float) -> DataFrame:

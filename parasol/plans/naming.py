@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.operators import naming, stats
+from parasol.operators.skew import shuffled
 from parasol.plans.adapters import view, with_views
 from parasol.plans.frames import r6
 from parasol.session import save_table
@@ -33,7 +34,7 @@ def naming_holdout(spark, d):
         rows = got if rows is None else rows.unionByName(got)
     truth = view(spark, d, "side_paths").select("edge_id", "beside", (F.hypot(F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")) + F.hypot(F.col("zx") - F.col("mx"), F.col("zy") - F.col("my"))).alias("w"))
     bucket = F.when(F.col("name").isNull(), "none").when(F.col("name") == F.col("beside"), "right").otherwise("wrong")
-    out = stats.confusion(rows.join(truth, "edge_id").select("policy", bucket.alias("bucket"), "w"), ["policy"], "bucket", "w")
+    out = stats.confusion(rows.join(shuffled(truth), "edge_id").select("policy", bucket.alias("bucket"), "w"), ["policy"], "bucket", "w")
     return out.select("policy", "bucket", "n", r6("length", "length"), r6("share", "share"))
 
 

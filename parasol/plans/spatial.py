@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parasol.functions import geometry as g, sun
 from parasol.operators import graph, spatial, steps
+from parasol.operators.skew import shuffled
 from parasol.plans.adapters import view, with_views
 
 _T = "greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (bby - ay)) / nullif((bx - ax) * (bx - ax) + (bby - ay) * (bby - ay), 0)))"
@@ -42,8 +43,8 @@ def length_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def _snap(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     n = view(spark, d, "nodes").select("k", "x", "y")
-    e = edges.join(n.toDF("u", "ax", "ay"), "u").join(n.toDF("v", "bx", "by"), "v")
-    return spatial.nearest(_trees(spark, d), e, 200.0, "tree_id", "edge_id", "edge_id").select("tree_id", "edge_id", F.round("distance_m", 6).alias("distance_m"))
+    e = edges.join(shuffled(n.toDF("u", "ax", "ay")), "u").join(shuffled(n.toDF("v", "bx", "by")), "v")
+    return spatial.closest(_trees(spark, d), e, 200.0, "tree_id", "edge_id").select("tree_id", "edge_id", F.round("distance_m", 6).alias("distance_m"))
 
 
 def knn_snap(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +87,10 @@ def _snap_pair(spark: SparkSession, d: str, req: DataFrame) -> DataFrame:
     """For start and end nodes (event_id, s, t), each moved a little: the component with the least sum of distances among those near both."""
     n = view(spark, d, "nodes").select("k", "x", "y")
     comp = components(spark, d)
-    near = n.join(comp, "k").select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"), "component")
-    ends = [req.join(n, req[k] == n["k"]).select("event_id", (F.col("x") + 13).alias("px"), (F.col("y") + 29).alias("py")) for k in "st"]
+    near = n.join(shuffled(comp), "k").select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"), "component")
+    ends = [req.join(shuffled(n), req[k] == n["k"]).select("event_id", (F.col("x") + 13).alias("px"), (F.col("y") + 29).alias("py")) for k in "st"]
     found = [spatial.within(p, near, 200.0).groupBy("event_id", "component").agg(F.min("d").alias(c)) for p, c in zip(ends, ("ds", "dt"), strict=True)]
-    both = found[0].join(found[1], ["event_id", "component"])
+    both = found[0].join(shuffled(found[1]), ["event_id", "component"])
     best = both.groupBy("event_id").agg(F.min(F.struct((F.col("ds") + F.col("dt")).alias("sum"), "component")).alias("b"))
     return best.select("event_id", "b.component", F.round("b.sum", 6).alias("sum_m"))
 
@@ -184,7 +185,7 @@ def _sweep(boxes: DataFrame, points: DataFrame) -> DataFrame:
     tall = b.withColumn("y1", F.col("y1") + F.col("height"))  # the sun due south at 45 degrees moves the box north by its height
     size = 40.0
     placed = points.withColumn("cx", g.cell(F.col("px"), size)).withColumn("cy", g.cell(F.col("py"), size))
-    cells = tall.withColumn("cx", F.explode(F.sequence(g.cell(F.col("x0"), size), g.cell(F.col("x1"), size)))).withColumn("cy", F.explode(F.sequence(g.cell(F.col("y0"), size), g.cell(F.col("y1"), size))))
+    cells = shuffled(tall.withColumn("cx", F.explode(F.sequence(g.cell(F.col("x0"), size), g.cell(F.col("x1"), size)))).withColumn("cy", F.explode(F.sequence(g.cell(F.col("y0"), size), g.cell(F.col("y1"), size)))))
     inside = (F.col("px") > F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") > F.col("y0")) & (F.col("py") < F.col("y1"))
     return placed.join(cells, ["cx", "cy"]).where(inside).groupBy("point_id").agg(F.count("*").alias("shadows"))
 
