@@ -81,6 +81,11 @@ def measured(line: Column) -> Column:
     return F.aggregate(pairs(line), F.struct(F.lit(0.0).alias("upto"), none.alias("kept")), add, lambda s: s["kept"])
 
 
+def probe_count(total: Column) -> Column:
+    """How many probes a line of some metres has."""
+    return F.greatest(F.lit(LEAST_PROBES), F.floor(total / PROBE_M)).cast("int")
+
+
 def probes(line: Column) -> Column:
     """Points spread evenly over a line, its ends included: one for ten metres, three at least.
 
@@ -105,7 +110,7 @@ def probes(line: Column) -> Column:
     def sized(segments: Column) -> Column:
         tail = F.element_at(segments, -1)
         return let(tail["upto"] + tail["len"], lambda total: let(F.struct(
-            segments.alias("segments"), total.alias("total"), F.greatest(F.lit(LEAST_PROBES), F.floor(total / PROBE_M)).cast("int").alias("n"),
+            segments.alias("segments"), total.alias("total"), probe_count(total).alias("n"),
             F.array(segments[0]["ax"], segments[0]["ay"]).alias("first")), spread))
 
     return let(measured(line), lambda m: F.when(F.size(m) > 0, sized(m)))
