@@ -111,9 +111,9 @@ QUERIES = {
     "edge_density_layers": f"{_DENSITY} select event_id, edge_id, layers, round(density + 1e-10, 6) as density, round(density_no_hour + 1e-10, 6) as density_no_hour from density",
     "edge_cost_ladder": f"""{_DENSITY}, weights as (select 0e0 as w union all select 5e0 union all select 15e0 union all select 40e0)
         select event_id, edge_id, w as weight, round(length_m / (1 + w * density), 6) as cost from density cross join weights""",
-    # T13, C6's shape: the daylight slots of the stub sun table
-    "daylight_slots": f"""with months as (select GEN 1, 12 END as month), hours as (select GEN 0, 23 END as hour)
-        select cast({slot('month', 'hour')} as bigint) as slot, hour * 15e0 as azimuth, 60e0 - abs(hour - 13) * 8e0 as elevation from months cross join hours where not {dark('hour')}""",
+    # T13, C6's shape: moments in the daylight slots of the stub sun table
+    "daylight_slots": f"""{with_views('valid_moments')}
+        select event_id, cast({slot('month', 'hour')} as bigint) as slot, hour * 15e0 as azimuth, 60e0 - abs(hour - 13) * 8e0 as elevation from valid_moments where not {dark('hour')}""",
     # W9
     "shade_clamp": f"""{with_views('route_results')},
         placed as (select *, row_number() over (partition by request order by weight, result_id) as place from route_results),

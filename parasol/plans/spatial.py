@@ -255,7 +255,10 @@ def route_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sun_positions(spark: SparkSession, d: str) -> DataFrame:
-    return sun.sun_table(spark)
+    """Where the sun stands at the time of every event; null at night."""
+    azimuth, elevation = sun.position(F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = view(spark, d, "moments").select("event_id", F.round(azimuth, 3).alias("azimuth"), F.round(elevation, 3).alias("elevation"))
+    return e.select("event_id", *(F.when(F.col("elevation") > 0, F.col(c)).alias(c) for c in ("azimuth", "elevation")))
 
 
 def geodesic_lengths(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,17 @@ def test_probes_are_counted_without_placing_them(spark):
     for n, placed in frame.select(L.probe_count(L.length(F.col("line"))), F.size(L.probes(F.col("line")))).collect():
         assert n == placed
     assert "sequence(" not in plan(catalog.QUERIES["line_pieces"](spark, "/root/testdata/sf0.001"))
+
+
+def test_queries_of_the_sun_read_the_events(spark):
+    from parasol.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    for name in ("daylight_slots", "sun_slots", "sun_positions"):
+        frame = catalog.QUERIES[name](spark, sf)
+        assert any("events.parquet" in f for f in frame.inputFiles())
+        rows = frame.collect()
+        assert len({r.event_id for r in rows}) == len(rows) > events / 10
+    lit = [r for r in rows if r.elevation is not None]
+    assert len(rows) == events and 0 < len(lit) < events and all(0 < r.elevation < 73 and 0 <= r.azimuth < 360 for r in lit)
