@@ -1,23 +1,25 @@
-"""Graph operators: components, shortest distances as frames, and batches of routes on a broadcast graph."""
+"""Graph operators: components, shortest distances as frames, and batches of routes, searched component by component."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from parasol.operators.skew import look_up, shuffled
+from parasol.operators.skew import HOT_SHARE, look_up, shuffled
 from parasol.session import cut, save_table
 
-#: Edges that a broadcast graph may have; above, routes go by frames.
-BROADCAST_EDGES = 20_000_000
+#: Edges of a component that a task may hold; above, routes go by frames.
+BROADCAST_EDGES = 2_000_000
+#: Edges in one part, into which components of no more than that are put together.
+PART_EDGES = 20_000
 #: Walking speed, and an edge's least length.
 WALK_M_S, LEAST_M = 1.4, 0.01
-#: Requests in one block, and rows of routes that are held before they are passed on.
-BLOCK, ROUTE_ROWS = 2000, 1000
+#: Requests in one block, more (a request per so many edges) where a part is large.
+BLOCK, EDGES_A_REQUEST = 2000, 200
 ROUTE_SCHEMA = "request long, weight double, length_m double, minutes double, tree_count long, shade_fraction double, park_canopy_share double, edges array<long>"
 ROUTE_COLUMNS = [c.split()[0] for c in ROUTE_SCHEMA.split(", ")]
 
@@ -140,60 +142,102 @@ class Search:
         return d, out[::-1]
 
 
+def dealt(requests: DataFrame, edges: DataFrame, share: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Requests and edges with the part that each belongs to (big, part, block), for a ``cogroup`` of both.
+
+    Both hold ``component``. Small components are put together by hash, larger ones
+    are parts of their own; the edges of a part go to each block of its requests, so
+    there are at most EDGES_A_REQUEST, or those of a part for every ``block``, a request.
+    Requests alike in ``share`` lie in one block, unless they are many.
+    """
+    asked = requests.groupBy("component").agg(F.count("*").alias("asked"))
+    sizes = save_table(edges.groupBy("component").agg(F.count("*").alias("n")).join(shuffled(asked), "component"), "sizes")
+    small = F.col("n") <= PART_EDGES
+    totals = sizes.agg(F.sum(F.when(small, F.col("n"))).alias("n"), F.sum("asked").alias("asked")).first()
+    hashed = F.pmod(F.xxhash64("component"), F.lit(-(-(totals.n or 0) // PART_EDGES) or 1))
+    placed = save_table(sizes.select("component", "n", "asked", (~small).alias("big"), F.when(small, hashed).otherwise(F.col("component")).alias("part")), "placed")
+    blocks = F.ceil(F.sum("asked") / F.greatest(F.lit(block), F.floor(F.sum("n") / EDGES_A_REQUEST))).alias("blocks")
+    parts = save_table(placed.select("component", "big", "part").join(placed.groupBy("big", "part").agg(blocks), ["big", "part"]), "parts")
+    many = requests.groupBy(*share).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_SHARE > (totals.asked or 0)).select(*share, F.lit(True).alias("__hot"))
+    tried = requests.join(F.broadcast(many), share, "left").join(shuffled(parts), "component")
+    turn = F.pmod(F.when(F.col("__hot"), F.xxhash64(*share, "request")).otherwise(F.xxhash64(*share)), "blocks")
+    copies = edges.join(shuffled(parts), "component").select(*edges.columns, F.col("big").alias("big"), F.col("part").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return tried.withColumn("block", turn).drop("__hot", "blocks"), copies
+
+
+def by_part(requests: DataFrame, edges: DataFrame, search: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``search`` makes of the requests and the edges of each component, of frames that ``dealt`` made."""
+    key, columns = ["big", "part", "block"], [c.split()[0] for c in schema.split(", ")]
+
+    def run(asked: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked) and len(lines):
+            lines = lines.sort_values("edge_id")
+            within = lines.groupby("component").indices
+            for component, at in asked.groupby("component").indices.items():
+                rows += search(asked.iloc[at], lines.iloc[within[component]])
+        return pd.DataFrame(rows, columns=columns)
+
+    return requests.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(run, schema)
+
+
 def route_batch(requests: DataFrame, edges: DataFrame, weights: tuple[float, ...] = (0.0, 5.0, 15.0, 40.0)) -> DataFrame:
     """Routes for requests (request, src, dst, moment) on edges (edge_id, u, v, length_m, tree_count, park_canopy) with density(moment).
 
     ``edges`` holds ``densities``, an array over moments. One row a request and
     weight: length, minutes, tree count, shade and park shares and the edges of
     the path; null measures where there is no path. Shade never falls as the
-    weight grows: such a route is replaced by the shadiest one so far. The
-    graph is broadcast if it has at most BROADCAST_EDGES edges; requests then come
-    in blocks ordered by source, so that those of one source share its searches.
+    weight grows: such a route is replaced by the shadiest one so far. Only ends
+    that hang together have a path, so a task searches the components of its
+    part; those of more than BROADCAST_EDGES edges go by frames. Requests of one
+    source and moment share its searches.
     """
-    if edges.count() > BROADCAST_EDGES:
-        return _routes_by_frames(requests, edges, weights)
-    table = edges.orderBy("edge_id").toPandas()
-    shared = requests.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+    edges = save_table(edges.select("edge_id", "u", "v", "length_m", "tree_count", "park_canopy", "densities"), "route-edges")
+    rows = save_table(requests.select("request", "src", "dst", "moment"), "route-requests")
+    total, comp = rows.count(), labels(edges.select("u", "v"))
+    for end in ("src", "dst"):
+        rows = save_table(look_up(rows, end, comp.select(F.col("k").alias(end), F.col("component").alias(f"c_{end}")), f"c_{end}", total), "route-requests")
+    joined = F.coalesce(F.col("c_src") == F.col("c_dst"), F.lit(False))
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROUTE_SCHEMA.split(", ")[2:]]
+    out = rows.where(~joined).select("request", F.explode(F.array(*(F.lit(float(w)) for w in sorted(weights)))).alias("weight"), *none)
+    asked = rows.where(joined).select("request", "src", "dst", "moment", F.col("c_src").alias("component"))
+    lines = save_table(edges.join(shuffled(comp.withColumnRenamed("k", "u")), "u"), "route-edges")
+    large = save_table(lines.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BROADCAST_EDGES).select("component"), "large")
+    if not large.isEmpty():
+        large = F.broadcast(large)  # few, as each has many edges
+        frames = _routes_by_frames(asked.join(large, "component", "left_semi"), lines.join(large, "component", "left_semi").drop("component"), weights)
+        out = out.unionByName(frames)
+        asked, lines = (f.join(large, "component", "left_anti") for f in (asked, lines))
+
+    def search(mine: pd.DataFrame, t: pd.DataFrame) -> list[tuple]:
         graph, length = Csr(t), np.maximum(t.length_m.to_numpy(), LEAST_M)
         density = np.stack(t.densities.to_numpy())
         trees, canopy, ids = t.tree_count.to_numpy(), t.park_canopy.to_numpy(), t.edge_id.to_numpy()
         costs: dict[tuple[int, float], list[float]] = {}
         searches: dict[float, Search] = {}
         now, rows = None, []
-        for b in batches:
-            for r in b.itertuples():
-                if now != (r.src, r.moment):
-                    now, searches = (r.src, r.moment), {}
-                best = None
-                for w in sorted(weights):
-                    key = (int(r.moment), w)
-                    if key not in costs:
-                        costs[key] = (length / (1 + w * density[:, key[0]])).tolist()
-                    if w not in searches:
-                        searches[w] = Search(graph, costs[key], int(r.src))
-                    found = searches[w].path(int(r.dst))
-                    if found is None:
-                        rows.append((r.request, w, None, None, None, None, None, None))
-                        continue
-                    e = np.array(found[1], dtype=np.int64)
-                    row = _measures(float(length[e].sum()), int(trees[e].sum()), float((length[e] * density[e, key[0]]).sum()), float((length[e] * canopy[e]).sum()), ids[e].tolist())
-                    if best is None or row[3] >= best[3] - 1e-9:
-                        best = row
-                    rows.append((r.request, w, *best))
-                if len(rows) >= ROUTE_ROWS:
-                    yield pd.DataFrame(rows, columns=ROUTE_COLUMNS)
-                    rows = []
-        yield pd.DataFrame(rows, columns=ROUTE_COLUMNS)
-
-    rows = requests.select("request", "src", "dst", "moment")
-    blocks = rows.repartitionByRange(-(-rows.count() // BLOCK) or 1, "src", "moment", "request").sortWithinPartitions("src", "moment")
-    return blocks.mapInPandas(run, ROUTE_SCHEMA)
-
-
-def _measures(length: float, trees: int, shade: float, park: float, edges: list[int]) -> tuple:
+        for r in mine.sort_values(["src", "moment"]).itertuples():
+            if now != (r.src, r.moment):
+                now, searches = (r.src, r.moment), {}
+            best = None
+            for w in sorted(weights):
+                key = (int(r.moment), w)
+                if key not in costs:
+                    costs[key] = (length / (1 + w * density[:, key[0]])).tolist()
+                if w not in searches:
+                    searches[w] = Search(graph, costs[key], int(r.src))
+                found = searches[w].path(int(r.dst))
+                e = np.array(found[1], dtype=np.int64)
+                row = _measures(float(length[e].sum()), int(trees[e].sum()), float((length[e] * density[e, key[0]]).sum()), float((length[e] * canopy[e]).sum()), ids[e])
+                if best is None or row[3] >= best[3] - 1e-9:
+                    best = row
+                rows.append((r.request, w, *best))
+        return rows
+
+    return out.unionByName(by_part(*dealt(asked, lines, ["src", "moment"]), search, ROUTE_SCHEMA))
+
+
+def _measures(length: float, trees: int, shade: float, park: float, edges: np.ndarray | list[int]) -> tuple:
     """A route's row from its sums; shade and park are weighted by length."""
     per = max(length, LEAST_M)
     return length, length / WALK_M_S / 60, trees, shade / per / 0.033, park / per, edges

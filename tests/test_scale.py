@@ -73,3 +73,23 @@ def test_queries_of_the_sun_read_the_events(spark):
         assert len({r.event_id for r in rows}) == len(rows) > events / 10
     lit = [r for r in rows if r.elevation is not None]
     assert len(rows) == events and 0 < len(lit) < events and all(0 < r.elevation < 73 and 0 <= r.azimuth < 360 for r in lit)
+
+
+def test_searches_get_their_own_components_only(spark, monkeypatch):
+    from parasol.operators import graph
+
+    monkeypatch.setattr(graph, "PART_EDGES", 3)
+    lines = spark.range(40).selectExpr("id as edge_id", "id div 4 * 100 + id % 4 as u", "id div 4 * 100 + id % 4 + 1 as v", "1D as length_m", "id as tree_count", "0D as park_canopy", "array(0D, 0.03D) as densities", "id div 4 as component")
+    asked = spark.range(90).selectExpr("id as request", "id % 3 * 100 as src", "id % 3 * 100 + id % 5 as dst", "cast(id % 2 as int) as moment", "id % 3 as component")
+    rows, copies = graph.dealt(asked, lines, ["src", "moment"], 8)
+    held = {}
+    for r in copies.collect():
+        held.setdefault((r.big, r.part, r.block), []).append(r.component)
+    assert rows.count() == 90 and {r.component for r in copies.select("component").collect()} == {0, 1, 2}
+    assert all(len(v) == 4 for v in held.values()) and {(r.big, r.part, r.block) for r in rows.collect()} <= set(held)
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    far = asked.drop("component").union(spark.createDataFrame([(90, 0, 100, 0), (91, 7777, 0, 1)], "request long, src long, dst long, moment int"))
+    got = {(r.request, r.weight): r for r in graph.route_batch(far, lines.drop("component")).collect()}
+    assert len(got) == 92 * 4
+    for (request, _), r in got.items():
+        assert r.edges == (None if request >= 90 else list(range(request % 3 * 4, request % 3 * 4 + request % 5)))
