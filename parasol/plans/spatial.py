@@ -8,6 +8,7 @@ from parasol.functions import geometry as g, sun
 from parasol.operators import graph, spatial, steps
 from parasol.operators.skew import shuffled
 from parasol.plans.adapters import view, with_views
+from parasol.session import save_table
 
 _T = "greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (bby - ay)) / nullif((bx - ax) * (bx - ax) + (bby - ay) * (bby - ay), 0)))"
 _D = f"sqrt((px - ax - {_T} * (bx - ax)) * (px - ax - {_T} * (bx - ax)) + (py - ay - {_T} * (bby - ay)) * (py - ay - {_T} * (bby - ay)))"
@@ -245,13 +246,15 @@ def route_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def route_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps of the routes of route_batch."""
-    routes = graph.route_batch(_route_requests(spark, d), _route_graph(spark, d)).select("request", "weight", F.posexplode("edges").alias("seq", "edge_id"))
+    # Routes and legs are read several times, so they are written.
+    found = save_table(graph.route_batch(_route_requests(spark, d), _route_graph(spark, d)).where(F.size("edges") > 0).select("request", "weight", "edges"), "routes")
+    routes = found.select("request", "weight", F.posexplode("edges").alias("seq", "edge_id"))
     n = view(spark, d, "nodes").select("k", F.array("lon", "lat").alias("at"))
     e = view(spark, d, "edges").join(n.toDF("u", "a"), "u").join(n.toDF("v", "b"), "v")
     kind = F.when(F.col("edge_id") % 7 == 0, "footway/crossing").otherwise("footway/sidewalk")
     side = F.element_at(F.array(*map(F.lit, ["N", "S", "E", "W", ""])), (F.col("edge_id") % 5 + 1).cast("int"))
     legs = routes.join(e, "edge_id").select("request", "weight", "seq", "name", side.alias("side"), kind.alias("kind"), F.array("name").alias("fold_names"), "length_m", F.array("a", "b").alias("coords"))
-    return steps.build_steps(legs)
+    return steps.build_steps(save_table(legs, "legs"))
 
 
 def sun_positions(spark: SparkSession, d: str) -> DataFrame:
