@@ -1,15 +1,14 @@
 """Route requests answered in batches: checks, coverage, snapping, ladders of partial-edge routes, night, and arrivals.
 
-Checks and snapping are DataFrame operations. Routes are searched in Arrow
-batches on a graph that is broadcast, as in ``graph.route_batch``; requests come
-ordered by moment and start, so that those of one moment share its densities and
-those of one start its searches.
+Checks and snapping are DataFrame operations. Routes are searched in the
+component that holds both ends, as in ``graph.route_batch``; its requests come
+ordered by start and moment, so that those of one start share its searches, and
+those of one moment its densities.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,14 +19,15 @@ from parasol.functions.geometry import segment_t
 from parasol.functions.trees import CANOPY, FULL_DENSITY
 from parasol.operators import graph, spatial
 from parasol.operators.ranks import monotone
+from parasol.operators.skew import shuffled
 from parasol.session import save_table
 
 #: Metres that a place may be from the network, and what is said where there is no route.
 COVERED_M = 200.0
 OUTSIDE = " point is outside our current coverage area — pick a point on land in New York City."
 NO_PATH = "No path between these points"
-#: Requests of a block, and densities of moments that a worker remembers.
-BLOCK, MOMENTS = 500, 8
+#: Requests of a block, and densities of moments that are remembered: so many moments, and more while they are few values.
+BLOCK, MOMENTS, MOMENT_VALUES = 2000, 8, 4_000_000
 
 SCHEMA = "request long, place int, weight double, length_m double, minutes double, tree_count long, shade_fraction double, park_canopy_share double, edges array<long>, night boolean, month int, day int, hour int, minute int"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -35,22 +35,24 @@ _SNAP = ("s_edge", "s_at", "t_edge", "t_at")
 
 
 def snap_pairs(requests: DataFrame, edges: DataFrame) -> DataFrame:
-    """request, s_near, t_near, s_edge, s_at, t_edge, t_at: the nearest edges of both ends that hang together, and where on them (0..1).
+    """request, s_near, t_near, s_edge, s_at, t_edge, t_at, component: the nearest edges of both ends that hang together, and where on them (0..1).
 
     Of all components within reach of both ends, the one with the least sum of
     distances; no edges where there is none. ``near``: whether any edge is in reach.
+    ``edges`` hold their ``component``. A place that many ask for meets the edges once.
     """
-    comp = graph.labels(edges.select("u", "v"))
-    lines = edges.select("edge_id", "ax", "ay", "bx", "by", "u").join(comp.withColumnRenamed("k", "u"), "u").drop("u")
+    lines = edges.select("edge_id", "ax", "ay", "bx", "by", "component")
+    places = requests.select(F.col("fx").alias("px"), F.col("fy").alias("py")).union(requests.select("tx", "ty")).distinct()
+    at = segment_t(*(F.col(c) for c in ("px", "py", *spatial.SEGMENT)))
+    best = spatial.within(places, lines, COVERED_M).groupBy("px", "py", "component").agg(F.min(F.struct("d", "edge_id", at.alias("at"))).alias("b"))
+    best = save_table(best, "places")
 
     def nearest(x: str, y: str, end: str) -> DataFrame:
-        met = spatial.within(requests.select("request", F.col(x).alias("px"), F.col(y).alias("py")), lines, COVERED_M)
-        at = segment_t(*(F.col(c) for c in ("px", "py", *spatial.SEGMENT)))
-        best = met.groupBy("request", "component").agg(F.min(F.struct("d", "edge_id", at.alias("at"))).alias("b"))
-        return best.select("request", "component", F.col("b.d").alias(f"{end}_d"), F.col("b.edge_id").alias(f"{end}_edge"), F.col("b.at").alias(f"{end}_at"))
+        asked = requests.select("request", F.col(x).alias("px"), F.col(y).alias("py")).join(shuffled(best), ["px", "py"])
+        return asked.select("request", "component", F.col("b.d").alias(f"{end}_d"), F.col("b.edge_id").alias(f"{end}_edge"), F.col("b.at").alias(f"{end}_at"))
 
     s, t = (save_table(nearest(x, y, e), "snap") for x, y, e in (("fx", "fy", "s"), ("tx", "ty", "t")))
-    both = s.join(t, ["request", "component"]).groupBy("request").agg(F.min_by(F.struct(*_SNAP), F.struct(F.col("s_d") + F.col("t_d"), "component")).alias("p"))
+    both = s.join(t, ["request", "component"]).groupBy("request").agg(F.min_by(F.struct(*_SNAP, "component"), F.struct(F.col("s_d") + F.col("t_d"), "component")).alias("p"))
     near = [f.select("request", F.lit(True).alias(n)).distinct() for f, n in ((s, "s_near"), (t, "t_near"))]
     out = requests.select("request").join(near[0], "request", "left").join(near[1], "request", "left").join(both, "request", "left")
     return out.select("request", F.coalesce("s_near", F.lit(False)).alias("s_near"), F.coalesce("t_near", F.lit(False)).alias("t_near"), "p.*")
@@ -65,13 +67,14 @@ class Places:
         self.ids, self.at = edges.edge_id.to_numpy(), {int(e): i for i, e in enumerate(edges.edge_id)}
         self.u, self.v = (np.array([self.csr.index[int(k)] for k in edges[c]]) for c in "uv")
         self.ever, self.leafy, self.trees, self.canopy = (edges[c].to_numpy(dtype=float) for c in ("tree_evergreen", "tree_deciduous", "tree_count", "park_canopy"))
-        self.shade = np.stack([np.frombuffer(b, np.uint8) if b is not None else np.zeros(288, np.uint8) for b in edges.building_shade]).astype(float)
+        self.shade = np.stack([np.frombuffer(b, np.uint8) if b is not None else np.zeros(288, np.uint8) for b in edges.building_shade])
+        self.metres, self.most = self.length.tolist(), max(MOMENTS, MOMENT_VALUES // max(len(self.ids), 1))
 
     def moment(self, month: int, day: int, hour: int, minute: int, layers: str) -> tuple[np.ndarray, bool]:
         """Density of every edge, and whether it is night; the last few moments are remembered."""
         key = (month, day, hour, minute, layers)
         if key not in self.seen:
-            if len(self.seen) >= MOMENTS:
+            if len(self.seen) >= self.most:
                 del self.seen[next(iter(self.seen))]
             self.seen[key] = self._moment(*key)
         return self.seen[key]
@@ -95,28 +98,29 @@ class PartialSearch(graph.Search):
     def __init__(self, places: Places, cost: list[float], edge: int, at: float) -> None:
         super().__init__(places.csr, cost, None)
         self.places, self.edge, self.at = places, edge, at
-        self.best, self.back, self.done, self.queue = {}, {}, set(), []
+        nodes, first = len(places.csr.nodes), {}
+        self.best, self.back, self.done = [np.inf] * nodes, [None] * nodes, bytearray(nodes)
         for k, part in ((int(places.u[edge]), at), (int(places.v[edge]), 1 - at)):
-            if part * cost[edge] < self.best.get(k, np.inf):
-                self.best[k] = part * cost[edge]
+            if part * cost[edge] < self.best[k]:
+                first[k] = self.best[k] = part * cost[edge]
                 self.back[k] = (None, part)
-        self.queue = [(d, k) for k, d in self.best.items()]
+        self.queue = [(d, k) for k, d in first.items()]
         heapq.heapify(self.queue)
 
     def settle(self, target: int) -> float:
         """Least cost of a node, infinite where there is no way."""
-        g, cost, best, done, queue = self.graph, self.cost, self.best, self.done, self.queue
-        while queue and target not in done:
-            d, k = heapq.heappop(queue)
-            if k in done:
+        arcs, cost, best, back, done, queue, pop, push = self.graph.arcs, self.cost, self.best, self.back, self.done, self.queue, heapq.heappop, heapq.heappush
+        while queue and not done[target]:
+            d, k = pop(queue)
+            if done[k]:
                 continue
-            done.add(k)
-            for i in range(g.start[k], g.start[k + 1]):
-                n, e = g.to[i], g.edge[i]
-                if n not in done and d + cost[e] < best.get(n, np.inf):
-                    best[n], self.back[n] = d + cost[e], (k, e)
-                    heapq.heappush(queue, (d + cost[e], n))
-        return best[target] if target in done else np.inf
+            done[k] = 1
+            for n, e in arcs[k]:
+                there = d + cost[e]
+                if there < best[n]:  # never of a node that is done, as no cost is negative
+                    best[n], back[n] = there, (k, e)
+                    push(queue, (there, n))
+        return best[target] if done[target] else np.inf
 
     def to(self, edge: int, at: float) -> list[tuple[int, float]] | None:
         """Edges and walked shares to a place: through either of its edge's ends, or along the one edge that both lie on."""
@@ -153,34 +157,33 @@ def earlier(month: int, day: int, hour: int, minute: int, minutes: float) -> tup
 
 
 def ladders(asked: DataFrame, edges: DataFrame, dark: list[bool]) -> DataFrame:
-    """Routes of snapped requests (request, s_edge, s_at, t_edge, t_at, month .. minute, layers, arrive, weights), one row a weight in its place."""
-    shared = asked.sparkSession.sparkContext.broadcast((edges.orderBy("edge_id").toPandas(), np.array(dark)))
-    rows = asked.select("request", *_SNAP, "month", "day", "hour", "minute", "layers", "arrive", "weights")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, kept, now = Places(*shared.value), {}, None
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                s, t = (places.at[int(r.s_edge)], float(r.s_at)), (places.at[int(r.t_edge)], float(r.t_at))
-                when = (int(r.month), int(r.day), int(r.hour), int(r.minute))
-                plain = PartialSearch(places, places.length.tolist(), *s) if r.arrive else None
-                if plain is not None and (walked := plain.to(*t)) is not None:
+    """Routes of snapped requests (request, s_edge, s_at, t_edge, t_at, component, month .. minute, layers, arrive, weights), one row a weight in its place."""
+    order = ["s_edge", "s_at", "month", "day", "hour", "minute", "layers"]
+    rows = asked.select("request", *_SNAP, "component", "month", "day", "hour", "minute", "layers", "arrive", "weights")
+    night_slots = np.array(dark)
+
+    def search(mine: pd.DataFrame, table: pd.DataFrame) -> list[tuple]:
+        places, kept, now, plain, out = Places(table, night_slots), {}, None, None, []
+        for r in mine.sort_values([*order, "request"]).itertuples():
+            s, t = (places.at[int(r.s_edge)], float(r.s_at)), (places.at[int(r.t_edge)], float(r.t_at))
+            when = (int(r.month), int(r.day), int(r.hour), int(r.minute))
+            if r.arrive:
+                if plain is None or (plain.edge, plain.at) != s:
+                    plain = PartialSearch(places, places.metres, *s)
+                if (walked := plain.to(*t)) is not None:
                     when = earlier(*when, measures(places, np.zeros(len(places.length)), walked)[1])
-                density, night = places.moment(*when, r.layers)
-                if now != (s, when, r.layers):
-                    now, kept = (s, when, r.layers), {}
-                for i, w in enumerate(r.weights):
-                    used = 0.0 if night else float(w)
-                    if used not in kept:
-                        kept[used] = PartialSearch(places, (places.length / (1 + used * density)).tolist(), *s)
-                    walked = kept[used].to(*t)
-                    out.append((r.request, i, w, *(measures(places, density, walked) if walked else [None] * 6), night, *when))
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    order = ["month", "day", "hour", "minute", "layers", "s_edge", "s_at", "request"]
-    dealt = rows.repartitionByRange(-(-rows.count() // BLOCK) or 1, *order).sortWithinPartitions(*order)
-    return dealt.mapInPandas(run, SCHEMA)
+            density, night = places.moment(*when, r.layers)
+            if now != (s, when, r.layers):
+                now, kept = (s, when, r.layers), {}
+            for i, w in enumerate(r.weights):
+                used = 0.0 if night else float(w)
+                if used not in kept:
+                    kept[used] = PartialSearch(places, (places.length / (1 + used * density)).tolist(), *s)
+                walked = kept[used].to(*t)
+                out.append((r.request, i, w, *(measures(places, density, walked) if walked else [None] * 6), night, *when))
+        return out
+
+    return graph.by_part(*graph.dealt(rows, edges, order, BLOCK), search, SCHEMA)
 
 
 def answer(requests: DataFrame, edges: DataFrame, sun: DataFrame) -> DataFrame:
@@ -196,6 +199,9 @@ def answer(requests: DataFrame, edges: DataFrame, sun: DataFrame) -> DataFrame:
     bad = M.problem(*(F.col(c) for c in ("arrive", "no_hour", "month", "day", "hour", "minute", "layers")), F.size(w), F.coalesce(F.array_min(w), F.lit(0.0)), F.coalesce(F.array_max(w), F.lit(0.0)))
     checked = save_table(requests.withColumn("bad", bad), "requests")
     good = checked.where("bad is null")
+    edges = save_table(edges, "edges")
+    comp = graph.labels(edges.select("u", "v")).withColumnRenamed("k", "u")
+    edges = save_table(edges.join(shuffled(comp), "u"), "edges")
     snapped = save_table(good.join(snap_pairs(good, edges), "request"), "snapped")
     routes = save_table(ladders(snapped.where("s_edge is not null"), edges, dark), "ladders")
     clamped = clamp(routes)

@@ -100,8 +100,9 @@ class Csr:
         u, v = np.searchsorted(nodes, edges.u), np.searchsorted(nodes, edges.v)
         a, b, e = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([np.arange(len(edges))] * 2)
         by = np.lexsort((e, a))
-        self.start = np.searchsorted(a[by], np.arange(len(nodes) + 1)).tolist()
-        self.to, self.edge = b[by].tolist(), e[by].tolist()
+        start, pairs = np.searchsorted(a[by], np.arange(len(nodes) + 1)).tolist(), list(zip(b[by].tolist(), e[by].tolist(), strict=True))
+        #: Of each node, the nodes next to it and the edges to them.
+        self.arcs = [pairs[i:j] for i, j in zip(start, start[1:], strict=False)]
 
     def path(self, cost: list[float], source: int, target: int) -> tuple[float, list[int]] | None:
         """Least cost and its edges; ties go to the smaller node, then the smaller edge."""
@@ -127,8 +128,7 @@ class Search:
             if k in done:
                 continue
             done.add(k)
-            for i in range(g.start[k], g.start[k + 1]):
-                n, e = g.to[i], g.edge[i]
+            for n, e in g.arcs[k]:
                 nd = d + cost[e]
                 if n not in done and nd < best.get(n, np.inf):
                     best[n], back[n] = nd, (k, e)
@@ -162,7 +162,9 @@ def dealt(requests: DataFrame, edges: DataFrame, share: list[str], block: int =
     tried = requests.join(F.broadcast(many), share, "left").join(shuffled(parts), "component")
     turn = F.pmod(F.when(F.col("__hot"), F.xxhash64(*share, "request")).otherwise(F.xxhash64(*share)), "blocks")
     copies = edges.join(shuffled(parts), "component").select(*edges.columns, F.col("big").alias("big"), F.col("part").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return tried.withColumn("block", turn).drop("__hot", "blocks"), copies
+    # As many tasks as blocks: their work is the searches, which the size of their rows doesn't tell.
+    key = -(-(totals.asked or 0) // block) or 1, "big", "part", "block"
+    return tried.withColumn("block", turn).drop("__hot", "blocks").repartition(*key), copies.repartition(*key)
 
 
 def by_part(requests: DataFrame, edges: DataFrame, search: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
