@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Metres a degree of longitude on the equator and of latitude, and the sphere's radius.
@@ -64,43 +66,42 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * RADIUS_M * F.asin(F.sqrt(a))
 
 
+def _vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int) -> np.ndarray:
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    u1, u2, span = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2))), np.radians(lon2 - lon1)
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+
+    def over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.divide(x, y, out=np.zeros_like(x), where=y != 0)
+
+    turn = span
+    for left in range(rounds, -1, -1):
+        x, y = c2 * np.sin(turn), c1 * s2 - s1 * c2 * np.cos(turn)
+        sin, cos = np.sqrt(x * x + y * y), s1 * s2 + c1 * c2 * np.cos(turn)
+        sa = over(c1 * c2 * np.sin(turn), sin)
+        sigma, cos2 = np.arctan2(sin, cos), 1 - sa * sa
+        mid = np.where(cos2 != 0, cos - over(2 * s1 * s2, cos2), 0.0)
+        if left:
+            c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+            turn = span + (1 - c) * f * sa * (sigma + c * sin * (mid + c * cos * (2 * mid * mid - 1)))
+    uu = cos2 * (a * a - b * b) / (b * b)
+    big = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+    small = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+    last = small / 6 * mid * (4 * sin * sin - 3) * (4 * mid * mid - 3)
+    delta = small * sin * (mid + small / 4 * (cos * (2 * mid * mid - 1) - last))
+    return b * big * (sigma - delta)
+
+
 def vincenty(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 8) -> Column:
     """Metres on the WGS84 ellipsoid by the inverse formula, with a fixed number of rounds; 0 for equal points.
 
-    The rounds run in an ``aggregate``, so that the expression doesn't grow with them.
+    The rounds run on arrays of a batch: Spark interprets an ``aggregate``, which cost more than all else of a graph.
     """
-    a, f = 6378137.0, 1 / 298.257223563
-    b = a * (1 - f)
-    u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
-    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("span"))
-
-    def arc(p: Column, turn: Column) -> Column:
-        x, y = p["c2"] * F.sin(turn), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(turn)
-        sin_s, cos_s = F.sqrt(x * x + y * y), p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(turn)
-        sin_alpha = F.coalesce(p["c1"] * p["c2"] * F.sin(turn) / F.nullif(sin_s, F.lit(0.0)), F.lit(0.0))
-        mid = F.coalesce(cos_s - 2 * p["s1"] * p["s2"] / F.nullif(1 - sin_alpha * sin_alpha, F.lit(0.0)), F.lit(0.0))
-        return F.struct(sin_s.alias("sin"), cos_s.alias("cos"), F.atan2(sin_s, cos_s).alias("sigma"), sin_alpha.alias("sa"), (1 - sin_alpha * sin_alpha).alias("cos2"), mid.alias("mid"))
-
-    def turned(p: Column, q: Column) -> Column:
-        c = f / 16 * q["cos2"] * (4 + f * (4 - 3 * q["cos2"]))
-        return p["span"] + (1 - c) * f * q["sa"] * (q["sigma"] + c * q["sin"] * (q["mid"] + c * q["cos"] * (2 * q["mid"] * q["mid"] - 1)))
-
-    def metres(q: Column) -> Column:
-        uu = q["cos2"] * (a * a - b * b) / (b * b)
-        big = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
-        small = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
-        last = small / 6 * q["mid"] * (4 * q["sin"] * q["sin"] - 3) * (4 * q["mid"] * q["mid"] - 3)
-        delta = small * q["sin"] * (q["mid"] + small / 4 * (q["cos"] * (2 * q["mid"] * q["mid"] - 1) - last))
-        return b * big * (q["sigma"] - delta)
-
-    def let(value: Column, of) -> Column:
-        return F.element_at(F.transform(F.array(value), of), 1)
-
-    def solve(p: Column) -> Column:
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), p["span"], lambda turn, _: let(arc(p, turn), lambda q: turned(p, q)))
-        return let(end, lambda turn: let(arc(p, turn), metres))
-
-    return let(fixed, solve)
+    def metres(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+        return pd.Series(_vincenty(*(c.to_numpy(dtype=float) for c in (lon1, lat1, lon2, lat2)), rounds))
+
+    return F.pandas_udf(metres, "double")(*(c.cast("double") for c in (lon1, lat1, lon2, lat2)))
 
 
 def side_of_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -93,3 +93,12 @@ def test_searches_get_their_own_components_only(spark, monkeypatch):
     assert len(got) == 92 * 4
     for (request, _), r in got.items():
         assert r.edges == (None if request >= 90 else list(range(request % 3 * 4, request % 3 * 4 + request % 5)))
+
+
+def test_lengths_on_the_ellipsoid_run_on_arrays(spark):
+    from parasol.functions.geometry import vincenty
+
+    places = spark.createDataFrame([(144.42486788888888, -37.95103341666667, 143.92649552777778, -37.652821138888886), (1.0, 2.0, 1.0, 2.0), (None, None, 1.0, 2.0), (0.0, 0.0, 1.0, 0.0)], "a double, b double, c double, d double")
+    frame = places.select(vincenty(*(F.col(x) for x in "abcd")).alias("m"))
+    assert "ArrowEvalPython" in plan(frame) and "aggregate(" not in plan(frame)
+    assert [r.m if r.m is None else round(r.m, 3) for r in frame.collect()] == [54972.271, 0.0, None, 111319.491]
