@@ -6,10 +6,10 @@ down to p(w) = (n(w) + 1) / (N + V + 1), whose last share is for unknown words.
 Contexts become states. A state has an arc for every word seen after it, and a
 failure arc, of weight MASS / (n(c) + MASS), to the state of its suffix; what a
 text takes are always the same weights, so its probability sums to one. Contexts
-of one word are all states. Longer ones are if all their words are common, each
-with SHARE of the corpus; others are seen so seldom that the prior outweighs them,
-and their failure arc costs nothing. At most 1 / SHARE words are common, so the
-list of them is small whatever the corpus.
+of one word are all states, and so are longer ones. A caller who wants a smaller
+model may name a ``share``: then longer contexts are states only if each of their
+words has nine tenths of it in the whole corpus, by exact counts, so the model
+depends on the corpus alone and not on how it was dealt to blocks.
 
 Documents are packed into blocks, one row each. A block sends its distinct n-gram
 hashes, with counts from its training documents, to shards of the hash space;
@@ -20,7 +20,7 @@ holds more than a block or a shard, and nothing but N and V is broadcast.
 
 There are as many shards as blocks, so messages are blocks squared. A block grows
 with the square root of the corpus, so their number is in proportion to it, one
-for every MESSAGE bytes of text: 4 MB to 16 GB of text, 320 MB at 100 TB.
+for every MESSAGE bytes of text: 6 MB to 36 GB of text, 320 MB at 100 TB.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 from parasol.llm.common import fold, groups, release_memory, tokenize
 from parasol.session import save_table, small_batches
 
-ORDER, MASS, SHARE = 3, 300.0, 5e-4
+ORDER, MASS = 3, 300.0
 MODULUS, HELD_OUT = 7, 2
 #: Bytes of text of a block at least, and of text for each message between a block and a shard.
-BLOCK_BYTES, MESSAGE = 4 << 20, 1 << 10
+BLOCK_BYTES, MESSAGE = 6 << 20, 1 << 10
 #: Tokens that are read one after the other; longer texts are cut, each part starting from the state of the tokens before it.
 SEGMENT = 512
 
@@ -116,7 +116,7 @@ def _release(data: bytes) -> bytes:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of sorted hashes, plane by plane, which compresses their common beginnings."""
+    """The bytes of numbers, plane by plane, which compresses their common beginnings."""
     return _press(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
@@ -124,6 +124,15 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_release(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def gaps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them, whose high planes are nearly empty."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def ungaps(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data), dtype=np.uint64)
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Equal ranges of the hash space."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -204,30 +213,27 @@ class Automaton:
         return np.bincount(text, weights=sums, minlength=len(lengths))
 
 
-BLOCK_SCHEMA = "block long, size long, tokens long, common binary, ids binary, training binary, lengths binary, texts binary"
+BLOCK_SCHEMA = "block long, size long, ids binary, training binary, lengths binary, texts binary"
 
 
-def common_words(ids: list, training: list[bool], texts: list[bytes | None], share: float) -> tuple[int, bytes]:
-    """The training tokens of a block, and those words (hash and count) that have a tenth of ``share`` in it."""
-    used = [t for t, ok in zip(texts, training, strict=True) if ok]
-    codes, lengths, words = tokenize(pa.array(used, pa.binary()))
-    n, total = np.bincount(codes, minlength=len(words)), int(lengths.sum()) + len(used)
-    kept = np.flatnonzero(n >= share / 10 * total)
-    return total, np.stack([hash_words([words[i] for i in kept]), n[kept].astype(np.uint64)]).astype("<u8").tobytes()
+def training_words(texts: pa.Array, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words (hash, count) of a block's training texts; hash 0: their ends."""
+    used = texts.filter(pa.array(training))
+    codes, _, words = tokenize(used)
+    return np.append(np.uint64(0), hash_words(words)), np.append(len(used), np.bincount(codes, minlength=len(words)))
 
 
-def pack_block(number: int, rows: list[tuple], share: float) -> pa.RecordBatch:
+def pack_block(number: int, rows: list[tuple]) -> pa.RecordBatch:
     """One row for a block of (doc_id, training, text); a length of -1 stands for a null text, a flag of 2 for a null id."""
     ids, training, texts = zip(*rows, strict=True)
     flags = np.array([t + 2 * (i is None) for i, t in zip(ids, training, strict=True)], dtype=np.uint8)
     lengths = np.array([-1 if t is None else len(t) for t in texts], dtype="<i8")
-    joined = zstandard.ZstdCompressor(level=3).compress(b"".join(t for t in texts if t))
+    joined = zstandard.ZstdCompressor(level=9).compress(b"".join(t for t in texts if t))
     columns = [np.array([i or 0 for i in ids], dtype="<i8").tobytes(), flags.tobytes(), lengths.tobytes(), joined]
     size = int(lengths.clip(0).sum()) + 16 * len(rows)
-    tokens, common = common_words(ids, training, texts, share)
     return pa.RecordBatch.from_arrays(
-        [*(pa.array([x], pa.int64()) for x in (number, size, tokens)), *(pa.array([c], pa.binary()) for c in (common, *columns))],
-        ["block", "size", "tokens", "common", "ids", "training", "lengths", "texts"],
+        [*(pa.array([x], pa.int64()) for x in (number, size)), *(pa.array([c], pa.binary()) for c in columns)],
+        ["block", "size", "ids", "training", "lengths", "texts"],
     )
 
 
@@ -247,7 +253,7 @@ def ngram_scores(
     docs: DataFrame,
     order: int = ORDER,
     mass: float = MASS,
-    share: float = SHARE,
+    share: float = 0.0,
     block_bytes: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -264,7 +270,8 @@ def ngram_scores(
 
     A text longer than a block makes a block of its own length. ``block_bytes``:
     text of a block; by default the larger of BLOCK_BYTES and the root of MESSAGE
-    times the corpus.
+    times the corpus. ``share``: if above 0, contexts of two and more words are
+    those whose words each have nine tenths of it; by default they all are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -281,27 +288,27 @@ def ngram_scores(
                 held.append(row)
                 size += len(row[2] or b"") + 16
                 if size >= block_bytes:
-                    yield pack_block(base + n, held, share)
+                    yield pack_block(base + n, held)
                     held, size, n = [], 0, n + 1
                     release_memory()
         if held:
-            yield pack_block(base + n, held, share)
+            yield pack_block(base + n, held)
 
     # Written once, so that both passes below see the same blocks whatever the source does.
     packed = save_table(texts.mapInArrow(gather, BLOCK_SCHEMA), "lm-blocks", codec="none")
     shards = max(1, -(-int(packed.agg(F.sum("size")).first()[0] or 0) // block_bytes))
 
-    # Words that have SHARE in all have a tenth of it in some block, and lose a tenth at most where they have less.
-    learnt = int(packed.agg(F.sum("tokens")).first()[0] or 0)
-
-    def report(batches):
-        for b in batches:
-            parts = [np.frombuffer(c, "<u8").reshape(2, -1) for c in b.column(0).to_pylist()]
-            both = np.concatenate([np.zeros((2, 0), "<u8"), *parts], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0].view("<i8")), pa.array(both[1].view("<i8"))], ["h", "n"])
+    def words(batches):
+        for _, _, training, texts in (row for batch in batches for row in unpack_blocks(batch)):
+            h, n = training_words(texts, training)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(n)], ["h", "n"])
 
-    reported = packed.select("common").mapInArrow(report, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.9 * share * learnt)
-    common = np.sort(reported.select("h").toArrow().column(0).to_numpy().view(np.uint64)) if share > 0 and order > 2 else None
+    common = None
+    if share > 0 and order > 2:
+        counted = save_table(packed.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+        learnt = int(counted.agg(F.sum("n")).first()[0] or 0)
+        frequent = counted.where((F.col("h") != 0) & (F.col("n") >= 0.9 * share * learnt))
+        common = np.sort(frequent.select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
     def send(batches):
         for block, _, training, texts in (row for batch in batches for row in unpack_blocks(batch)):
@@ -316,8 +323,8 @@ def ngram_scores(
                         pa.array(np.full(len(used), block, dtype=np.int64)),
                         pa.array(used.astype(np.int32)),
                         pa.array(np.full(len(used), k, dtype=np.int32)),
-                        pa.array([planes(hashes[cuts[s] : cuts[s + 1]]) for s in used], pa.binary()),
-                        pa.array([_press(counts[cuts[s] : cuts[s + 1]].astype("<u4").tobytes()) for s in used], pa.binary()),
+                        pa.array([gaps(hashes[cuts[s] : cuts[s + 1]]) for s in used], pa.binary()),
+                        pa.array([planes(counts[cuts[s] : cuts[s + 1]]) for s in used], pa.binary()),
                     ],
                     ["block", "shard", "k", "hashes", "counts"],
                 )
@@ -327,9 +334,9 @@ def ngram_scores(
     def merge(batches):
         """Adds up the counts of a shard; block -1: tokens and distinct tokens of its single tokens."""
         for t in groups(batches, ["shard", "k"]):
-            parts = [unplanes(h.as_py()) for h in t.column("hashes")]
+            parts = [ungaps(h.as_py()) for h in t.column("hashes")]
             sizes, hashes = [len(h) for h in parts], np.concatenate(parts)
-            counts = np.concatenate([np.frombuffer(_release(c.as_py()), "<u4") for c in t.column("counts")])
+            counts = np.concatenate([unplanes(c.as_py()) for c in t.column("counts")])
             distinct, inverse = np.unique(hashes, return_inverse=True)
             sums = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype("<u8")
             cuts = np.append(0, np.cumsum(sizes))

@@ -52,6 +52,27 @@ def test_scores_equal_the_smoothed_model(spark, order, block, share):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-6)
 
 
+def test_rare_words_are_contexts_too(spark):
+    """By default no context is left out, however rare its words: a pair of words seen a few times among 18,000 tokens counts."""
+    filler = " ".join(f"w{i % 40}" for i in range(300))
+    rows = [(i, filler + (" rare pair follows" if i in (3, 5) else ""), None) for i in range(60)] + [(99, "rare pair follows", None)]
+    got = sorted((str(r.doc_id), r.score) for r in ngram_scores(docs(spark, rows), block_bytes=3000).collect())
+    want = sorted((r[0], r[-1]) for r in brute_scores(rows, 3, 300.0))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+
+
+def test_a_share_does_not_depend_on_blocks(spark):
+    """The word x has a little over nine tenths of the share, some of it in a block where it is rare."""
+    learnt = [i for i in range(20) if crc(i) % 7 != 2][:2]
+    texts = ["x " * 860 + "a b " * 70, "x " * 45 + "a b " * 477]
+    rows = [(i, t, None) for i, t in zip(learnt, texts, strict=True)]
+    want = sorted((r[0], r[-1]) for r in brute_scores(rows, 3, 300.0, 0.5))
+    for block in (1000, 1 << 24):
+        got = sorted((str(r.doc_id), r.score) for r in ngram_scores(docs(spark, rows).coalesce(1), share=0.5, block_bytes=block).collect())
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-6)
+
+
 def test_scores_of_an_empty_table(spark):
     assert ngram_scores(docs(spark, [])).count() == 0
     one = ngram_scores(docs(spark, [(2, None)])).collect()
