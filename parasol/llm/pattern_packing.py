@@ -15,16 +15,18 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from parasol.llm.bpe import CACHE_ENTRIES
+from parasol.llm.bpe import CACHE_ENTRIES, letters
 from parasol.session import save_table, small_batches
 
 #: Patterns that are fitted at most. With more, smallest parts are taken at even distances, so that the plan stays bounded.
@@ -37,8 +39,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 #: Fixed value: the pattern of word-end vocabularies' pre-tokenizer, no part of which matches white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: A mark between a letter and a space is a token of its own, so it may stand apart, which leaves fewer distinct words.
-MARK = re.compile("(?<=[A-Za-zß-öø-ÿ])([,.;:!?]) ")
+#: Marks between a letter and a space or the end are a piece of their own, so they may stand apart, which leaves fewer distinct words.
+MARK = re.compile(r"(?<=[A-Za-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?: |\Z)")
+
+#: Words that lower case and composition leave one run of letters, each of one or two bytes.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SUFFIX = "</w>"
 
 
 class WordEncoder:
@@ -46,7 +52,8 @@ class WordEncoder:
 
     Where the file says that no token, composition or normalisation reaches over
     white space, a text is cut at spaces and line feeds, and the ids of distinct
-    words are remembered; those unused for long are forgotten. Texts with added tokens, and texts of other
+    words are remembered; those unused for long are forgotten. New words of Latin letters are merged by
+    ranks if these say the same as the file (``letter_ranks``). Texts with added tokens, and texts of other
     files, go to the library whole. Ids are little-endian unsigned 32-bit.
     """
 
@@ -58,6 +65,19 @@ class WordEncoder:
         self.local = words_apart(spec)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        table = letter_ranks(spec) if self.local else None
+        self.merge = table and tiktoken.Encoding("letters", pat_str="(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def words(self, new: list[str]) -> list[bytes]:
+        """The ids of each word (a text without white space)."""
+        if not self.merge:
+            return self.ids(new)
+        merge, fits = self.merge, LETTERS.fullmatch
+        out = [array("I", merge(coded(w))).tobytes() if fits(w) else None for w in new]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.ids([new[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text (or word), by the library."""
@@ -79,7 +99,7 @@ class WordEncoder:
             new = [w for w in {*words} if w not in known]
         known.update((w, older[w]) for w in new if w in older)
         new = [w for w in new if w not in older]
-        known.update(zip(new, self.ids(new), strict=True))
+        known.update(zip(new, self.words(new), strict=True))
         return b"".join([known[w] for w in words]) + end
 
 
@@ -101,6 +121,66 @@ def words_apart(spec: dict) -> bool:
     )
 
 
+def _codes() -> tuple[dict[int, str], dict[int, str]]:
+    """An ASCII character for each byte of small letters up to U+00FF, inside a word and at its end."""
+    free = iter([chr(c) for c in range(128) if not chr(c).isalpha()])
+    small = range(ord("a"), ord("z") + 1)
+    inside = {b: chr(b) for b in small} | {b: next(free) for b in (0xC3, *range(0x9F, 0xC0))}
+    return inside, {b: chr(b).upper() for b in small} | {b: next(free) for b in range(0x9F, 0xC0)}
+
+
+_INSIDE, _LAST = _codes()
+_AT_START = {c: "".join(_INSIDE[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+_AT_END = {chr(b): c for b, c in _LAST.items() if b < 0x80} | {chr(c): _INSIDE[0xC3] + _LAST[chr(c).encode()[1]] for c in range(0xDF, 0x100)}
+
+
+def coded(word: str) -> str:
+    """A word of LETTERS in lower case, one character a byte, the last one marked."""
+    word = word.lower()
+    head = word[:-1]
+    return (head if head.isascii() else head.translate(_AT_START)) + _AT_END[word[-1]]
+
+
+def letter_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids of the file's tokens of small letters, ``coded``, if merging by lowest id is what its merge list says; else None.
+
+    Results of merges must ascend after the single bytes, and each token must be
+    what the list makes of its own bytes. Then no other two neighbours ever
+    join to it: within its ends, merges went as they go on it alone.
+    """
+    model = spec["model"]
+    if any(model.get(k) for k in ("unk_token", "byte_fallback", "ignore_merges", "continuing_subword_prefix")) or model.get("end_of_word_suffix") != SUFFIX:
+        return None
+    vocab, byte = model["vocab"], {c: b for b, c in letters().items()}
+    pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    merged = [vocab.get("".join(p)) for p in pairs]
+    singles = [vocab.get(c + end) for c in byte for end in ("", SUFFIX)]
+    if not merged or None in merged or None in singles or merged != sorted({*merged}) or merged[0] <= max(singles):
+        return None
+    if len(merged) + len(singles) != len(vocab.keys() - {t["content"] for t in spec.get("added_tokens", [])}):
+        return None
+
+    def code(token: str) -> str | None:
+        body, end = (token[: -len(SUFFIX)], True) if token.endswith(SUFFIX) and token != SUFFIX else (token, False)
+        raw = [byte.get(c) for c in body]
+        out = [_INSIDE.get(b) for b in raw[:-1]] + [(_LAST if end else _INSIDE).get(raw[-1])]
+        return None if None in out else "".join(out)
+
+    table = {c: vocab[t] for t in vocab if (c := code(t)) is not None}
+    rank = {(code(a), code(b)): i for (a, b), i in zip(pairs, merged, strict=True) if code(a + b) in table}
+    first = min(merged)
+    for token, own in table.items():
+        parts = list(token)
+        while len(parts) > 1:
+            best, at = min((rank.get(p, own + 1), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if best > own:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if own < first and len(token) > 1:
+            return None
+    return {t.encode(): i for t, i in table.items()}
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder a worker process, so that its words last over tasks."""

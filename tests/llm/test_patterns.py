@@ -1,5 +1,6 @@
 """Pattern packing against the library's ids and bounds on sequences."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -10,7 +11,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from parasol.llm.pattern_packing import WordEncoder, best_fit, fit, pack_patterns, patterns, places, plan, rounded
+from parasol.llm.bpe import letters
+from parasol.llm.pattern_packing import WordEncoder, best_fit, fit, letter_ranks, pack_patterns, patterns, places, plan, rounded
 from tests.llm.helpers import awkward, clashing, docs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +46,37 @@ def test_ids_around_every_character(encoder):
         assert ids(encoder, text) == library(text), hex(ord(points[i]))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from([*"abcdeinorstzABTßàéïöüÿÀÉÖÞ÷×µ'.%*"]), max_size=24))
+def test_words_of_letters_and_marks_equal_the_library(encoder, word):
+    for text in (word, f"{word} {word}.", f"in {word}%%% {word}\n{word}"):
+        assert ids(encoder, text) == library(text)
+
+
+def test_words_of_letters_do_not_need_the_library(monkeypatch):
+    encoder, asked = WordEncoder(PATH), []
+    monkeypatch.setattr(encoder, "ids", lambda texts: asked.extend(texts) or [np.array(library(t), dtype="<u4").tobytes() for t in texts])
+    text = "Onhatily grüße déjà vu*** Thansha... an2d"
+    assert ids(encoder, text) == library(text)
+    assert {*asked} <= {"an2d", "***", "...", ""}
+
+
+def test_ranks_that_say_something_else_are_refused():
+    """The list makes b of `a b c` join c before a, so no neighbours a and bc may join to a token that the list only makes of ab and c."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert letter_ranks(spec)
+    model = spec["model"]
+    singles = [c + end for c in letters().values() for end in ("", "</w>")]
+
+    def file(*merges):
+        vocab = {t: i for i, t in enumerate([*singles, *("".join(m) for m in merges)])}
+        return spec | {"model": model | {"vocab": vocab, "merges": [list(m) for m in merges]}, "added_tokens": []}
+
+    assert letter_ranks(file(("b", "c"), ("a", "bc")))
+    assert letter_ranks(file(("b", "c"), ("a", "b"), ("ab", "c"))) is None
+
+
 def test_other_files_go_to_the_library():
     other = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.local
