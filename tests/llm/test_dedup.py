@@ -352,3 +352,22 @@ def test_overlap_bound_and_threshold():
     assert needed(200) == 86 and 100 * 86 >= 75 * (200 - 86) and 100 * 85 < 75 * (200 - 85)
     s = Shingler(5).shingles(b"a b c d e f g h")
     assert len(s) == 4 and point(s).sum() == 4
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Before, they stayed until the driver's garbage was collected, and the next shuffle came on top."""
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None), shuffles()
+    table = save_table(spark.range(5000).repartition(3, "id"), "shuffled")
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
