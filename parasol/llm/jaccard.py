@@ -32,6 +32,8 @@ exactly within each.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.bpe import Cache
-from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, marked, may_match, meeting, together
+from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, marked, may_match, meeting, together, without
 from parasol.session import save_table, small_batches
 
 #: Words of a shingle, and the links' least similarity as a fraction.
@@ -195,13 +197,14 @@ def _edges(batches, trees_of):
 
 
 def pressed(p: np.ndarray) -> bytes:
-    """A point's bytes, which are mostly zeros and ones, pressed for the way."""
-    return zstandard.compress(p.tobytes(), 1)
+    """A point's bytes, which are mostly zeros and ones in no order, by Huffman codes for the way."""
+    pack = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return pack.compress(p.tobytes()) + pack.flush()
 
 
 def points_of(counts: pa.ChunkedArray, n: pa.ChunkedArray) -> list[np.ndarray]:
     """The count vectors of documents with ``n`` shingles."""
-    raw = [(zstandard.decompress(c), resolution(k)) for c, k in zip(counts.to_pylist(), n.to_pylist(), strict=True)]
+    raw = [(zlib.decompress(c, -15), resolution(k)) for c, k in zip(counts.to_pylist(), n.to_pylist(), strict=True)]
     return [np.frombuffer(c, "u1" if len(c) == groups else "<u4") for c, groups in raw]
 
 
@@ -242,6 +245,15 @@ def _once(met: DataFrame) -> DataFrame:
     return save_table(few.unionByName(met.where(F.col("m") > FEW).select("key", "cid", "label", "m")), "jaccard-forest")
 
 
+def _again(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """The cid of every row but the one that its class (digest, n) goes by, written."""
+    several = classes.where("copies > 1").select("digest", "n", "copies", F.col("cid").alias("by"))
+    n = several.count()
+    filters = save_table(key_filter(several.select(F.xxhash64("digest").alias("__k")), "__k", n), "jaccard-copies-filter")
+    likely = may_match(rows.select("cid", "digest", "n", F.xxhash64("digest").alias("__k")), filters, "__k", n).drop("__k")
+    return save_table(attach(likely, several, ["digest", "n"], "copies", total, "inner").where("cid <> by").select("cid"), "jaccard-again")
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, group, and the columns of ``carry``.
 
@@ -275,27 +287,31 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             )
 
     carried = "".join(f"`{c}` {t}, " for c, t in texts.dtypes if c in carry)
-    rows = save_table(texts.mapInArrow(describe, f"doc_id long, th long, {carried}n long, digest binary, counts binary, first array<long>, least array<long>"), "jaccard-rows")
+    described = texts.mapInArrow(describe, f"doc_id long, th long, {carried}n long, digest binary, counts binary, first array<long>, least array<long>")
+    rows = save_table(described.withColumn("cid", F.monotonically_increasing_id()), "jaccard-rows")
     total = rows.count()
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.first("counts").alias("counts"), F.first("first").alias("first"), F.first("least").alias("least"))
-    classes = save_table(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    # A class goes by one of its rows, whose points are the class's; only copies are told apart from that row, so points of others aren't sent.
+    classes = rows.where("n > 0").groupBy("digest", "n").agg(own.alias("own"), F.count("*").alias("copies"), F.min("cid").alias("cid"))
+    classes = save_table(classes, "jaccard-classes")
+    described = rows.where("n > 0").select("cid", "n", "counts", "first", "least")
+    points = save_table(without(described, _again(rows.where("n > 0"), classes, total), ["cid"]), "jaccard-points")
 
     def bound(batches):
         yield from _edges(batches, lambda t: spanning(points_of(t.column("counts"), t.column("n")), t.column("label").to_numpy()))
 
     def by_points(placed: DataFrame) -> DataFrame:
-        return together(placed.join(classes.select("cid", "n", "counts"), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
+        return together(placed.join(points.select("cid", "n", "counts"), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
 
     # Near copies beforehand: classes with an equal minimum hash.
-    alike = save_table(classes.select("cid", F.explode("least").alias("key")), "jaccard-minima")
+    alike = save_table(points.select("cid", F.explode("least").alias("key")), "jaccard-minima")
     near = save_table(meeting(alike, ["key"], "m").withColumn("label", F.col("cid")), "jaccard-near")
     near_links = linked(_once(near), BLOCK, 1, by_points)
     joined = save_table(components(near_links).select(F.col("id").alias("cid"), F.col("comp").alias("label")), "jaccard-joined")
 
     # The forest: classes that share one of their first groups, if they are not all joined. Groups of one class are dropped before points are sent.
     n = joined.count()
-    split = marked(classes.select("cid", "first"), save_table(key_filter(joined, "cid", n), "jaccard-joined-filter"), "cid", n, "left").select("cid", "first", "__hit")
+    split = marked(points.select("cid", "first"), save_table(key_filter(joined, "cid", n), "jaccard-joined-filter"), "cid", n, "left").select("cid", "first", "__hit")
     named = split.where("__hit").drop("__hit").join(joined, "cid", "left").unionByName(split.where("not __hit").drop("__hit").withColumn("label", F.lit(None).cast("long")))
     keyed = named.select("cid", F.coalesce("label", "cid").alias("label"), F.explode("first").alias("key"))
     met = save_table(meeting(keyed, ["key"], "m", "label"), "jaccard-met")

@@ -371,3 +371,15 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffles() - before and table.count() == 5000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
+def test_copies_send_no_points(spark):
+    """Rows of equal sets go by one of them; points of the others are dropped before they are sent."""
+    from parasol.llm.jaccard import _again
+
+    rows = spark.createDataFrame([(i, bytes([i % 7]), 9) for i in range(40)], "cid long, digest binary, n long")
+    classes = rows.groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min("cid").alias("cid"))
+    assert sorted(r.cid for r in _again(rows, classes, 40).collect()) == list(range(7, 40))
+    assert _again(rows.where("cid < 7"), classes.where("false"), 7).count() == 0
+    plain = spark.createDataFrame([(i, f"one two three four five six seven {i % 3}") for i in range(9)] + [(9, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join(plain).collect()) == [(i, i % 3) for i in range(9)] + [(9, 9)]
