@@ -22,7 +22,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parasol.llm.common import attach, without, word_count
+from parasol.llm.common import attach, key_filter, marked, without, word_count
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
@@ -117,6 +117,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _keep(named, gone, save_table(names.where("kept and n > 1").select(*NAME), "pipeline-repeated"))
 
 
+def _usual(plan: DataFrame, source: str, copies: str, rows: str, p: str) -> DataFrame:
+    """How often most rows of a source are taken that are alone in their key: columns from and usual, after ``p``."""
+    counts = plan.groupBy(source, copies).agg(F.count(F.when(F.col(rows) == 1, 1)).alias("n"))
+    most = F.max_by(F.when(F.col("n") > 0, F.col(copies)), F.struct("n", copies))
+    return counts.groupBy(F.col(source).alias(f"{p}from")).agg(most.alias(f"{p}usual"))
+
+
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mix takes it; those that it takes zero times go."""
@@ -124,17 +131,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = [f"{p}id", f"{p}source", f"{p}size"]
     plan = mix(docs).groupBy(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]))
     plan = save_table(plan.agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows")), "mix-plan")
-    rows = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.col("source")).withColumn(key[2], word_count(F.col("text")))
-    match = [rows[k].eqNullSafe(plan[k]) for k in key]
-    joined = rows.join(plan, match).select(*docs.columns, *(plan[k] for k in key), f"{p}copies", f"{p}rows")
-    one = joined.where(f"{p}rows = 1").drop(*key)
+    named = F.col("doc_id").cast("long"), F.col("source"), word_count(F.col("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(k) for c, k in zip(named, key, strict=True)))
+    # Most documents of a source are taken equally often. Those that aren't, or are like others in all of the key, are
+    # told by a filter; only they, and what it lets through besides, are sent to meet their plan.
+    usual = save_table(_usual(plan, key[1], f"{p}copies", f"{p}rows", p), "mix-usual")
+    odd = plan.join(usual, plan[key[1]].eqNullSafe(usual[f"{p}from"]))
+    odd = odd.where((F.col(f"{p}rows") > 1) | F.col(f"{p}usual").isNull() | (F.col(f"{p}usual") != F.col(f"{p}copies")))
+    odd = save_table(odd.select(F.xxhash64(*key).alias("__k")), "mix-odd")
+    n = odd.count()
+    told = marked(rows.withColumn("__k", F.xxhash64(*key)), save_table(key_filter(odd, "__k", n), "mix-filter"), "__k", n, "left")
+    others = told.where("not __hit").join(usual, F.col(key[1]).eqNullSafe(usual[f"{p}from"])).select("doc", F.col(f"{p}usual").alias(f"{p}copies"))
+    told = told.where("__hit").select("doc", *key)
+    joined = told.join(plan, [told[k].eqNullSafe(plan[k]) for k in key]).select("doc", *(plan[k] for k in key), f"{p}copies", f"{p}rows")
+    one = joined.where(f"{p}rows = 1").select("doc", f"{p}copies").unionByName(others)
     # Rows alike in id, source and size share their copies, one more for the first of them.
     if not plan.where(f"{p}rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("doc.text"))
         share = F.floor(F.col(f"{p}copies") / F.col(f"{p}rows")) + F.when(nth <= F.col(f"{p}copies") % F.col(f"{p}rows"), 1).otherwise(0)
-        one = one.unionByName(joined.where(f"{p}rows > 1").withColumn(f"{p}copies", share.cast("long")).drop(*key))
+        one = one.unionByName(joined.where(f"{p}rows > 1").withColumn(f"{p}copies", share.cast("long")).select("doc", f"{p}copies"))
     times = one.where(f"{p}copies > 0").withColumn(f"{p}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies"))))
-    return times.select(*docs.columns)
+    return times.select("doc.*")
 
 
 @_stage

@@ -81,6 +81,26 @@ def test_stages_take_extra_columns_ties_and_repeated_rows(spark, folder):
     assert corpus_pipeline.pack_sequences(spark, frame, folder).count() >= len(rows)
 
 
+def test_mixing_sends_only_texts_that_are_not_taken_as_usual(spark, tmp_path):
+    """Before, all texts were shuffled to meet their plan once that was too large to broadcast."""
+    rows = [(i, "w " * (3 + i % 5), "abc"[i % 3]) for i in range(600)] + [(600, "same size", None), (600, "same count", None), (None, "no id", "a")]
+    docs(spark, rows).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    from parasol.llm.mixing import mix
+
+    want = {}
+    for r in mix(frame).collect():
+        want[str(r.doc_id)] = want.get(str(r.doc_id), 0) + r.copies
+    mixed = corpus_pipeline.mix_sources(spark, frame, str(tmp_path))
+    got = {}
+    for r in mixed.collect():
+        got[str(r.doc_id)] = got.get(str(r.doc_id), 0) + 1
+    assert got == {d: c for d, c in want.items() if c}
+    assert "__hit" in mixed._jdf.queryExecution().analyzed().toString()
+    plan = spark.createDataFrame([("a", 1, 1), ("a", 1, 1), ("a", 2, 1), ("b", 2, 5), (None, 3, 1)], "s string, c long, r long")
+    assert sorted(corpus_pipeline._usual(plan, "s", "c", "r", "p").collect(), key=str) == sorted([("a", 1), ("b", None), (None, 3)], key=str)
+
+
 def test_run_packs_what_is_left(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     sums = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
