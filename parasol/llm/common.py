@@ -15,6 +15,8 @@ from parasol.session import drop_table, save_table
 
 #: A key that holds more than one in HOT_SHARE of all rows counts as hot. At most HOT_SHARE keys can.
 HOT_SHARE = 1000
+#: Rows of fixed size that a join may broadcast whole; what is larger is shuffled, as the optimizer takes compressed tables to be small.
+SMALL = 50_000
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -31,19 +33,27 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def bounded(rows: DataFrame, total: int) -> DataFrame:
+    """``rows``, at most ``total``, never broadcast by the join that they are put into if they may be many."""
+    return rows.hint("merge") if total > SMALL else rows
+
+
 def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int, how: str = "left") -> DataFrame:
     """Joins ``classes`` (one row a key, ``size``: its rows in ``rows``) to ``rows``, left or inner.
 
     Keys with over 1/HOT_SHARE of ``total`` rows number at most HOT_SHARE, so they are
     broadcast; no task of the shuffled join then holds more than that share for one key.
+    Classes of few rows are broadcast whole, if they hold numbers only.
     """
+    if total <= SMALL and all(kind in ("bigint", "int", "boolean") for _, kind in classes.dtypes):
+        return rows.join(F.broadcast(classes), key, how)
     limit = max(total // HOT_SHARE, 1)
     hot = classes.where(F.col(size) > limit)
     cold = classes.where(F.col(size) <= limit)
     tried = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     added = [c for c in classes.columns if c not in key]
     done = tried.where(F.col("__hot")).drop("__hot")
-    rest = tried.where(F.col("__hot").isNull()).drop("__hot", *added).join(cold, key, how)
+    rest = tried.where(F.col("__hot").isNull()).drop("__hot", *added).join(bounded(cold, total), key, how)
     return done.unionByName(rest)
 
 
@@ -65,6 +75,8 @@ def meeting(rows: DataFrame, key: list[str], size: str, label: str | None = None
 #: Bits of a key filter: so many for each key, but never more than MOST_BITS (half a million words, which bounds
 #: the broadcast). A filter that fills up lets more rows through, never fewer.
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 25
+#: Filters of more bits are broadcast as arrays of BLOCK_WORDS words: a row a word takes the driver some ten times the bits.
+WORD_BITS, BLOCK_WORDS = 1 << 22, 64
 
 
 def _bits(keys: int) -> int:
@@ -89,6 +101,15 @@ def key_filter(rows: DataFrame, key: str, keys: int, *by: str) -> DataFrame:
 def marked(rows: DataFrame, filters: DataFrame, key: str, keys: int, how: str) -> DataFrame:
     """Adds __hit: whether the filter has ``key``. The filter is broadcast."""
     placed = rows.withColumn("__word", _word(key, keys))
+    if _bits(keys) > WORD_BITS:
+        at, of = F.floor(F.col("word") / BLOCK_WORDS), F.pmod("word", F.lit(BLOCK_WORDS))
+        entries = F.map_from_entries(F.collect_list(F.struct(of.alias("i"), "bits")))
+        blocks = filters.groupBy(at.alias("__at")).agg(entries.alias("__m"))
+        words = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BLOCK_WORDS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0).cast("long")))
+        blocks = blocks.select("__at", words.alias("__words"))
+        joined = placed.withColumn("__at", F.floor(F.col("__word") / BLOCK_WORDS)).join(F.broadcast(blocks), "__at", how)
+        bits = F.element_at("__words", (F.pmod("__word", F.lit(BLOCK_WORDS)) + 1).cast("int"))
+        return joined.withColumn("__hit", F.coalesce(bits.bitwiseAND(_mask(key)) == _mask(key), F.lit(False))).drop("__at", "__words")
     joined = placed.join(F.broadcast(filters.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", how)
     return joined.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(_mask(key)) == _mask(key), F.lit(False)))
 
@@ -108,7 +129,7 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     filters = save_table(key_filter(gone.select(F.xxhash64(*keys).alias("__k")), "__k", n), "anti-filter")
     all_rows = marked(rows.withColumn("__k", F.xxhash64(*keys)), filters, "__k", n, "left").select(*rows.columns, "__hit")
     likely = all_rows.where("__hit").drop("__hit")
-    left = likely.join(gone.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)), [F.col(k).eqNullSafe(F.col(f"__gone_{k}")) for k in keys], "left_anti")
+    left = likely.join(bounded(gone.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)), n), [F.col(k).eqNullSafe(F.col(f"__gone_{k}")) for k in keys], "left_anti")
     return all_rows.where("not __hit").drop("__hit").unionByName(left.select(*rows.columns))
 
 
@@ -217,7 +238,8 @@ def linked(members: DataFrame, most: int, salts: int, edges: Callable[[DataFrame
     blocks = F.ceil(F.col("m") / most)
     small = members.where(F.col("m") <= most).select("key", F.lit(0).alias("ti"), F.lit(0).alias("tj"), "cid", "label")
     large = members.where(F.col("m") > most)
-    if large.isEmpty():
+    n_large = large.count()
+    if not n_large:
         return save_table(edges(small), "tile-links")
     named, first = large.select("key", "cid", "label"), small
     if salts:
@@ -225,7 +247,7 @@ def linked(members: DataFrame, most: int, salts: int, edges: Callable[[DataFrame
         first = small.unionByName(dealt.select("key", "ti", F.pmod(F.xxhash64("cid", "key", "ti"), blocks).cast("int").alias("tj"), "cid", "label"))
     first = save_table(edges(first), "tile-links")
     if salts:
-        named = named.join(components(first).withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "label").alias("label"))
+        named = named.join(bounded(components(first).withColumnRenamed("id", "cid"), n_large), "cid", "left").select("key", "cid", F.coalesce("comp", "label").alias("label"))
     named = save_table(named, "tile-labels")
     counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most_n"), F.sum("n").alias("m")).where("most_n < m")

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.bpe import Cache
-from parasol.llm.common import TILE, Trees, attach, components, groups, key_filter, linked, marked, may_match, meeting, together, without
+from parasol.llm.common import TILE, Trees, attach, bounded, components, groups, key_filter, linked, marked, may_match, meeting, together, without
 from parasol.session import save_table, small_batches
 
 #: Words of a shingle, and the links' least similarity as a fraction.
@@ -301,7 +301,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
         yield from _edges(batches, lambda t: spanning(points_of(t.column("counts"), t.column("n")), t.column("label").to_numpy()))
 
     def by_points(placed: DataFrame) -> DataFrame:
-        return together(placed.join(points.select("cid", "n", "counts"), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
+        return together(placed.join(bounded(points.select("cid", "n", "counts"), total), "cid").select(*TILE, "cid", "label", "n", "counts"), TILE).mapInArrow(bound, "a long, b long")
 
     # Near copies beforehand: classes with an equal minimum hash.
     alike = save_table(points.select("cid", F.explode("least").alias("key")), "jaccard-minima")
@@ -312,7 +312,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     # The forest: classes that share one of their first groups, if they are not all joined. Groups of one class are dropped before points are sent.
     n = joined.count()
     split = marked(points.select("cid", "first"), save_table(key_filter(joined, "cid", n), "jaccard-joined-filter"), "cid", n, "left").select("cid", "first", "__hit")
-    named = split.where("__hit").drop("__hit").join(joined, "cid", "left").unionByName(split.where("not __hit").drop("__hit").withColumn("label", F.lit(None).cast("long")))
+    named = split.where("__hit").drop("__hit").join(bounded(joined, n), "cid", "left").unionByName(split.where("not __hit").drop("__hit").withColumn("label", F.lit(None).cast("long")))
     keyed = named.select("cid", F.coalesce("label", "cid").alias("label"), F.explode("first").alias("key"))
     met = save_table(meeting(keyed, ["key"], "m", "label"), "jaccard-met")
     links = near_links.unionByName(linked(_once(met), BLOCK, 0, by_points))
@@ -320,11 +320,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
     # The texts of one document of each class of these components, verified within them.
     members = save_table(attach(maybe, maybe.groupBy("key").agg(F.count("*").alias("m")), ["key"], "m", maybe.count()).select("key", "cid", F.col("cid").alias("label"), "m"), "jaccard-members")
-    wanted = save_table(members.join(classes.select("cid", "own", "digest"), "cid").select("cid", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest"), "jaccard-wanted")
+    wanted = save_table(members.join(bounded(classes.select("cid", "own", "digest"), total), "cid").select("cid", F.col("own.doc_id").alias("want"), F.col("own.th").alias("th"), "digest"), "jaccard-wanted")
     # Most texts are in no such component; a filter drops them before they are sent.
     n = wanted.count()
     likely = may_match(texts, save_table(key_filter(wanted, "th", n), "jaccard-filter"), "th", n)
-    found = likely.join(wanted, (likely["th"] == wanted["th"]) & likely["doc_id"].eqNullSafe(wanted["want"])).select("cid", "text", "digest")
+    found = likely.join(bounded(wanted, n), (likely["th"] == wanted["th"]) & likely["doc_id"].eqNullSafe(wanted["want"])).select("cid", "text", "digest")
     found = save_table(found.dropDuplicates(["cid"]), "jaccard-texts")  # repeated rows
 
     def verify(batches):
@@ -347,10 +347,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
         yield from _edges(batches, trees)
 
     def by_texts(placed: DataFrame) -> DataFrame:
-        return together(placed.join(found, "cid").select(*TILE, "cid", "label", "text", "digest"), TILE).mapInArrow(verify, "a long, b long")
+        return together(placed.join(bounded(found, n), "cid").select(*TILE, "cid", "label", "text", "digest"), TILE).mapInArrow(verify, "a long, b long")
 
     links = components(linked(members, BLOCK, 2, by_texts))
-    named = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(links.withColumnRenamed("id", "cid"), "cid", "left")
+    named = classes.select("cid", "digest", "n", "copies", F.col("own.doc_id").alias("first_id")).join(bounded(links.withColumnRenamed("id", "cid"), n), "cid", "left")
     named = save_table(named, "jaccard-named")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least_id"), F.count("*").alias("m"))
     in_tree = attach(named.where("comp is not null"), least, ["comp"], "m", total).select("digest", "n", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.col("comp").alias("group"))

@@ -151,6 +151,36 @@ def test_attach_hot_and_cold_keys(spark):
     assert got.count() == 3000 and got.where("c <> 2 * k or c is null").count() == 0
 
 
+def test_what_may_be_large_is_not_broadcast(spark, monkeypatch):
+    """The optimizer would broadcast these small files; at 6 GB such sides hold millions of rows and filled the driver."""
+    import parasol.llm.common as C
+
+    rows = save_table(spark.range(3000).select(F.when(F.col("id") % 3 != 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")), "attach-rows")
+    classes = save_table(rows.groupBy("k").count().withColumn("c", F.col("k") * 2), "attach-classes")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    few = attach(rows, classes, ["k"], "count", 3000)
+    assert "SortMergeJoin" not in plan(few) and plan(few).count("BroadcastHashJoin") == 1
+    monkeypatch.setattr(C, "SMALL", 100)
+    many = attach(rows, classes, ["k"], "count", 3000)
+    assert plan(many).count("SortMergeJoin") == 1 and plan(many).count("BroadcastHashJoin") == 2  # of the hot keys, in both branches
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 3000
+    gone = save_table(rows.where("v < 1000").select("v"), "gone-rows")
+    left = without(rows, gone, ["v"])
+    assert "SortMergeJoin" in plan(left) and {r.v for r in left.collect()} == set(range(1000, 3000))
+
+
+def test_large_filters_are_broadcast_in_blocks(spark):
+    """A row a word made a filter of 4 MB some 50 MB on the driver."""
+    keys = save_table(spark.range(300_000).select((F.col("id") * 7919 * 104729 - 5000).alias("k")), "many-keys")
+    rows = spark.range(600_000).select((F.col("id") * 7919 * 104729 - 5000).alias("k"), F.lit("x").alias("word"))
+    filters = save_table(key_filter(keys, "k", 300_000), "many-filter")
+    found = may_match(rows, filters, "k", 300_000)
+    assert found.join(keys, "k").count() == 300_000 and found.count() < 400_000 and found.columns == rows.columns
+    sizes = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__words" in sizes
+    assert without(rows, keys, ["k"]).count() == 300_000
+
+
 def test_tiles_let_every_pair_meet(spark):
     members = spark.createDataFrame([("big", i, 50) for i in range(50)] + [("small", i, 3) for i in range(3)], "key string, member long, m long")
     dealt = tiles(members, "m", "member", 8).collect()
