@@ -22,7 +22,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parasol.llm.common import attach, key_filter, marked, without, word_count
+from parasol.llm.common import attach, bounded, key_filter, marked, without, word_count
 from parasol.llm.exact_dedup import exact_dedup
 from parasol.llm.jaccard import jaccard_join
 from parasol.llm.mixing import mix
@@ -56,11 +56,12 @@ def _texts(named: DataFrame) -> DataFrame:
 def _keep(named: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows whose names are not ``gone``, and one of each name in ``repeated``; both written tables of names."""
     left = without(named, gone, NAME)
-    if repeated.isEmpty():
+    n = repeated.count()
+    if not n:
         return left.select("doc.*")
     others = without(left, repeated, NAME)
     same = [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in NAME]
-    several = left.join(repeated.select(*(F.col(k).alias(f"again_{k}") for k in NAME)), same, "left_semi")
+    several = left.join(bounded(repeated.select(*(F.col(k).alias(f"again_{k}") for k in NAME)), n), same, "left_semi")
     return others.select("doc.*").unionByName(several.dropDuplicates(NAME).select("doc.*"))
 
 
@@ -143,7 +144,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = marked(rows.withColumn("__k", F.xxhash64(*key)), save_table(key_filter(odd, "__k", n), "mix-filter"), "__k", n, "left")
     others = told.where("not __hit").join(usual, F.col(key[1]).eqNullSafe(usual[f"{p}from"])).select("doc", F.col(f"{p}usual").alias(f"{p}copies"))
     told = told.where("__hit").select("doc", *key)
-    joined = told.join(plan, [told[k].eqNullSafe(plan[k]) for k in key]).select("doc", *(plan[k] for k in key), f"{p}copies", f"{p}rows")
+    joined = told.join(bounded(plan, plan.count()), [told[k].eqNullSafe(plan[k]) for k in key]).select("doc", *(plan[k] for k in key), f"{p}copies", f"{p}rows")
     one = joined.where(f"{p}rows = 1").select("doc", f"{p}copies").unionByName(others)
     # Rows alike in id, source and size share their copies, one more for the first of them.
     if not plan.where(f"{p}rows > 1").isEmpty():

@@ -111,3 +111,23 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_names_and_plans_that_may_be_many_are_not_broadcast(spark, monkeypatch):
+    """The optimizer would broadcast these small files; beyond SMALL rows they are shuffled, with the same rows."""
+    import parasol.llm.common as C
+    from corpus_pipeline import NAME, _keep, _named, mix_sources
+    from parasol.session import save_table
+
+    frame = save_table(docs(spark, [(i, f"text {'of words ' * (i % 5)}{i}", "ab"[i % 2]) for i in range(8)] * 2), "twice")
+    named = _named(frame)
+    names = named.select(*NAME).distinct()
+    gone, again = (save_table(names.where(w), "names") for w in ("name_id < 4", "name_id >= 4"))
+    few = sorted(r.doc_id for r in mix_sources(spark, frame, "").collect())
+    monkeypatch.setattr(C, "SMALL", 1)
+    kept = _keep(named, gone, again)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("SortMergeJoin" in line for line in semi)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7]
+    assert sorted(r.doc_id for r in mix_sources(spark, frame, "").collect()) == few
